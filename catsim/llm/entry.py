@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catsim.llm import chat, mixing, neardup, packing, pii, substring
+from catsim.llm import chat, media, mixing, neardup, packing, pii, quality, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), tokenizer_path())
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_documents(spark, sf_dir))
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(media.media_columns(_documents(spark, sf_dir)))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.with_hostile(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return chat.conversation_digests(chat.format_conversations(turns))
@@ -48,8 +56,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op6_chat_format, op7_substring_dedup, op8_near_duplicates, op9_mixing, op10_pii)}
+    return {f.__name__: f for f in (op2_packing, op3_quality_rules, op5_media, op6_chat_format, op7_substring_dedup, op8_near_duplicates, op9_mixing, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": chat.ORACLE_SQL}
+    return {"op3_quality_rules": quality.ORACLE_SQL, "op6_chat_format": chat.ORACLE_SQL}
