@@ -21,40 +21,91 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catsim.llm.storage import small_batches, write_table
+from catsim.llm.tokens import hash_spans, split_words
 
 LENGTH = 4096
 WINDOWS = 64
 END_ID = 2
 MERGE_TASKS = 64
-#: Words kept with their ids in a task.
+#: Texts tokenized at once.
+TEXTS = 1000
+#: White space that separates words here; what else the tokenizer takes for white space stays inside a word.
+_SPACE = np.zeros(256, bool)
+_SPACE[[10, 32]] = True
+#: Parts of words kept with their ids in a task.
 CACHE_WORDS = 300_000
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, left boolean"
-_SPLIT = re.compile(r"[ \n]+")
+#: Words on which normalizing is lower-casing alone, and the tokenizer's way to cut them.
+_PLAIN_LINE = re.compile(r"[ -~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
-class WordIds(dict):
-    """Token ids of words as little-endian unsigned 32-bit bytes, learned as they come.
+class WordIds:
+    """Token ids of texts as little-endian unsigned 32-bit bytes, by way of the ids of their words.
 
-    The tokenizer drops white space and never joins over it, so the ids of a text are those of its words.
+    The tokenizer drops white space and never joins over it, so the ids of a text are those of its words. Words of common
+    Latin letters are cut where the tokenizer cuts them, and new parts go to its model in lines, where a part ends with
+    each token that the vocabulary marks as an end; all other words take the tokenizer's own way, one by one.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        split = [_SPLIT.split(t) for t in texts]
-        new = list(set().union(*split) - self.keys())
-        if len(self) + len(new) > CACHE_WORDS:
-            self.clear()
-            new = list(set().union(*split))
-        for lo in range(0, len(new), 10_000):
-            part = new[lo : lo + 10_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[word] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join(map(self.__getitem__, s)) for s in split]
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.model.normalizer = normalizers.Sequence([])
+        split = [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        self.model.pre_tokenizer = pre_tokenizers.Sequence(split)
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.parts: dict[str, bytes] = {}
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        lines = [parts[k : k + 500] for k in range(0, len(parts), 500)]
+        encoded = self.model.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)
+        for line, e in zip(lines, encoded, strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist()
+            if len(ends) == len(line) and ends[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                self.parts.update(zip(line, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+            else:
+                self.parts.update(zip(line, self._whole(line), strict=True))
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        if len(self.parts) > CACHE_WORDS:
+            self.parts = {}
+        joined = " ".join(words)
+        if _PLAIN_LINE.fullmatch(joined) and "<|" not in joined:
+            cut = list(map(_PARTS.findall, joined.lower().split(" "))) if words else []
+            self._learn_parts(list(set().union(*cut).difference(self.parts)))
+            known = self.parts
+            return [known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c]) for c in cut]
+        plain = [bool(_PLAIN_LINE.fullmatch(w)) and "<|" not in w for w in words]
+        odd = iter(self._whole([w for w, p in zip(words, plain, strict=True) if not p]))
+        even = iter(self.of_words([w for w, p in zip(words, plain, strict=True) if p]))
+        return [next(even) if p else next(odd) for p in plain]
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of UTF-8 texts; each distinct word of the texts is handled once."""
+        words = split_words(texts, _SPACE)
+        h = hash_spans(words.buf, words.starts, words.ends)
+        _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        spans = zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)
+        got = self.of_words([words.buf[a:b].decode() for a, b in spans])
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        store = np.frombuffer(b"".join(got), "<u4")
+        n = sizes[inverse]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat((np.cumsum(sizes) - sizes)[inverse] - upto[:-1], n)
+        raw = store[at + np.arange(len(at))].tobytes()
+        ends = (4 * upto[np.concatenate([[0], np.cumsum(words.counts)])]).tolist()
+        return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def best_fit(open_: list[list], size: int, length: int) -> int:
@@ -99,9 +150,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, w
             next_id += 1
 
         for batch in batches:
-            docs_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for lo in range(0, len(texts), 200):
-                for doc_id, ids in zip(docs_ids[lo : lo + 200], words.ids(texts[lo : lo + 200]), strict=True):
+            docs_ids, texts = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            for lo in range(0, len(texts), TEXTS):
+                for doc_id, ids in zip(docs_ids[lo : lo + TEXTS], words.ids(texts[lo : lo + TEXTS]), strict=True):
                     ids += end
                     total = len(ids) // 4
                     cut = total - total % length
