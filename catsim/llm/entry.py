@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catsim.llm import chat, media, mixing, neardup, packing, pii, quality, substring
+from catsim.llm import chat, langid, media, mixing, neardup, packing, pii, quality, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.toxicity(_documents(spark, sf_dir), labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), tokenizer_path())
 
@@ -30,6 +35,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_documents(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.media_columns(_documents(spark, sf_dir)))
 
@@ -56,7 +65,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op3_quality_rules, op5_media, op6_chat_format, op7_substring_dedup, op8_near_duplicates, op9_mixing, op10_pii)}
+    found = (
+        op1_toxicity,
+        op2_packing,
+        op3_quality_rules,
+        op4_language_id,
+        op5_media,
+        op6_chat_format,
+        op7_substring_dedup,
+        op8_near_duplicates,
+        op9_mixing,
+        op10_pii,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -206,7 +206,7 @@ WITH d AS (
     SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
 ), w AS (
     SELECT row, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
-        list_filter(string_split(text, chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+        list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
     FROM d
 ), g AS (
     SELECT row, i, words[i] || chr(10) || words[i + 1] || chr(10) || words[i + 2] || chr(10) || words[i + 3] || chr(10) || words[i + 4] AS win
@@ -217,12 +217,12 @@ WITH d AS (
     SELECT row, count(DISTINCT i + k) AS n_repeat_words FROM twice, (SELECT unnest(range(0, 5)) AS k) GROUP BY row
 ), base AS (
     SELECT w.row, doc_id, len(words) AS n_words,
-        coalesce(list_sum(list_transform(words, x -> length(x))), 0)::BIGINT AS word_chars,
+        coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
         len(lines) - len(list_distinct(lines)) AS n_dup_lines,
         coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines,
         len(list_distinct(words)) AS n_distinct,
-        len(list_filter(words, x -> regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_letters
+        len(list_filter(words, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_letters
     FROM w LEFT JOIN covered USING (row)
 ), judged AS (
     SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base
