@@ -21,7 +21,7 @@ from catsim.llm.storage import small_batches
 from catsim.llm.tokens import Words, hash_spans, mix, split_words
 
 #: Labelled documents of the sample, at most; longer ones are left out of it (never out of scoring).
-TRAIN_DOCS, TRAIN_BYTES = 6000, 1 << 15
+TRAIN_DOCS, TRAIN_BYTES = 4000, 1 << 15
 #: A marking feature has at least so many contexts in toxic documents, and at most this share as many in others.
 MIN_CONTEXTS, MAX_CLEAN = 6, 0.02
 BUCKETS = 1 << 20
@@ -83,18 +83,17 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tup
 
 def _token_labels(features: np.ndarray, before: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Whether each token carries a marking feature in a toxic document. Copies of a text share contexts and count once."""
-    flat = features.ravel()
-    width = features.shape[1]
-    context = mix(flat ^ mix(np.repeat(before, width)))
-    names, which = np.unique(flat, return_inverse=True)
-    side = np.repeat(toxic, width)
-    counts = []
-    for s in (side, ~side):
-        _, first = np.unique(context[s], return_index=True)
-        counts.append(np.bincount(which[s][first], minlength=len(names)))
     ratio = max((~toxic).sum(), 1) / max(toxic.sum(), 1)
-    marking = (counts[0] >= MIN_CONTEXTS) & (counts[1] <= MAX_CLEAN * ratio * counts[0])
-    return marking[which].reshape(-1, width).any(axis=1) & toxic
+    out = np.zeros(len(features), bool)
+    for column in features.T:
+        names, which = np.unique(column, return_inverse=True)
+        context = mix(column ^ mix(before))
+        counts = []
+        for side in (toxic, ~toxic):
+            _, first = np.unique(context[side], return_index=True)
+            counts.append(np.bincount(which[side][first], minlength=len(names)))
+        out |= ((counts[0] >= MIN_CONTEXTS) & (counts[1] <= MAX_CLEAN * ratio * counts[0]))[which]
+    return out & toxic
 
 
 def train(texts: list[str], toxic: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
@@ -104,7 +103,8 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 0) -> dict[str, np.nd
     features = _features(words, np.arange(len(h)), h)
     before = np.where(np.concatenate([[False], words.doc[1:] == words.doc[:-1]]), np.roll(h, 1), np.uint64(0)) if len(h) else h
     y = _token_labels(features, before, toxic[words.doc].astype(bool))
-    slot = (features & np.uint64(BUCKETS - 1)).astype(np.int64)
+    slot = (features & np.uint64(BUCKETS - 1)).astype(np.int32)
+    del features, before
     chain, pos, lengths = _chains(words.counts, words.doc)
     weight, trans, bias = np.zeros(BUCKETS), np.zeros((2, 2)), np.array([-2.0])
     speed = [np.full_like(w, 1e-3) for w in (weight, trans, bias)]
