@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catsim.functions import text
-from catsim.operators import ingest, reports, search
+from catsim.operators import categories, ingest, reports, search
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,8 @@ def search_core(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coarse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.coarse_topk(_queries(spark, sf_dir), _vectors(spark, sf_dir), 50)
+    got = search.coarse_topk(_queries(spark, sf_dir), _vectors(spark, sf_dir), 50)
+    return got.withColumn("clip_score", F.round("clip_score", 4))
 
 
 def keywords_en(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,8 +107,34 @@ def known_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.known_products(feed_first_wins(spark, sf_dir), _known(spark, sf_dir)).select("image_url", "product_id")
 
 
+def resolved_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.resolve_hits(search_core(spark, sf_dir), _catalogue(spark, sf_dir)).select("query_id", "rank", "faiss_id", "category", "product_name")
+
+
+def category_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = categories.category_prototypes(_catalogue(spark, sf_dir), _vectors(spark, sf_dir))
+    return got.select("category", "n", F.posexplode("prototype").alias("pos", "x")).select("category", "n", "pos", F.round("x", 4).alias("x"))
+
+
+def sync_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.when(F.col("page_id") % 3 == 0, "skipped").when(F.col("page_id") % 7 == 0, "failed").otherwise("ok")
+    pages = _read(spark, sf_dir, "pages")
+    return reports.sync_report(pages.select(F.floor(F.col("page_id") / 30).alias("page"), state.alias("status"), F.length("html").cast("long").alias("bytes")))
+
+
+def delete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = _read(spark, sf_dir, "embeddings").where("label = 3").select(F.col("vec_id").alias("faiss_id"))
+    return reports.delete_rows(_catalogue(spark, sf_dir), gone)
+
+
+def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _read(spark, sf_dir, "events")
+    return reports.duplicate_ids(events.select(F.col("user_id").alias("faiss_id")))
+
+
 QUERIES = {f.__name__: f for f in (
     search_core, coarse_topk, keywords_en, category_stats, catalogue_stats, orphans, ocr_dedup, fold_queries, feed_first_wins, feed_last_wins, new_products, known_products,
+    resolved_hits, category_prototypes, sync_report, delete_rows, duplicate_ids,
 )}
 
 _VEC = """
@@ -137,12 +164,14 @@ _KNOWN = "(SELECT split_part(url, '?', 1) FROM pages WHERE page_id % 3 = 0)"
 _CATALOGUE = "SELECT vec_id AS faiss_id, 'cat' || label AS category FROM embeddings JOIN part ON vec_id = p_partkey"
 _WORDS = ", ".join(f"'{w}'" for w in [*text.EN_STOP, *text.EN_BRANDS])
 
-ORACLE_SQL = {
-    "coarse_topk": _VEC + "SELECT query_id, faiss_id, clip AS clip_score, coarse_rank FROM coarse",
-    "search_core": _VEC + """, fused AS (SELECT *, round(raw, 4) AS resnet_score, round(greatest(0.0, least(1.0, (raw - 0.45) / (1 - 0.45))), 4) AS fused_score FROM coarse),
+_CORE = _VEC + """, fused AS (SELECT *, round(raw, 4) AS resnet_score, round(greatest(0.0, least(1.0, (raw - 0.45) / (1 - 0.45))), 4) AS fused_score FROM coarse),
 best AS (SELECT *, max(fused_score) OVER (PARTITION BY query_id) AS top FROM fused)
 SELECT query_id, faiss_id, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, coarse_rank) AS rank, round(clip, 4) AS clip_score, resnet_score, fused_score
-FROM best WHERE top >= 0.7 AND resnet_score >= 0.5 AND fused_score >= top * 0.65 AND fused_score >= 0.3 QUALIFY rank <= 20""",
+FROM best WHERE top >= 0.7 AND resnet_score >= 0.5 AND fused_score >= top * 0.65 AND fused_score >= 0.3 QUALIFY rank <= 20"""
+
+ORACLE_SQL = {
+    "coarse_topk": _VEC + "SELECT query_id, faiss_id, round(clip, 4) AS clip_score, coarse_rank FROM coarse",
+    "search_core": _CORE,
     "keywords_en": rf"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\s\-/,.;:()\[\]{{}}|]+'),
         lambda t: length(t) > 3 AND t NOT IN ({_WORDS}) AND NOT regexp_matches(t, '^[0-9]+$')))), ' ') AS keywords_en FROM documents""",
     "category_stats": f"SELECT category, count(*) AS n FROM ({_CATALOGUE}) GROUP BY category",
@@ -155,4 +184,13 @@ UNION ALL SELECT faiss_id, 'vector' FROM ({_CATALOGUE}) WHERE faiss_id % 10 = 3"
     "feed_last_wins": _FEED + _FIRST.replace("page, pos", "page DESC, pos DESC"),
     "new_products": _FEED + f"SELECT image_url, product_id FROM ({_FIRST}) WHERE image_url NOT IN {_KNOWN}",
     "known_products": _FEED + f"SELECT image_url, product_id FROM ({_FIRST}) WHERE image_url IN {_KNOWN}",
+    "resolved_hits": f"""SELECT query_id, rank, faiss_id, 'cat' || label AS category, p_name || ' ' || p_type || ' ' || p_brand AS product_name
+FROM ({_CORE}) JOIN embeddings ON faiss_id = embeddings.vec_id JOIN part ON faiss_id = p_partkey""",
+    "category_prototypes": _VEC + f"""SELECT category, n, pos, round(CASE WHEN n = 1 THEN m ELSE m / (sqrt(sum(m * m) OVER (PARTITION BY category)) + 1e-8) END, 4) AS x
+FROM (SELECT category, pos, avg(coarse[pos + 1]) AS m, count(*) AS n FROM ({_CATALOGUE}) JOIN vec ON faiss_id = vec_id, (SELECT unnest(range(0, 32)) AS pos)
+    WHERE vec_id % 10 <> 3 GROUP BY category, pos)""",
+    "sync_report": """SELECT page_id // 30 AS page, count_if(page_id % 3 <> 0 AND page_id % 7 <> 0) AS n_ok, count_if(page_id % 3 = 0) AS n_skipped,
+    count_if(page_id % 3 <> 0 AND page_id % 7 = 0) AS n_failed, sum(length(html))::BIGINT AS bytes FROM pages GROUP BY ROLLUP (page_id // 30)""",
+    "delete_rows": "SELECT vec_id AS faiss_id, 'cat' || label AS category, p_name || ' ' || p_type || ' ' || p_brand AS product_name FROM embeddings JOIN part ON vec_id = p_partkey WHERE label <> 3",
+    "duplicate_ids": "SELECT user_id AS faiss_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1",
 }

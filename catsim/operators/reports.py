@@ -34,3 +34,19 @@ def fold_queries(queries: DataFrame) -> DataFrame:
     """(digest, category, query_id, n): identical queries answered once, under the least id."""
     keyed = queries.withColumn("digest", F.md5("content"))
     return keyed.groupBy("digest", "category").agg(F.min("query_id").alias("query_id"), F.count("*").alias("n"))
+
+
+def sync_report(status: DataFrame) -> DataFrame:
+    """(page, n_ok, n_skipped, n_failed, bytes) for each page, and over all pages where page is null."""
+    count = lambda s: F.count_if(F.col("status") == s)
+    return status.rollup("page").agg(count("ok").alias("n_ok"), count("skipped").alias("n_skipped"), count("failed").alias("n_failed"), F.sum("bytes").alias("bytes"))
+
+
+def delete_rows(catalogue: DataFrame, ids: DataFrame) -> DataFrame:
+    """The catalogue without the rows of ``ids`` (faiss_id)."""
+    return catalogue.join(ids, "faiss_id", "left_anti")
+
+
+def duplicate_ids(catalogue: DataFrame) -> DataFrame:
+    """(faiss_id, n) of ids that more than one row has."""
+    return catalogue.groupBy("faiss_id").agg(F.count("*").alias("n")).where("n > 1")

@@ -20,9 +20,10 @@ def dot(a: str | Column, b: str | Column) -> Column:
 
 
 def unit(v: str | Column) -> Column:
-    """A vector divided by its length (plus 1e-8)."""
+    """A vector divided by its length (plus 1e-8). The length is bound to a field first, so that it is computed once."""
     v = F.col(v) if isinstance(v, str) else v
-    return F.transform(v, lambda x: x / (F.sqrt(dot(v, v)) + F.lit(1e-8)))
+    held = F.transform(F.array(v), lambda w: F.struct(w.alias("v"), (F.sqrt(dot(w, w)) + F.lit(1e-8)).alias("n")))
+    return F.element_at(F.transform(held, lambda h: F.transform(h["v"], lambda x: x / h["n"])), 1)
 
 
 def stretch(raw: str | Column, floor: float = STRETCH_MIN) -> Column:
@@ -81,3 +82,8 @@ def rerank(hits: DataFrame, queries: DataFrame, vectors: DataFrame, top_k: int =
     rank = F.row_number().over(query.orderBy(F.desc("fused_score"), "coarse_rank"))
     ranked = kept.withColumn("rank", rank).where(F.col("rank") <= top_k)
     return ranked.select("query_id", "faiss_id", "rank", F.round("clip_score", 4).alias("clip_score"), "resnet_score", "fused_score")
+
+
+def resolve_hits(hits: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Hits with the catalogue's columns; hits without a row are dropped and ranks stay as they are."""
+    return hits.join(catalogue, "faiss_id")
