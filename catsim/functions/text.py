@@ -28,8 +28,11 @@ EN_BRANDS = (
 #: The name anchor keeps these colours, which keywords leave out.
 ANCHOR_STOP = [w for w in EN_STOP if w not in "red green pink brown yellow purple orange".split()]
 
+#: The consensus word leaves out the general words only, which come first: up to the units.
+CONSENSUS_STOP = EN_STOP[: EN_STOP.index("kg") + 1]
+
 _PIPE_SPLIT = r"(?U)[\s\-/,.;:()\[\]{}|]+"
-_PLAIN_SPLIT = r"(?U)[\s\-/,.;:()\[\]{}]+"
+PLAIN_SPLIT = r"(?U)[\s\-/,.;:()\[\]{}]+"
 _NUMBER = r"^[\p{Nd}²³¹⁰-⁹₀-₉]+$"
 
 
@@ -69,4 +72,4 @@ def anchor_tokens(name: str | Column) -> Column:
 
 def ocr_tokens(text: str | Column) -> Column:
     """Tokens of recognised text: more than two characters."""
-    return tokens(text, 2, split=_PLAIN_SPLIT)
+    return tokens(text, 2, split=PLAIN_SPLIT)

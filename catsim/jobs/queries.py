@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catsim.functions import text
-from catsim.operators import categories, ingest, reports, search
+from catsim.functions import images, text
+from catsim.jobs.search import Answer, batch_search
+from catsim.operators import categories, ids, ingest, names, reports, search
+from catsim.sources import catalogue as tables
+from catsim.sources.shared import shared_dir
+from catsim.streaming import sync
+
+#: Twenty-six characters, some of them stop characters, that stand for the letters where a Chinese name is needed.
+CN_LETTERS = "手机壳红鞋大衣裤小裙配饰的充电器线耳包表灯杯笔书桌椅"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,9 +139,169 @@ def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.duplicate_ids(events.select(F.col("user_id").alias("faiss_id")))
 
 
+def _cn(column: str) -> Column:
+    return F.translate(column, "abcdefghijklmnopqrstuvwxyz", CN_LETTERS)
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries in turn with their own category given, an unknown one given, automatic, and without any."""
+    turn = F.floor(F.col("query_id") / 10) % 4
+    given = F.when(turn == 0, F.concat(F.lit("cat"), "label")).when(turn == 1, "none").otherwise("")
+    return _queries(spark, sf_dir).withColumns({"category": given, "auto_category": turn == 2})
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.mark_name_anchor(resolved_hits(spark, sf_dir).join(search_core(spark, sf_dir).select("query_id", "faiss_id", "fused_score"), ["query_id", "faiss_id"]))
+
+
+def _answer(spark: SparkSession, sf_dir: str) -> Answer:
+    return batch_search(_asked(spark, sf_dir), _catalogue(spark, sf_dir), _vectors(spark, sf_dir), coarse_k=50)
+
+
+def _old_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows for every third page, half of them without names."""
+    pages = _read(spark, sf_dir, "pages").where("page_id % 3 = 0")
+    name = F.when(F.col("page_id") % 2 == 0, "").otherwise(F.concat(F.lit("old "), "page_id"))
+    blank = F.lit("")
+    return pages.select(
+        F.col("page_id").alias("faiss_id"), F.substring_index("url", "?", 1).alias("image_url"), name.alias("product_name"), name.alias("product_name_cn"),
+        blank.alias("product_id"), blank.alias("keywords_cn"), blank.alias("keywords_en"),
+    )
+
+
+def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 127.5).cast("double"))
+    return _read(spark, sf_dir, "embeddings").select("vec_id", pixels.alias("pixels"))
+
+
+def keywords_cn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "part").select("p_partkey", text.keywords_cn(_cn("p_name")).alias("keywords_cn"))
+
+
+def feed_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _feed(spark, sf_dir)
+
+
+def classify_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries with structure, and raw ones (numbered from 1000000) that lie between categories."""
+    raw = _read(spark, sf_dir, "embeddings").where("vec_id % 10 = 3").select((F.col("vec_id") + 1000000).alias("query_id"), F.transform(F.slice("embedding", 1, 32), lambda x: x.cast("double")).alias("v"))
+    both = _queries(spark, sf_dir).select("query_id", "coarse").unionByName(raw.select("query_id", search.unit("v").alias("coarse")))
+    return categories.classify(both, categories.category_prototypes(_catalogue(spark, sf_dir), _vectors(spark, sf_dir)))
+
+
+def search_category_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, rows, vectors = _asked(spark, sf_dir), _catalogue(spark, sf_dir), _vectors(spark, sf_dir)
+    filters = categories.category_filters(asked, categories.classify(asked, categories.category_prototypes(rows, vectors)), rows)
+    return search.rerank(categories.restrict(search.coarse_topk(asked, vectors, 50), filters, rows), asked, vectors)
+
+
+def name_anchor_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marked(spark, sf_dir).select("query_id", "rank", "faiss_id", "product_name", "kept")
+
+
+def consensus_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.consensus_word(_marked(spark, sf_dir))
+
+
+def text_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's keywords are the tokens of the part that has its number."""
+    hits = resolved_hits(spark, sf_dir).join(search_core(spark, sf_dir).select("query_id", "faiss_id", "fused_score"), ["query_id", "faiss_id"])
+    part = _read(spark, sf_dir, "part")
+    keywords = part.select(F.col("p_partkey").alias("query_id"), text.ocr_tokens(F.concat_ws(" ", "p_name", "p_brand")).alias("keywords"))
+    return names.text_boost(hits, keywords).select("query_id", "faiss_id", "rank", "fused_score", "text_boost")
+
+
+def batch_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answer(spark, sf_dir).hits.select("query_id", "rank", "faiss_id", "fused_score", "category", "product_name")
+
+
+def search_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answer(spark, sf_dir).summary
+
+
+def name_keyword_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _read(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("product_name"))
+    return names.match_names(_read(spark, sf_dir, "benchmark"), part)
+
+
+def backfill_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.backfill_names(_old_catalogue(spark, sf_dir), _feed(spark, sf_dir).withColumn("product_name_cn", _cn("product_name")))
+
+
+def backfill_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.outcome_counts(backfill_names(spark, sf_dir))
+
+
+def allocated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = ids.next_id(_old_catalogue(spark, sf_dir))
+    return ids.allocate_ids(new_products(spark, sf_dir), ["image_url"], start)
+
+
+def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as manifests: each line is a file, some without a name, with shorter lists of URLs and names."""
+    line = F.struct(
+        "l_linenumber", F.when(F.col("l_linenumber") != 2, F.concat_ws("-", "l_orderkey", "l_linenumber")).otherwise("").alias("file"), F.col("l_partkey").cast("string").alias("part")
+    )
+    lines = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("l"))
+    some = lambda c, less: F.to_json(F.slice(F.transform("l", lambda x: x[c]), F.lit(1), F.greatest(F.size("l") - less, F.lit(0))))
+    none = F.lit("[]")
+    made = lines.select(
+        "l_orderkey", some("file", 0).alias("files"), some("part", 1).alias("image_urls"), some("part", 2).alias("product_names"), none.alias("product_names_cn"),
+        some("part", 0).alias("product_ids"), none.alias("keywords_cn_list"), none.alias("keywords_en_list"), F.when(F.col("l_orderkey") % 2 == 0, " shoes ").otherwise(" ").alias("category"),
+    )
+    return tables.explode_manifest(made)
+
+
+def migrated_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = _catalogue(spark, sf_dir).select("faiss_id", "category")
+    return tables.migrate_catalogue(old).select("faiss_id", "category", "product_name", "product_id", "keywords_en", "file_size", "width")
+
+
+def sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = F.round(images.sharpness("pixels", F.lit(8), F.lit(8)), 4)
+    return _tiles(spark, sf_dir).select("vec_id", score.alias("score")).withColumn("sharp", F.col("score") >= images.MIN_SHARPNESS)
+
+
+def _tile_model():
+    """Sums of four neighbours as the coarse vector, the pixels as the fine one."""
+
+    def model(inputs):
+        import numpy as np
+
+        fine = np.stack([np.asarray(x, dtype=np.float64) for x in inputs])
+        return fine.reshape(len(fine), 16, 4).sum(axis=2), fine
+
+    return model
+
+
+def embed_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = images.embed_images(_tiles(spark, sf_dir), "vec_id", "pixels", _tile_model)
+    return made.select("vec_id", F.posexplode("coarse").alias("pos", "x"), "error").select("vec_id", "pos", F.round(F.col("x").cast("double"), 4).alias("x"), "error")
+
+
+def stream_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed as JSON pages through the stream, into a table that has the known products."""
+    root = shared_dir(spark)
+    pages = _read(spark, sf_dir, "pages")
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    kind = F.split(F.regexp_replace(F.col("url"), r"^\w+://", ""), "/")[1]
+    item = F.struct(
+        (F.col("page_id") % 30).alias("pos"), F.col("page_id").cast("string").alias("id"), F.col("url").alias("img"), F.lit("").alias("name"), title.alias("nameEn"),
+        F.struct(kind.alias("nameEn")).alias("category"),
+    )
+    feed = pages.groupBy(F.floor(F.col("page_id") / 30).alias("page")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    feed.write.json(f"{root}/feed")
+    sync.create_table(spark, f"{root}/table", _old_catalogue(spark, sf_dir).withColumn("category", F.lit("")))
+    sync.create_table(spark, f"{root}/failed", schema=sync.FAILED)
+    sync.sync_stream(spark, f"{root}/feed", f"{root}/table", f"{root}/failed", f"{root}/checkpoint").awaitTermination()
+    return sync.read_rows(spark, f"{root}/table").where("batch >= 0").select("image_url", "product_name", "product_id", "category")
+
+
 QUERIES = {f.__name__: f for f in (
     search_core, coarse_topk, keywords_en, category_stats, catalogue_stats, orphans, ocr_dedup, fold_queries, feed_first_wins, feed_last_wins, new_products, known_products,
     resolved_hits, category_prototypes, sync_report, delete_rows, duplicate_ids,
+    keywords_cn, feed_projection, classify_queries, search_category_filtered, name_anchor_filter, consensus_word, text_boost, batch_hits, search_summary, name_keyword_matches,
+    backfill_names, backfill_counts, allocated_ids, manifest_rows, migrated_catalogue, sharpness, embed_tiles, stream_sync,
 )}
 
 _VEC = """
@@ -162,6 +329,8 @@ WITH item AS (
 _FIRST = "SELECT * FROM product QUALIFY row_number() OVER (PARTITION BY image_url ORDER BY page, pos) = 1"
 _KNOWN = "(SELECT split_part(url, '?', 1) FROM pages WHERE page_id % 3 = 0)"
 _CATALOGUE = "SELECT vec_id AS faiss_id, 'cat' || label AS category FROM embeddings JOIN part ON vec_id = p_partkey"
+_NAMED = "SELECT vec_id AS faiss_id, 'cat' || label AS category, p_name || ' ' || p_type || ' ' || p_brand AS product_name FROM embeddings JOIN part ON vec_id = p_partkey"
+_quoted = lambda words: ", ".join(f"'{w}'" for w in words)
 _WORDS = ", ".join(f"'{w}'" for w in [*text.EN_STOP, *text.EN_BRANDS])
 
 _CORE = _VEC + """, fused AS (SELECT *, round(raw, 4) AS resnet_score, round(greatest(0.0, least(1.0, (raw - 0.45) / (1 - 0.45))), 4) AS fused_score FROM coarse),
@@ -169,7 +338,106 @@ best AS (SELECT *, max(fused_score) OVER (PARTITION BY query_id) AS top FROM fus
 SELECT query_id, faiss_id, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, coarse_rank) AS rank, round(clip, 4) AS clip_score, resnet_score, fused_score
 FROM best WHERE top >= 0.7 AND resnet_score >= 0.5 AND fused_score >= top * 0.65 AND fused_score >= 0.3 QUALIFY rank <= 20"""
 
+
+def _list(words: str, longer_than: int, stop: list[str], pipe: str = "") -> str:
+    left_out = f" AND t NOT IN ({_quoted(stop)})" if stop else ""
+    return rf"list_distinct(list_filter(regexp_split_to_array(lower(coalesce({words}, '')), '[\s\-/,.;:()\[\]{{}}{pipe}]+'), lambda t: length(t) > {longer_than}{left_out} AND NOT regexp_matches(t, '^[0-9]+$')))"
+
+
+_EN = lambda c: f"array_to_string(list_sort({_list(c, 3, [*text.EN_STOP, *text.EN_BRANDS], '|')}), ' ')"
+_LETTERS = "'abcdefghijklmnopqrstuvwxyz'"
+_CN = lambda c: f"translate({c}, {_LETTERS}, '{CN_LETTERS}')"
+
+
+def _chinese(key: str, source: str, table: str) -> str:
+    """(key, keywords_cn) by lists of one to three characters."""
+    grams = " || ".join(f"list_transform(range(1, len(c) - {n - 2}), lambda i: array_to_string(c[i:i + {n - 1}], ''))" for n in (1, 2, 3))
+    return f"""SELECT {key}, array_to_string(list_sort(list_distinct({grams})), ' ') AS keywords_cn
+        FROM (SELECT {key}, list_filter(regexp_extract_all({source}, '[一-鿿]'), lambda x: NOT contains('{text.CN_STOP}', x)) AS c FROM {table})"""
+
+
+_CLASSIFY = """proto AS (SELECT category, list(CASE WHEN n = 1 THEN m ELSE m / (len + 1e-8) END ORDER BY pos) AS p FROM (
+    SELECT *, sqrt(sum(m * m) OVER (PARTITION BY category)) AS len FROM (SELECT category, pos, avg(coarse[pos + 1]) AS m, count(*) AS n
+        FROM (SELECT vec_id AS faiss_id, 'cat' || label AS category FROM embeddings JOIN part ON vec_id = p_partkey) JOIN vec ON faiss_id = vec_id, (SELECT unnest(range(0, 32)) AS pos)
+        WHERE vec_id % 10 <> 3 GROUP BY category, pos)) GROUP BY category),
+raw AS (SELECT vec_id + 1000000 AS query_id, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS h FROM embeddings WHERE vec_id % 10 = 3),
+asked AS (SELECT vec_id AS query_id, coarse FROM vec WHERE vec_id % 10 = 3
+    UNION ALL SELECT query_id, list_transform(h, lambda x: x / (sqrt(list_dot_product(h, h)) + 1e-8)) FROM raw),
+near AS (SELECT query_id, category, round(list_dot_product(coarse, p), 9) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(coarse, p), 9) DESC, category) AS r
+    FROM asked, proto),
+margin AS (SELECT query_id, max(category) FILTER (r = 1) AS category, coalesce(round(max(s) FILTER (r = 1) - max(s) FILTER (r = 2), 4), max(s) FILTER (r = 1)) AS confidence FROM near GROUP BY query_id),
+classified AS (SELECT query_id, CASE WHEN confidence >= 0.02 THEN category END AS predicted_category, confidence FROM margin)
+"""
+_FILTERS = f"""filters AS (SELECT query_id, CASE turn WHEN 2 THEN predicted_category END AS predicted_category, CASE turn WHEN 2 THEN confidence END AS confidence,
+    CASE WHEN turn < 2 THEN 'manual' WHEN turn = 3 OR predicted_category IS NULL THEN 'none' WHEN predicted_category IN (SELECT category FROM ({_NAMED})) THEN 'auto' ELSE 'auto_empty' END AS filter_source,
+    CASE turn WHEN 0 THEN 'cat' || label WHEN 1 THEN 'none' WHEN 2 THEN predicted_category END AS only_category
+    FROM (SELECT c.*, label, (query_id // 10) % 4 AS turn FROM classified c JOIN embeddings ON vec_id = query_id)),
+coarse AS (SELECT a.* FROM every a JOIN filters USING (query_id) LEFT JOIN ({_NAMED}) n USING (faiss_id) WHERE only_category IS NULL OR only_category = n.category)
+"""
+_FILTERED = _CORE.replace("coarse AS (SELECT *, row", "every AS (SELECT *, row", 1).replace(", fused AS", ", " + _CLASSIFY + ", " + _FILTERS + ", fused AS", 1)
+
+
+def _marked_sql(core: str) -> str:
+    """WITH clauses up to ``marked``: resolved hits of a search with kept."""
+    words = _list("product_name", 1, [*text.ANCHOR_STOP, *text.EN_BRANDS], "|")
+    return f"""WITH hit AS (SELECT query_id, rank, h.faiss_id, fused_score, n.category, product_name, {words} AS own FROM ({core}) h JOIN ({_NAMED}) n USING (faiss_id)),
+anchored AS (SELECT *, first_value(own) OVER w AS anchor, row_number() OVER w AS nth, count(*) OVER (PARTITION BY query_id) AS n FROM hit WINDOW w AS (PARTITION BY query_id ORDER BY rank)),
+marked AS (SELECT * EXCLUDE (own, anchor, n), n < 2 OR len(anchor) = 0 OR nth = 1
+    OR len(list_intersect(own, anchor)) >= CASE WHEN len(anchor) <= 2 THEN 1 ELSE greatest(2, len(anchor) // 2) END AS kept FROM anchored),
+word AS (SELECT query_id, unnest({_list("product_name", 3, text.CONSENSUS_STOP)}) AS w, kept FROM marked),
+consensus AS (SELECT query_id, w FROM word GROUP BY query_id, w HAVING bool_and(kept)),
+longest AS (SELECT query_id, w FROM consensus QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(w) DESC, w) = 1)
+"""
+
+
+_WORD = "CASE WHEN bool_and(kept) THEN '' ELSE coalesce(any_value(w), '') END AS consensus_word"
+_NEW = _FEED + f"SELECT image_url, product_id FROM ({_FIRST}) WHERE image_url NOT IN {_KNOWN}"
+_LAP = "(t[i - 7] + t[i + 9] + t[i] + t[i + 2] - 4 * t[i + 1])"
+_BACKFILL = f"""SELECT o.faiss_id, o.image_url, CASE WHEN taken THEN l.product_name ELSE o.name END AS product_name, CASE WHEN taken THEN {_CN("l.product_name")} ELSE o.name END AS product_name_cn,
+    CASE WHEN taken THEN l.product_id ELSE '' END AS product_id, CASE WHEN taken THEN k.keywords_cn ELSE '' END AS keywords_cn, CASE WHEN taken THEN {_EN("l.product_name")} ELSE '' END AS keywords_en,
+    CASE WHEN taken THEN 'updated' WHEN o.name = '' THEN 'not_found' ELSE 'complete' END AS status
+FROM (SELECT o.*, name = '' AND image_url IN (SELECT image_url FROM latest) AS taken FROM (
+    SELECT page_id AS faiss_id, split_part(url, '?', 1) AS image_url, CASE WHEN page_id % 2 = 0 THEN '' ELSE 'old ' || page_id END AS name FROM pages WHERE page_id % 3 = 0) o) o
+LEFT JOIN latest l USING (image_url) LEFT JOIN ({_chinese("image_url", _CN("product_name"), "latest")}) k USING (image_url)"""
+_LATEST = _FEED.rstrip() + ", latest AS (" + _FIRST.replace("page, pos", "page DESC, pos DESC") + ")\n"
+
 ORACLE_SQL = {
+    "keywords_cn": _chinese("p_partkey", _CN("p_name"), "part"),
+    "feed_projection": _FEED + "SELECT * FROM product",
+    "classify_queries": _VEC + ", " + _CLASSIFY + "SELECT * FROM classified",
+    "search_category_filtered": _FILTERED,
+    "name_anchor_filter": _marked_sql(_CORE) + "SELECT query_id, rank, faiss_id, product_name, kept FROM marked",
+    "consensus_word": _marked_sql(_CORE) + f"SELECT query_id, {_WORD} FROM marked LEFT JOIN longest USING (query_id) GROUP BY query_id",
+    "text_boost": f"""WITH hit AS (SELECT query_id, h.faiss_id, rank AS was, fused_score AS old, lower(product_name) AS low, {_list("p_name || ' ' || p_brand", 2, [])} AS keys
+    FROM ({_CORE}) h JOIN ({_NAMED}) n USING (faiss_id) LEFT JOIN part ON p_partkey = query_id),
+boosted AS (SELECT *, round(least(len(list_filter(keys, lambda k: contains(low, k))) * 0.05, 0.15), 4) AS b FROM hit),
+scored AS (SELECT *, CASE WHEN b > 0 THEN round(least(1.0, old + b), 4) ELSE old END AS score FROM boosted)
+SELECT query_id, faiss_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, was) AS rank, score::DOUBLE AS fused_score, b::DOUBLE AS text_boost FROM scored""",
+    "batch_hits": _marked_sql(_FILTERED) + "SELECT query_id, rank, faiss_id, fused_score, category, product_name FROM marked WHERE kept",
+    "search_summary": _marked_sql(_FILTERED).replace("WITH hit AS", _VEC.strip().replace("coarse AS (SELECT *, row", "every AS (SELECT *, row") + ", " + _CLASSIFY + ", " + _FILTERS + ", hit AS", 1)
+    + f""", counted AS (SELECT query_id, count(*) AS n_before, count_if(kept) AS n_after, max(fused_score) AS top_score, {_WORD} FROM marked LEFT JOIN longest USING (query_id) GROUP BY query_id)
+SELECT query_id, coalesce(n_before, 0)::BIGINT AS n_before, coalesce(n_after, 0)::BIGINT AS n_after, coalesce(top_score, 0.0) AS top_score, predicted_category, confidence, filter_source,
+    coalesce(n_after < n_before, false) AS consensus_applied, coalesce(consensus_word, '') AS consensus_word FROM filters LEFT JOIN counted USING (query_id)""",
+    "name_keyword_matches": f"""WITH keyword AS (SELECT DISTINCT unnest({_list("text", 2, [])}) AS k FROM benchmark),
+name AS (SELECT DISTINCT p_name || ' ' || p_type || ' ' || p_brand AS product_name FROM part)
+SELECT product_name, string_agg(k, ' ' ORDER BY k) AS keywords FROM name JOIN keyword ON contains(lower(product_name), k) GROUP BY product_name""",
+    "backfill_names": _LATEST + _BACKFILL,
+    "backfill_counts": _LATEST + f"SELECT status, count(*) AS n FROM ({_BACKFILL}) GROUP BY status",
+    "allocated_ids": f"SELECT *, (SELECT max(page_id) FROM pages WHERE page_id % 3 = 0) + row_number() OVER (ORDER BY image_url) AS faiss_id FROM ({_NEW})",
+    "manifest_rows": """WITH line AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY l_orderkey) AS n,
+    CASE WHEN l_linenumber <> 2 THEN l_orderkey || '-' || l_linenumber ELSE '' END AS file_name FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey::VARCHAR))
+SELECT l_orderkey, pos, file_name, CASE WHEN pos < n - 1 THEN l_partkey::VARCHAR ELSE file_name END AS image_url, CASE WHEN pos < n - 2 THEN l_partkey::VARCHAR ELSE '' END AS product_name,
+    '' AS product_name_cn, l_partkey::VARCHAR AS product_id, '' AS keywords_cn, '' AS keywords_en, CASE WHEN l_orderkey % 2 = 0 THEN 'shoes' ELSE '其他' END AS category FROM line WHERE file_name <> ''""",
+    "migrated_catalogue": f"SELECT faiss_id, category, '' AS product_name, '' AS product_id, '' AS keywords_en, 0::BIGINT AS file_size, 0::INT AS width FROM ({_NAMED})",
+    "sharpness": f"""WITH tile AS (SELECT vec_id, list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * 127.5)) AS t FROM embeddings),
+cell AS (SELECT vec_id, i, {_LAP} AS e FROM tile, (SELECT unnest(range(0, 64)) AS i) WHERE i // 8 BETWEEN 1 AND 6 AND i % 8 BETWEEN 1 AND 6),
+part_sum AS (SELECT vec_id, sum(e) AS s, sum(e * e) AS ss, sum(e) FILTER (mid) AS ms, sum(e * e) FILTER (mid) AS mss
+    FROM (SELECT *, i // 8 BETWEEN 3 AND 4 AND i % 8 BETWEEN 3 AND 4 AS mid FROM cell) GROUP BY vec_id)
+SELECT vec_id, score, score >= 20 AS sharp FROM (SELECT vec_id, round(greatest(ss / 64 - (s / 64) ** 2, 0.7 * (mss / 16 - (ms / 16) ** 2)), 4) AS score FROM part_sum)""",
+    "embed_tiles": """WITH cell AS (SELECT vec_id, pos, list_sum(list_transform(embedding[4 * pos + 1:4 * pos + 4], lambda x: floor((x::DOUBLE + 1) * 127.5))) AS s FROM embeddings, (SELECT unnest(range(0, 16)) AS pos))
+SELECT vec_id, pos::INT AS pos, round((s / (sqrt(sum(s * s) OVER (PARTITION BY vec_id)) + 1e-8))::FLOAT::DOUBLE, 4) AS x, NULL::VARCHAR AS error FROM cell""",
+    "stream_sync": _FEED.replace("page_id % 5 = 0", "false") + f"SELECT image_url, product_name, product_id, category FROM ({_FIRST}) WHERE image_url NOT IN {_KNOWN}",
+
     "coarse_topk": _VEC + "SELECT query_id, faiss_id, round(clip, 4) AS clip_score, coarse_rank FROM coarse",
     "search_core": _CORE,
     "keywords_en": rf"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\s\-/,.;:()\[\]{{}}|]+'),
