@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catsim.functions import text
@@ -38,10 +38,15 @@ def project_products(items: DataFrame, en_len: int = 60) -> DataFrame:
 
 
 def one_per_url(products: DataFrame, last: bool = False) -> DataFrame:
-    """The first product of each URL in feed order, or the last."""
-    order = [F.desc("page"), F.desc("pos")] if last else ["page", "pos"]
-    rank = F.row_number().over(Window.partitionBy("image_url").orderBy(*order))
-    return products.withColumn("_nth", rank).where("_nth = 1").drop("_nth")
+    """The first product of each URL in feed order, or the last.
+
+    An aggregate and no window: each task keeps one row of a URL before the shuffle, so a URL with very many copies is
+    no burden. Rows of the same place are ordered by their other columns.
+    """
+    rest = [c for c in products.columns if c not in ("image_url", "page", "pos")]
+    row = F.struct("page", "pos", *rest)
+    best = products.groupBy("image_url").agg((F.max(row) if last else F.min(row)).alias("_row"))
+    return best.select(*[F.col(c) if c == "image_url" else F.col("_row")[c].alias(c) for c in products.columns])
 
 
 def new_products(products: DataFrame, catalogue: DataFrame) -> DataFrame:
