@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 COARSE_K, TOP_K = 200, 20
 STRETCH_MIN, MIN_FINE, MIN_RELATIVE, MIN_FUSED, MIN_TOP = 0.45, 0.50, 0.65, 0.30, 0.70
 QUERY_BLOCK, VECTOR_BLOCK = 512, 2048
+#: So many queries of 512 floats are 20 MB.
+BROADCAST_QUERIES = 10_000
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -32,20 +34,34 @@ def stretch(raw: str | Column, floor: float = STRETCH_MIN) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (raw - floor) / (1 - floor))), 4)
 
 
-def _blocks(df: DataFrame, key: str, size: int, names: list[str]) -> DataFrame:
-    """Rows of about ``size`` ids and vectors each."""
-    n = max(1, -(-df.count() // size))
-    dealt = df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("_block"))
-    return dealt.agg(F.collect_list(F.struct(F.col(key).cast("long").alias("id"), F.col("coarse").alias("v"))).alias("rows")).select(
-        F.col("rows.id").alias(names[0]), F.col("rows.v").alias(names[1])
+def _query_blocks(queries: DataFrame, size: int, n: int) -> DataFrame:
+    """Rows of about ``size`` of the ``n`` queries each."""
+    dealt = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // size)))).alias("_block"))
+    return dealt.agg(F.collect_list(F.struct(F.col("query_id").cast("long").alias("id"), F.col("coarse").alias("v"))).alias("rows")).select(
+        F.col("rows.id").alias("q_ids"), F.col("rows.v").alias("qv")
     )
 
 
+def _vector_blocks(vectors: DataFrame, size: int) -> DataFrame:
+    """Rows of up to ``size`` vectors of one task each; vectors stay where they were read and are not shuffled."""
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), size):
+                part = frame.iloc[at : at + size]
+                yield pd.DataFrame({"v_ids": [part["id"].tolist()], "vv": [part["v"].tolist()]})
+
+    named = vectors.select(F.col("faiss_id").cast("long").alias("id"), F.col("coarse").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    return named.mapInPandas(pack, f"v_ids array<long>, vv array<{named.schema['v'].dataType.simpleString()}>")
+
+
 def coarse_topk(queries: DataFrame, vectors: DataFrame, k: int = COARSE_K) -> DataFrame:
     """(query_id, faiss_id, clip_score, coarse_rank): the ``k`` vectors of highest inner product for each query, exactly.
 
-    Queries and vectors are dealt into blocks; a task multiplies two blocks and keeps the best ``k`` of each query, so
-    the pairs themselves are never rows. Scores are rounded to 9 places and ties go to the lower id.
+    Queries and vectors are put into blocks; a task multiplies two blocks and keeps the best ``k`` of each query, so the
+    pairs themselves are never rows, and of those each task ranks its own before the shuffle. Up to BROADCAST_QUERIES
+    queries are broadcast, and then vectors are never moved; more are left to Spark, which deals both sides in pieces.
+    Scores are rounded to 9 places and ties go to the lower id. A row without id or vector takes no part.
     """
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,9 +75,11 @@ def coarse_topk(queries: DataFrame, vectors: DataFrame, k: int = COARSE_K) -> Da
                     {"query_id": np.repeat(np.asarray(row.q_ids), order.shape[1]), "faiss_id": ids[order].ravel(), "clip_score": np.take_along_axis(score, order, 1).ravel()}
                 )
 
-    q = _blocks(queries, "query_id", QUERY_BLOCK, ["q_ids", "qv"])
-    v = _blocks(vectors, "faiss_id", VECTOR_BLOCK, ["v_ids", "vv"])
-    part = q.crossJoin(v).mapInPandas(best, "query_id long, faiss_id long, clip_score double")
+    asked = queries.select("query_id", "coarse").where("query_id IS NOT NULL AND coarse IS NOT NULL")
+    n = asked.count()
+    q = _query_blocks(asked, QUERY_BLOCK, n)
+    pairs = _vector_blocks(vectors, VECTOR_BLOCK).crossJoin(F.broadcast(q) if n <= BROADCAST_QUERIES else q)
+    part = pairs.mapInPandas(best, "query_id long, faiss_id long, clip_score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("clip_score"), "faiss_id"))
     return part.withColumn("coarse_rank", rank).where(F.col("coarse_rank") <= k)
 

@@ -29,14 +29,16 @@ def test_stretch(spark):
     assert all(a == b for a, b in got)
 
 
-def test_coarse_topk_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [0, 100])
+def test_coarse_topk_in_blocks(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", broadcast)
     monkeypatch.setattr(search, "QUERY_BLOCK", 7)
     monkeypatch.setattr(search, "VECTOR_BLOCK", 11)
     rng = np.random.default_rng(1)
     q, v = rng.normal(size=(20, 8)), rng.normal(size=(60, 8))
     v[7] = v[3]
     queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id long, coarse array<double>")
-    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "faiss_id long, coarse array<double>")
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(None, [0.0] * 8), (99, None)], "faiss_id long, coarse array<double>")
     got = {(r.query_id, r.coarse_rank): r.faiss_id for r in search.coarse_topk(queries, vectors, 5).collect()}
     for i in range(20):
         order = sorted(range(60), key=lambda j: (-round(float(q[i] @ v[j]), 9), j))[:5]
