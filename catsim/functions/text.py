@@ -55,12 +55,14 @@ def keywords_cn(text: str | Column) -> Column:
     text = F.col(text) if isinstance(text, str) else text
     chars = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[一-鿿&&[^{CN_STOP}]]"), F.lit(0))
 
-    def grams(n: int) -> Column:
-        at = F.sequence(F.lit(1), F.size(chars) - n + 1)
-        made = F.transform(at, lambda i: F.array_join(F.slice(chars, i, n), ""))
-        return F.when(F.size(chars) >= n, made).otherwise(F.array().cast("array<string>"))
-
-    return F.array_join(F.array_sort(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))), " ")
+    def grams(held: Column, n: int) -> Column:
+        at = F.sequence(F.lit(1), F.size(held) - n + 1)
+        made = F.transform(at, lambda i: F.array_join(F.slice(held, i, n), ""))
+        return F.when(F.size(held) >= n, made).otherwise(F.array().cast("array<string>"))
+
+    # The characters are bound first, so that they are found once and not for each place.
+    every = F.flatten(F.transform(F.array(chars), lambda c: F.concat(grams(c, 1), grams(c, 2), grams(c, 3))))
+    return F.array_join(F.array_sort(F.array_distinct(every)), " ")
 
 
 def anchor_tokens(name: str | Column) -> Column:
