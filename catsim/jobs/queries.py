@@ -30,11 +30,12 @@ def _all_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all_vectors(spark, sf_dir).where("vec_id % 10 <> 3").withColumnRenamed("vec_id", "faiss_id")
+    return _all_vectors(spark, sf_dir).withColumnRenamed("vec_id", "faiss_id")
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all_vectors(spark, sf_dir).where("vec_id % 10 = 3").withColumnRenamed("vec_id", "query_id")
+    """The query set of every search: ids divisible by 20, against all vectors."""
+    return _all_vectors(spark, sf_dir).where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
 
 
 def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +84,9 @@ def catalogue_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.orphans(_catalogue(spark, sf_dir), _vectors(spark, sf_dir))
+    """All parts as catalogue rows against all embeddings as vectors; neither table has all ids of the other."""
+    rows = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("faiss_id"))
+    return reports.orphans(rows, _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("faiss_id")))
 
 
 def ocr_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +148,7 @@ def _cn(column: str) -> Column:
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries in turn with their own category given, an unknown one given, automatic, and without any."""
-    turn = F.floor(F.col("query_id") / 10) % 4
+    turn = F.floor(F.col("query_id") / 20) % 4
     given = F.when(turn == 0, F.concat(F.lit("cat"), "label")).when(turn == 1, "none").otherwise("")
     return _queries(spark, sf_dir).withColumns({"category": given, "auto_category": turn == 2})
 
@@ -184,7 +187,7 @@ def feed_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classify_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries with structure, and raw ones (numbered from 1000000) that lie between categories."""
-    raw = _read(spark, sf_dir, "embeddings").where("vec_id % 10 = 3").select((F.col("vec_id") + 1000000).alias("query_id"), F.transform(F.slice("embedding", 1, 32), lambda x: x.cast("double")).alias("v"))
+    raw = _read(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select((F.col("vec_id") + 1000000).alias("query_id"), F.transform(F.slice("embedding", 1, 32), lambda x: x.cast("double")).alias("v"))
     both = _queries(spark, sf_dir).select("query_id", "coarse").unionByName(raw.select("query_id", search.unit("v").alias("coarse")))
     return categories.classify(both, categories.category_prototypes(_catalogue(spark, sf_dir), _vectors(spark, sf_dir)))
 
@@ -311,7 +314,7 @@ fined AS (SELECT vec_id, list_transform(v, lambda x: x / (sqrt(list_dot_product(
 half AS (SELECT vec_id, fine, fine[1:32] AS h FROM fined),
 vec AS (SELECT vec_id, fine, list_transform(h, lambda x: x / (sqrt(list_dot_product(h, h)) + 1e-8)) AS coarse FROM half),
 scored AS (SELECT q.vec_id AS query_id, v.vec_id AS faiss_id, round(list_dot_product(q.coarse, v.coarse), 9) AS clip,
-    round(list_dot_product(q.fine, v.fine), 9) AS raw FROM vec q, vec v WHERE q.vec_id % 10 = 3 AND v.vec_id % 10 <> 3),
+    round(list_dot_product(q.fine, v.fine), 9) AS raw FROM vec q, vec v WHERE q.vec_id % 20 = 0),
 coarse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY clip DESC, faiss_id) AS coarse_rank FROM scored QUALIFY coarse_rank <= 50)
 """
 _FEED = """
@@ -359,9 +362,9 @@ def _chinese(key: str, source: str, table: str) -> str:
 _CLASSIFY = """proto AS (SELECT category, list(CASE WHEN n = 1 THEN m ELSE m / (len + 1e-8) END ORDER BY pos) AS p FROM (
     SELECT *, sqrt(sum(m * m) OVER (PARTITION BY category)) AS len FROM (SELECT category, pos, avg(coarse[pos + 1]) AS m, count(*) AS n
         FROM (SELECT vec_id AS faiss_id, 'cat' || label AS category FROM embeddings JOIN part ON vec_id = p_partkey) JOIN vec ON faiss_id = vec_id, (SELECT unnest(range(0, 32)) AS pos)
-        WHERE vec_id % 10 <> 3 GROUP BY category, pos)) GROUP BY category),
-raw AS (SELECT vec_id + 1000000 AS query_id, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS h FROM embeddings WHERE vec_id % 10 = 3),
-asked AS (SELECT vec_id AS query_id, coarse FROM vec WHERE vec_id % 10 = 3
+        GROUP BY category, pos)) GROUP BY category),
+raw AS (SELECT vec_id + 1000000 AS query_id, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS h FROM embeddings WHERE vec_id % 20 = 0),
+asked AS (SELECT vec_id AS query_id, coarse FROM vec WHERE vec_id % 20 = 0
     UNION ALL SELECT query_id, list_transform(h, lambda x: x / (sqrt(list_dot_product(h, h)) + 1e-8)) FROM raw),
 near AS (SELECT query_id, category, round(list_dot_product(coarse, p), 9) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(coarse, p), 9) DESC, category) AS r
     FROM asked, proto),
@@ -371,7 +374,7 @@ classified AS (SELECT query_id, CASE WHEN confidence >= 0.02 THEN category END A
 _FILTERS = f"""filters AS (SELECT query_id, CASE turn WHEN 2 THEN predicted_category END AS predicted_category, CASE turn WHEN 2 THEN confidence END AS confidence,
     CASE WHEN turn < 2 THEN 'manual' WHEN turn = 3 OR predicted_category IS NULL THEN 'none' WHEN predicted_category IN (SELECT category FROM ({_NAMED})) THEN 'auto' ELSE 'auto_empty' END AS filter_source,
     CASE turn WHEN 0 THEN 'cat' || label WHEN 1 THEN 'none' WHEN 2 THEN predicted_category END AS only_category
-    FROM (SELECT c.*, label, (query_id // 10) % 4 AS turn FROM classified c JOIN embeddings ON vec_id = query_id)),
+    FROM (SELECT c.*, label, (query_id // 20) % 4 AS turn FROM classified c JOIN embeddings ON vec_id = query_id)),
 coarse AS (SELECT a.* FROM every a JOIN filters USING (query_id) LEFT JOIN ({_NAMED}) n USING (faiss_id) WHERE only_category IS NULL OR only_category = n.category)
 """
 _FILTERED = _CORE.replace("coarse AS (SELECT *, row", "every AS (SELECT *, row", 1).replace(", fused AS", ", " + _CLASSIFY + ", " + _FILTERS + ", fused AS", 1)
@@ -443,9 +446,9 @@ SELECT vec_id, pos::INT AS pos, round((s / (sqrt(sum(s * s) OVER (PARTITION BY v
     "keywords_en": rf"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\s\-/,.;:()\[\]{{}}|]+'),
         lambda t: length(t) > 3 AND t NOT IN ({_WORDS}) AND NOT regexp_matches(t, '^[0-9]+$')))), ' ') AS keywords_en FROM documents""",
     "category_stats": f"SELECT category, count(*) AS n FROM ({_CATALOGUE}) GROUP BY category",
-    "catalogue_stats": f"SELECT (SELECT count(*) FROM ({_CATALOGUE})) AS n_records, count(*) AS n_coarse, count(*) AS n_fine, 32 AS coarse_dim, 64 AS fine_dim FROM embeddings WHERE vec_id % 10 <> 3",
-    "orphans": f"""SELECT vec_id AS faiss_id, 'row' AS missing FROM embeddings WHERE vec_id % 10 <> 3 AND vec_id NOT IN (SELECT faiss_id FROM ({_CATALOGUE}))
-UNION ALL SELECT faiss_id, 'vector' FROM ({_CATALOGUE}) WHERE faiss_id % 10 = 3""",
+    "catalogue_stats": f"SELECT (SELECT count(*) FROM ({_CATALOGUE})) AS n_records, count(*) AS n_coarse, count(*) AS n_fine, 32 AS coarse_dim, 64 AS fine_dim FROM embeddings",
+    "orphans": """SELECT vec_id AS faiss_id, 'row' AS missing FROM embeddings WHERE vec_id NOT IN (SELECT p_partkey FROM part)
+UNION ALL SELECT p_partkey, 'vector' FROM part WHERE p_partkey NOT IN (SELECT vec_id FROM embeddings)""",
     "ocr_dedup": "SELECT event_id % 500 AS image_id, trim(event_type) AS text, max((event_id % 100) / 100.0) AS confidence FROM events WHERE (event_id % 100) / 100.0 >= 0.5 AND trim(event_type) <> '' GROUP BY ALL",
     "fold_queries": "SELECT md5(coalesce(text, '')) AS digest, lang AS category, min(doc_id) AS query_id, count(*) AS n FROM documents GROUP BY 1, 2",
     "feed_first_wins": _FEED + _FIRST,
@@ -456,7 +459,7 @@ UNION ALL SELECT faiss_id, 'vector' FROM ({_CATALOGUE}) WHERE faiss_id % 10 = 3"
 FROM ({_CORE}) JOIN embeddings ON faiss_id = embeddings.vec_id JOIN part ON faiss_id = p_partkey""",
     "category_prototypes": _VEC + f"""SELECT category, n, pos, round(CASE WHEN n = 1 THEN m ELSE m / (sqrt(sum(m * m) OVER (PARTITION BY category)) + 1e-8) END, 4) AS x
 FROM (SELECT category, pos, avg(coarse[pos + 1]) AS m, count(*) AS n FROM ({_CATALOGUE}) JOIN vec ON faiss_id = vec_id, (SELECT unnest(range(0, 32)) AS pos)
-    WHERE vec_id % 10 <> 3 GROUP BY category, pos)""",
+    GROUP BY category, pos)""",
     "sync_report": """SELECT page_id // 30 AS page, count_if(page_id % 3 <> 0 AND page_id % 7 <> 0) AS n_ok, count_if(page_id % 3 = 0) AS n_skipped,
     count_if(page_id % 3 <> 0 AND page_id % 7 = 0) AS n_failed, sum(length(html))::BIGINT AS bytes FROM pages GROUP BY ROLLUP (page_id // 30)""",
     "delete_rows": "SELECT vec_id AS faiss_id, 'cat' || label AS category, p_name || ' ' || p_type || ' ' || p_brand AS product_name FROM embeddings JOIN part ON vec_id = p_partkey WHERE label <> 3",
