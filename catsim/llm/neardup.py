@@ -8,9 +8,9 @@
    similarity is at most that share. Only the others go on; nothing is lost.
 3. Improved consistent weighted sampling draws ``bands * rows`` samples. Equal vectors become one node.
 4. Documents that agree on a band are candidates. Each band bucket first tests its members against its most central
-   one. Where a bucket then still holds several components, blocks of it are compared by matrix products, which return
-   one link for each pair of components. So the components are those of all candidate pairs that reach the threshold,
-   without a row for each pair of a dense group.
+   one. Where a bucket then still holds several components, the nodes outside its largest one are compared with the
+   whole bucket, block by block, by matrix products, which return one link for each pair of components. So the
+   components are those of all candidate pairs that reach the threshold, without a row for each pair of a dense group.
 """
 
 from __future__ import annotations
@@ -217,16 +217,25 @@ def _overlaps(left: list[tuple], right: list[tuple]) -> np.ndarray:
     return out
 
 
-def _crossing(open_: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Links between different components inside the buckets of ``open_`` (band, key, fp, comp, n).
+def _crossing(named: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Links between different components inside the buckets of ``named`` (band, key, fp, comp).
 
-    A bucket is cut into blocks of ``BLOCK`` nodes; one task takes two blocks and returns one link for each pair of
-    components, so neither the pairs nor a whole bucket are rows of one task.
+    The nodes of a bucket's largest component and the others are cut into blocks of ``BLOCK`` nodes each. Every block of
+    the others meets every block, but those of the largest component don't meet each other, so a bucket of m nodes with
+    few outside its main component costs about m comparisons for each of these. One task takes two blocks and returns
+    one link for each pair of components, so neither the pairs nor a whole bucket are rows of one task.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    sizes = named.groupBy("band", "key", "comp").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("band", "key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("n"), F.count("*").alias("comps"))
+    # The two nodes of a pair were compared already.
+    main = main.where("comps > 1 and n > 2").select("band", "key", F.col("top.comp").alias("main"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("m"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).cast("int").alias("r"))
+    # Blocks of the others are numbered 0 to r - 1, those of the largest component r to r + m - 1.
+    outside = F.col("comp") != F.col("main")
+    deal = lambda blocks: F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    own = F.when(outside, deal(F.col("r"))).otherwise(F.col("r") + deal(F.col("m")))
+    last = F.when(outside, F.col("r") + F.col("m") - 1).otherwise(F.col("r") - 1)
     vectors = nodes.select("fp", F.col("n").alias("size"), "vec")
-    dealt = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = named.join(main, ["band", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "comp")
 
     def test(table: pa.Table) -> pa.Table:
@@ -258,14 +267,12 @@ def _components(nodes: DataFrame, threshold: float) -> DataFrame:
     """(id, comp) of the nodes that have a partner."""
     members = nodes.select("fp", "central", F.posexplode("bands").alias("band", "key"))
     centre = members.groupBy("band", "key").agg(F.max(F.struct("central", "fp")).alias("top"), F.count("*").alias("n")).where("n > 1")
-    buckets = write_table(members.join(centre, ["band", "key"]).select("band", "key", "fp", F.col("top.fp").alias("top"), "n"), "buckets")
+    buckets = write_table(members.join(centre, ["band", "key"]).select("band", "key", "fp", F.col("top.fp").alias("top")), "buckets")
     pairs = write_table(buckets.where("fp <> top").select(*_pair("fp", "top")).distinct(), "pairs")
     links = write_table(_verified(pairs, nodes, threshold), "links")
     labels = connected_components(links)
-    named = buckets.join(labels, buckets.fp == labels.id, "left").select("band", "key", "fp", "n", F.coalesce("comp", "fp").alias("comp"))
-    mixed = named.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "key")
-    open_ = named.join(mixed, ["band", "key"], "left_semi").where("n > 2")
-    crossing = write_table(_crossing(open_, nodes, threshold), "links")
+    named = buckets.join(labels, buckets.fp == labels.id, "left").select("band", "key", "fp", F.coalesce("comp", "fp").alias("comp"))
+    crossing = write_table(_crossing(named, nodes, threshold), "links")
     return labels if crossing.isEmpty() else connected_components(links.union(crossing))
 
 
