@@ -4,8 +4,9 @@ Labels are given for documents, and the field learns from labelled tokens. A bou
 the tokens their labels: a word or word beginning that many different contexts of toxic documents have, and almost none
 of the others, marks its tokens in toxic documents. The field has a hashed weight for a word and for its beginnings,
 half of the tokens showing only the short ones in training so that new endings are known, and a 2 x 2 transition matrix.
-Chains of clean text that share a beginning with marked tokens come first among the negative ones. Forward-backward gives each token's marginal; runs of tokens at 0.5 or more are the
-offending spans, and a logistic layer turns the largest marginal, their sum and their share into the document's score.
+Chains of clean text that share a beginning with marked tokens come first among the negative ones. Forward-backward gives
+each token's marginal; runs of tokens at 0.5 or more are the offending spans, and a logistic layer turns the largest
+marginal, their sum and their share into the document's score.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ SCHEMA = "doc_id long, score double, spans array<struct<start:long,end:long>>"
 
 
 def _words(texts: list[str]) -> tuple[Words, np.ndarray]:
-    words = split_words([t.lower().encode() for t in texts], _SEPARATORS)
+    """Words in lower case; the one letter that would become two characters stays one, so that offsets hold."""
+    words = split_words([t.replace("\u0130", "i").lower().encode() for t in texts], _SEPARATORS)
     return words, hash_spans(words.buf, words.starts, words.ends)
 
 
@@ -186,20 +188,19 @@ def _table(model: dict) -> np.ndarray:
     return table
 
 
-def _spans(words: Words, texts: list[str], p: np.ndarray) -> list[list[dict]]:
-    """Runs of neighbouring tokens at 0.5 or more, in code points of the text; where lower-casing changes a text's length,
-    offsets are those of the lower-cased text."""
-    out: list[list[dict]] = [[] for _ in texts]
-    last = -2
-    for k in np.flatnonzero(p >= 0.5).tolist():
-        d = int(words.doc[k])
+def _spans(words: Words, p: np.ndarray) -> list[list[dict]]:
+    """Runs of neighbouring tokens at 0.5 or more of each text, in code points."""
+    out: list[list[dict]] = [[] for _ in words.counts]
+    at = np.flatnonzero(p >= 0.5)
+    for own in np.split(at, np.flatnonzero(np.diff(words.doc[at])) + 1) if len(at) else []:
+        d = int(words.doc[own[0]])
         base = int(words.doc_starts[d])
-        end = len(words.buf[base : int(words.ends[k])].decode())
-        if k == last + 1 and out[d]:
-            out[d][-1]["end"] = end
-        else:
-            out[d].append({"start": end - len(words.buf[int(words.starts[k]) : int(words.ends[k])].decode()), "end": end})
-        last = k
+        raw = np.frombuffer(words.buf, np.uint8, int(words.ends[own[-1]]) - base, base)
+        upto = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        new = np.diff(own) > 1
+        first, last = own[np.concatenate([[True], new])], own[np.concatenate([new, [True]])]
+        edges = zip(upto[words.starts[first] - base].tolist(), upto[words.ends[last] - base].tolist(), strict=True)
+        out[d] = [{"start": a, "end": b} for a, b in edges]
     return out
 
 
@@ -234,7 +235,7 @@ def score_documents(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             words, h = _words(texts)
             x, p = _document_features(words, h, model, table)
             score = 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ model["top"], -30, 30)))
-            columns = [batch.column(0), pa.array(score, pa.float64()), pa.array(_spans(words, texts, p), pa.list_(span))]
+            columns = [batch.column(0), pa.array(score, pa.float64()), pa.array(_spans(words, p), pa.list_(span))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "spans"])
 
     small_batches(docs.sparkSession)

@@ -27,6 +27,16 @@ def test_marginals_against_enumeration():
     assert np.allclose(expected, want) and np.isclose(expected.sum(), total)
 
 
+def test_spans_in_code_points():
+    texts = ["", "İé bad, worse ok İ bad", "ok", "bad " * 200_000]
+    words, h = toxicity._words(texts)
+    names = [words.buf[a:b].decode() for a, b in zip(words.starts, words.ends)]
+    got = toxicity._spans(words, np.array([float(n in ("bad", "worse")) for n in names]))
+    assert got[:3] == [[], [{"start": 3, "end": 13}, {"start": 19, "end": 22}], []]
+    assert got[3] == [{"start": 0, "end": len(texts[3]) - 1}]
+    assert toxicity._spans(words, np.zeros(len(names))) == [[], [], [], []]
+
+
 def corpus(n=900, seed=2):
     r = random.Random(seed)
     bad = ["Trash", "idiot", "moron!", *("chlla" + e for e in "vero ndo ta tes nu dad mo so gu ze".split())]
