@@ -298,7 +298,10 @@ def near_duplicate_classes(
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """One row of each near-duplicate class: that of the least doc_id. Rows without doc_id stay; columns are unchanged."""
+    """One row of each near-duplicate class: that of the least doc_id. Columns are unchanged.
+
+    Rows without doc_id stay. doc_id is taken as a key: of rows that share one, at most one stays.
+    """
     classes = near_duplicate_classes(docs.select("doc_id", "text"), **params)
     kept = classes.where("doc_id = class_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
