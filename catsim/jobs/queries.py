@@ -63,11 +63,11 @@ def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, vectors = _queries(spark, sf_dir), _vectors(spark, sf_dir)
-    return search.rerank(search.coarse_topk(queries, vectors, 50), queries, vectors)
+    return search.rerank(search.coarse_topk(queries, vectors), queries, vectors)
 
 
 def coarse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = search.coarse_topk(_queries(spark, sf_dir), _vectors(spark, sf_dir), 50)
+    got = search.coarse_topk(_queries(spark, sf_dir), _vectors(spark, sf_dir))
     return got.withColumn("clip_score", F.round("clip_score", 4))
 
 
@@ -158,7 +158,7 @@ def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answer(spark: SparkSession, sf_dir: str) -> Answer:
-    return batch_search(_asked(spark, sf_dir), _catalogue(spark, sf_dir), _vectors(spark, sf_dir), coarse_k=50)
+    return batch_search(_asked(spark, sf_dir), _catalogue(spark, sf_dir), _vectors(spark, sf_dir))
 
 
 def _old_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +195,7 @@ def classify_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_category_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, rows, vectors = _asked(spark, sf_dir), _catalogue(spark, sf_dir), _vectors(spark, sf_dir)
     filters = categories.category_filters(asked, categories.classify(asked, categories.category_prototypes(rows, vectors)), rows)
-    return search.rerank(categories.restrict(search.coarse_topk(asked, vectors, 50), filters, rows), asked, vectors)
+    return search.rerank(categories.restrict(search.coarse_topk(asked, vectors), filters, rows), asked, vectors)
 
 
 def name_anchor_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
