@@ -45,7 +45,7 @@ def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("vec_id").alias("faiss_id"), F.concat(F.lit("cat"), "label").alias("category"), name.alias("product_name"))
 
 
-def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _feed(spark: SparkSession, sf_dir: str, en_len: int = 60) -> DataFrame:
     pages = _read(spark, sf_dir, "pages")
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     kind = F.split(F.regexp_replace(F.col("url"), r"^\w+://", ""), "/")[1]
@@ -54,7 +54,7 @@ def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("name"), title.alias("nameEn"), F.when(F.col("page_id") % 4 != 0, kind).alias("tag"), kind.alias("category"),
     )
     again = first.where("id % 5 = 0").withColumns({"page": F.col("page") + 1000, "nameEn": F.concat(F.lit("v2 "), "nameEn"), "img": F.concat(F.substring_index("img", "?", 1), F.lit("?v=2"))})
-    return ingest.project_products(first.unionByName(again))
+    return ingest.project_products(first.unionByName(again), en_len)
 
 
 def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +228,8 @@ def name_keyword_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def backfill_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.backfill_names(_old_catalogue(spark, sf_dir), _feed(spark, sf_dir).withColumn("product_name_cn", _cn("product_name")))
+    """Back-fill keeps 100 characters of an English name, a sync 60."""
+    return ingest.backfill_names(_old_catalogue(spark, sf_dir), _feed(spark, sf_dir, en_len=100).withColumn("product_name_cn", _cn("product_name")))
 
 
 def backfill_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
