@@ -10,12 +10,13 @@ non-overlapping matches of their patterns:
     phone  \\+[0-9][\\x20().0-9-]+[0-9], 9 to 15 digits
 
 Two kinds come on top: ``url``, an address with a user part (scheme://user@host), and ``account``, the value that
-follows an identifier cue.
+follows an identifier cue in any case, after up to two link words and in groups if it is an IBAN or a number.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import cache
 from string import ascii_letters, digits
@@ -28,8 +29,13 @@ from catsim.llm.storage import small_batches
 
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = KINDS[:4]
-CUES = ("account", "acct", "iban", "passport", "password", "secret", "ssn", "token", "api_key")
-MIN_VALUE, MIN_DIGITS = 8, 4
+#: Cues whose values people write in groups, and the others.
+NUMBERED = ("account", "acct", "iban", "passport", "ssn")
+CUES = (*NUMBERED, "password", "secret", "token", "api_key")
+#: Words between a cue and its value, at most two of them.
+LINK = re.compile(r"[ :=#\"'_-]{1,6}(?:number|num|no|nr|id|is)(?![A-Za-z0-9])\.?")
+MIN_VALUE, MIN_DIGITS, MAX_DIGITS = 8, 4, 19
+MIN_IBAN, MAX_IBAN = 15, 34
 _LOCAL = frozenset(ascii_letters + digits + "._%+-")
 _LABEL = frozenset(ascii_letters + digits + "-")
 _PHONE = frozenset(" ()." + digits + "-")
@@ -49,8 +55,7 @@ def anchors():
     for key, kind in [("@", "at"), ("+", "plus"), ("://", "scheme"), *((d, "digit") for d in digits)]:
         found.add_word(key, kind)
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, "cue")
+        found.add_word(cue, "cue")
     found.make_automaton()
     return found
 
@@ -147,22 +152,66 @@ def _urls(text: str, schemes: list[int]) -> Iterator[Span]:
             yield "url", start, end
 
 
-def _accounts(text: str, cues: list[int]) -> Iterator[Span]:
+def iban(value: str) -> bool:
+    """Whether a value without spaces has an IBAN's form and checksum."""
+    if not (MIN_IBAN <= len(value) <= MAX_IBAN and re.fullmatch(r"[A-Za-z]{2}[0-9]{2}[A-Za-z0-9]+", value)):
+        return False
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
+
+
+def _grouped(text: str, start: int, end: int) -> int:
+    """The end of the value at ``start`` whose first group ends at ``end`` and whose groups lie single spaces apart.
+
+    The longest groups that make an IBAN, or else groups of two digits or more, the first of which may be up to three
+    capitals, of eight characters or more and at most 19 digits in all; without such groups, ``end``.
+    """
+    joined, best, numbers = text[start:end], 0, end
+    size, count, at = len(joined), sum(c in _DIGITS for c in joined), end
+    plain = count >= 2 and not any(c in ascii_letters for c in joined) or size <= 3 and joined.isupper()
+    while text[at : at + 1] == " " and (more := _run(text, at + 1, _VALUE)) > at + 1 and len(joined) <= MAX_IBAN:
+        group = text[at + 1 : more]
+        joined += group
+        if iban(joined):
+            best = more
+        inside = sum(c in _DIGITS for c in group)
+        plain = plain and inside >= 2 and not any(c in ascii_letters for c in group) and count + inside <= MAX_DIGITS
+        if plain:
+            numbers, size, count = more, len(joined), count + inside
+        at = more
+    return best or (numbers if size >= MIN_VALUE else end)
+
+
+def _accounts(text: str, low: str, cues: list[int]) -> Iterator[Span]:
     done = 0
     for at in cues:
         start = at
-        while start < len(text) and start - at < 6 and text[start] in " :=#\"'":
+        for _ in range(2):
+            if link := LINK.match(low, start):
+                start = link.end()
+        after = start
+        while start < len(text) and start - after < 6 and text[start] in " :=#\"'":
             start += 1
+        if start < done or at == start or start == after and text[start - 1] != ".":
+            continue
         end = _run(text, start, _VALUE)
-        if start >= done and at < start and end - start >= MIN_VALUE and sum(c in _DIGITS for c in text[start:end]) >= MIN_DIGITS:
+        if end > start and low.endswith(NUMBERED, 0, at):
+            end = _grouped(text, start, end)
+        if end - start >= MIN_VALUE and sum(c in _DIGITS for c in text[start:end]) >= MIN_DIGITS:
             done = end
             yield "account", start, end
 
 
+def _lower(text: str) -> str:
+    """A text in lower case, of equal length: a letter that would become two stays."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def find_spans(text: str) -> list[Span]:
     """All spans of a text as (kind, start, end) in code points, end exclusive, by start and then kind as in `KINDS`."""
     at: dict[str, list[int]] = {"at": [], "plus": [], "digit": [], "scheme": [], "cue": []}
-    for last, kind in anchors().iter(text):
+    low = _lower(text)
+    for last, kind in anchors().iter(low):
         at[kind].append(last)
     if not any(at.values()):
         return []
@@ -173,7 +222,7 @@ def find_spans(text: str) -> list[Span]:
         *_cards(text, runs),
         *_phones(text, at["plus"]),
         *_urls(text, [p - 2 for p in at["scheme"]]),
-        *_accounts(text, [p + 1 for p in at["cue"]]),
+        *_accounts(text, low, [p + 1 for p in at["cue"]]),
     ]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
