@@ -300,9 +300,13 @@ def near_duplicate_classes(
 def keep_one(docs: DataFrame, **params) -> DataFrame:
     """One row of each near-duplicate class: that of the least doc_id. Columns are unchanged.
 
-    Rows without doc_id stay. doc_id is taken as a key: of rows that share one, at most one stays.
+    Rows without doc_id stay. Rows that share a doc_id but hold different texts are different documents, each in the class
+    of its own text; of rows equal in both one is taken. Rows are told apart by 64 bits of both.
     """
-    classes = near_duplicate_classes(docs.select("doc_id", "text"), **params)
-    kept = classes.where("doc_id = class_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    named = docs.where("doc_id is not null").withColumn("_row", F.xxhash64("doc_id", "text"))
+    classes = near_duplicate_classes(named.select(F.col("_row").alias("doc_id"), "text"), **params).distinct()
+    members = named.select("doc_id", "_row").join(classes.select(F.col("doc_id").alias("_row"), "class_id"), "_row")
+    least = members.groupBy("class_id").agg(F.min(F.struct("doc_id", "_row")).alias("least"))
+    kept = least.select("least.doc_id", "least._row").distinct()
+    single = named.join(kept, ["doc_id", "_row"], "left_semi").dropDuplicates(["doc_id", "_row"])
+    return single.select(docs.columns).unionByName(docs.where("doc_id is null"))
