@@ -24,7 +24,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.toxicity(_documents(spark, sf_dir), labels).select("doc_id", "held_out", "score", "predicted")
+    return toxicity.toxicity(_documents(spark, sf_dir), labels).select("doc_id", "held_out", "score", "predicted", "spans")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +81,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.ORACLE_SQL, "op6_chat_format": chat.ORACLE_SQL}
+    return {
+        "op3_quality_rules": quality.ORACLE_SQL,
+        "op6_chat_format": chat.ORACLE_SQL,
+        "op7_substring_dedup": substring.ORACLE_SQL,
+        "op9_mixing": mixing.ORACLE_SQL,
+    }

@@ -8,22 +8,25 @@ are folded into tables over byte pairs, so that a window costs look-ups and maxi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catsim.llm.storage import small_batches
+from catsim.llm.storage import bounded, bounded_sample, column, doc_type, free_name, id_and_text
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS, EMBEDDING = 16, 8
-#: Labelled documents that training sees at most (expected number of a draw by hash), and windows from each.
+#: Labelled documents that training sees at most, and windows from each.
 TRAIN_DOCS, TRAIN_WINDOWS = 4000, 4
 STEPS, BATCH, RATE = 600, 96, 4e-3
 UNKNOWN = "und"
+#: A text in a known language is likelier in it than in all others together.
+MIN_SCORE = 0.5
 #: Windows that one look-up handles.
 BLOCK = 48
 
@@ -121,21 +124,22 @@ def held_out_row(mod: int, rest: int) -> Column:
 
 
 def training_windows(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows, label numbers and languages from about ``max_docs`` labelled rows, drawn by a hash of text and doc_id."""
+    """Windows, label numbers and languages from at most ``max_docs`` labelled rows, drawn by a hash of doc_id and text.
+
+    The windows of a row are seeded by its text, and rows come in the order of their hash, so that the model doesn't hang
+    on the partitioning. Rows that share an id, or have none, are drawn by their texts; equal rows count once.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(0)
-        for batch in batches:
+        for batch in bounded(batches, text=0):
             texts = [x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()]
-            starts = [rng.integers(0, max(1, len(t) - WINDOW // 2), TRAIN_WINDOWS) for t in texts]
+            starts = [np.random.default_rng(zlib.crc32(t)).integers(0, max(1, len(t) - WINDOW // 2), TRAIN_WINDOWS) for t in texts]
             parts = [[t[a : a + WINDOW] for a in s.tolist()] for t, s in zip(texts, starts, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.list_(pa.binary())), batch.column(1)], ["parts", "lang"])
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.list_(pa.binary())), *batch.columns[1:]], ["parts", "lang", "draw"])
 
-    labelled = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    total = labelled.count()
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.length("text")), 11) * F.lit(2.0**-53)
-    some = labelled.where(draw < min(1.0, max_docs / max(total, 1))).select("text", "lang")
-    got = some.mapInArrow(cut, "parts array<binary>, lang string").toArrow()
+    labelled = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    some = bounded_sample(labelled, ["doc_id", "text"], max_docs).select("text", "lang", F.xxhash64("doc_id", "text").alias("draw"))
+    got = some.mapInArrow(cut, "parts array<binary>, lang string, draw long").toArrow().sort_by([("draw", "ascending"), ("lang", "ascending")])
     langs = sorted(set(got["lang"].to_pylist()))
     blobs = [b for parts in got["parts"].to_pylist() for b in parts]
     windows = np.frombuffer(b"".join(b + bytes(WINDOW - len(b)) for b in blobs), np.uint8).reshape(-1, WINDOW)
@@ -179,18 +183,17 @@ def score_texts(texts: list, model: dict[str, np.ndarray], langs: list[str]) ->
 def predict(docs: DataFrame, model: dict[str, np.ndarray], langs: list[str]) -> DataFrame:
     """(doc_id, lang_pred, score) for each row of ``docs`` (doc_id, text).
 
-    A text that is null or has no letter gets ``und`` and score 0, as does every text if no language was learned. Equal
-    texts, and so repeated rows, get equal results; further columns are ignored; an empty table gives no rows.
+    A text that is null or has no letter gets ``und`` and score 0, as does every text if no language was learned; of
+    languages that are equally likely the first by name is taken. A very long text is all its windows. Equal texts, and so
+    repeated rows, get equal results; further columns are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             names, scores = score_texts(batch.column(1).to_pylist(), model, langs)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return id_and_text(docs).mapInArrow(run, f"doc_id {doc_type(docs)}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, mod: int = 4, rest: int = 2, max_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -199,16 +202,28 @@ def identify(docs: DataFrame, mod: int = 4, rest: int = 2, max_docs: int = TRAIN
     return predict(docs, model, langs).select("doc_id", held_out_row(mod, rest).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, min_score: float = 0.3, **params) -> DataFrame:
-    """Rows of ``docs`` whose text gets a language with at least ``min_score``; columns are unchanged."""
+def keep_known(docs: DataFrame, languages: Collection[str] | None = None, min_score: float = MIN_SCORE, **params) -> DataFrame:
+    """Rows of ``docs`` whose text gets a language, one of ``languages`` if they are given, with at least ``min_score``.
+
+    ``lang`` is filled in where it was null; all other columns, whatever their names, are unchanged. Null and empty texts,
+    texts without a letter and, if no language was learned, all rows go. Equal texts, and so repeated rows, stay or go
+    together; a very long text is judged by all its windows; an empty table gives no rows.
+    """
     model, langs = fit(docs.where(~held_out_row(4, 2)), **params)
 
-    @F.pandas_udf("boolean")
-    def sure(texts):
+    @F.pandas_udf("string")
+    def told(texts):
         import pandas as pd
 
-        names, scores = score_texts(texts.tolist(), model, langs)
-        return pd.Series([n != UNKNOWN and s >= min_score for n, s in zip(names, scores.tolist(), strict=True)], dtype=bool)
-
-    small_batches(docs.sparkSession)
-    return docs.where(sure("text"))
+        out: list[str | None] = []
+        for batch in bounded(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])]), text=0):
+            names, scores = score_texts(batch.column(0).to_pylist(), model, langs)
+            sure = [n != UNKNOWN and s >= min_score and (languages is None or n in languages) for n, s in zip(names, scores.tolist(), strict=True)]
+            out += [n if ok else None for n, ok in zip(names, sure, strict=True)]
+        return pd.Series(out, dtype=object)
+
+    name = free_name("told", docs)
+    # Said to be nondeterministic, so that Spark doesn't run the network once for the filter and once for the column.
+    kept = docs.withColumn(name, told.asNondeterministic()("text")).where(F.col(name).isNotNull())
+    kind = docs.schema["lang"].dataType
+    return kept.withColumn("lang", F.coalesce("lang", F.col(name).cast(kind))).select(*map(column, docs.columns))

@@ -1,7 +1,7 @@
 """Media columns: texts stored losslessly as PNG images, read back with checks, and hashed by low frequencies.
 
-A payload is an image of 8-bit gray samples, ``WIDTH`` wide. Rows are filtered by the usual heuristic (least sum of
-absolute differences), compressed by zlib and framed in chunks. The reader tests signature, chunk checksums and sizes,
+A payload is an image of 8-bit gray samples, ``WIDTH`` wide. Each row takes that of three filters (none, sub, up) whose
+sum of absolute values is least; the rows are compressed by zlib and framed in chunks. The reader tests signature, chunk checksums and sizes,
 and undoes all five filters in numpy. The feature is the sign pattern of the lowest frequencies of the two-dimensional
 cosine transform of the image, averaged down to 32 x 32.
 """
@@ -16,17 +16,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from catsim.llm.storage import small_batches
+from catsim.llm.storage import bounded, doc_type, id_and_text
 
 WIDTH = 576
 PAD = b"\xff"
 SIDE, LOW = 32, 8
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-MEDIA_SCHEMA = "doc_id long, n_bytes long, media binary, feature binary"
+MEDIA_SCHEMA = "n_bytes long, media binary, feature binary"
 DIGEST_SCHEMA = (
-    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
+    "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
     "media_sha256 string, feature string"
 )
 
@@ -136,20 +135,15 @@ def _read(batch: pa.RecordBatch) -> list[bytes]:
     return [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession, "500")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
 def media_columns(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media, feature): each text as a PNG, and the hash of what is read back from it.
 
-    A null text counts as empty and gives one row of padding. Equal texts give equal values; columns other than doc_id
-    and text are ignored; an empty table gives no rows.
+    A null text counts as empty and gives one row of padding; a very long one is one tall image. Equal texts, and so
+    repeated rows, give equal values; columns other than doc_id and text are ignored; an empty table gives no rows.
     """
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             texts = _read(batch)
             media = [encode_png(to_payload(t)) for t in texts]
             columns = [
@@ -160,14 +154,14 @@ def media_columns(docs: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "media", "feature"])
 
-    return _rows(docs).mapInArrow(store, MEDIA_SCHEMA)
+    return id_and_text(docs).mapInArrow(store, f"doc_id {doc_type(docs)}, {MEDIA_SCHEMA}")
 
 
 def media_digests(media: DataFrame) -> DataFrame:
     """What a reader of `media_columns` finds: sizes and digests of the stored bytes and of the payload in them."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, text=2):
             blobs = batch.column(2).to_pylist()
             payloads = [decode_png(m).tobytes() for m in blobs]
             columns = [
@@ -180,6 +174,6 @@ def media_digests(media: DataFrame) -> DataFrame:
                 pa.array([hashlib.sha256(m).hexdigest() for m in blobs], pa.string()),
                 pa.array([f.hex() for f in batch.column(3).to_pylist()], pa.string()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in DIGEST_SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(f.split()[0] for f in DIGEST_SCHEMA.split(", "))])
 
-    return media.select("doc_id", "n_bytes", "media", "feature").mapInArrow(read, DIGEST_SCHEMA)
+    return media.select("doc_id", "n_bytes", "media", "feature").mapInArrow(read, f"doc_id {doc_type(media)}, {DIGEST_SCHEMA}")

@@ -6,11 +6,14 @@
    from falling below the threshold.
 2. A document whose shingles of df >= 2 hold less than ``threshold`` of its weight has no partner: the weighted Jaccard
    similarity is at most that share. Only the others go on; nothing is lost.
-3. Improved consistent weighted sampling draws ``bands * rows`` samples. Equal vectors become one node.
+3. Improved consistent weighted sampling draws ``bands * rows`` samples. Equal vectors become one node, which is named by
+   its least doc_id, so that the least name of a component is its class.
 4. Documents that agree on a band are candidates. Each band bucket first tests its members against its most central
    one. Where a bucket then still holds several components, the nodes outside its largest one are compared with the
-   whole bucket, block by block, by matrix products, which return one link for each pair of components. So the
-   components are those of all candidate pairs that reach the threshold, without a row for each pair of a dense group.
+   whole bucket, block by block, by matrix products, which return one link for each pair of components. Nodes are dealt
+   to blocks by weight, and blocks whose weights and shared weights rule the threshold out never meet: pages of one
+   template that share less than the threshold cost no comparison. So the components are those of all candidate pairs
+   that reach the threshold, without a row for each pair of a dense group.
 """
 
 from __future__ import annotations
@@ -21,10 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from catsim.llm.graph import connected_components
+from catsim.llm.graph import connected_components, spread_join
 from catsim.llm.packs import _from_planes, _planes, count_hashes, decode_count, pack_documents, with_counts
-from catsim.llm.storage import write_table
+from catsim.llm.storage import column, doc_type, drop_table, free_name, write_table
 from catsim.llm.tokens import doc_windows, hash_spans, mix, split_words
 
 SHINGLE = 5
@@ -38,8 +42,12 @@ IDF_DAMPING = 0.25
 BLOCK = 256
 COLUMNS = 4096
 _MASK = np.uint64((1 << BITS) - 1)
+#: Numbers of groups and blocks of a bucket's largest component start here.
+_MAIN = 1 << 60
 _TABLE = 1 << 16
-VECTOR_SCHEMA = "doc_id long, fp binary, central double, bands array<long>, n int, vec binary"
+#: Weights of one class of a bucket differ by less than this factor.
+WEIGHT_CLASS = 1.1
+VECTOR_SCHEMA = "fp binary, central double, total double, shared double, bands array<long>, n int, vec binary"
 
 
 def _shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,8 +111,14 @@ def _decode(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _vectors(docs: DataFrame, width: int, threshold: float, bands: int, rows: int) -> DataFrame:
     packs = pack_documents(docs)
     n_docs = packs.agg(F.sum(F.size("doc_ids"))).first()[0] or 0
-    counts = count_hashes(packs, lambda texts: _shingles(texts, width), BITS, per_document=True)
-    tables = sampling_tables()
+
+
+    def hasher(texts: list[bytes]) -> tuple[np.ndarray, None, np.ndarray]:
+        h, doc = _shingles(texts, width)
+        return h, None, doc
+
+    counts = count_hashes(packs, hasher, BITS, per_document=True)
+    kind, tables = to_arrow_type(docs.schema["doc_id"].dataType), sampling_tables()
     log_n = np.log1p(max(n_docs, 1))
 
     def vectors(ids: list, texts: list[bytes], codes: np.ndarray) -> pa.Table:
@@ -145,16 +159,18 @@ def _vectors(docs: DataFrame, width: int, threshold: float, bands: int, rows: in
                 vecs[d] = _encode(own_h[s], own_tf[s], own_idf[s])
         return pa.table(
             {
-                "doc_id": pa.array(ids, pa.int64()),
+                "doc_id": pa.array(ids, kind),
                 "fp": pa.array(fps, pa.binary()),
                 "central": pa.array(central, pa.float64()),
+                "total": pa.array(total, pa.float64()),
+                "shared": pa.array(shared, pa.float64()),
                 "bands": pa.array(keys, pa.list_(pa.int64())),
                 "n": pa.array(hi - lo, pa.int32()),
                 "vec": pa.array(vecs, pa.binary()),
             }
         )
 
-    return write_table(with_counts(packs, counts, vectors, VECTOR_SCHEMA), "vectors")
+    return write_table(with_counts(packs, counts, vectors, f"doc_id {doc_type(docs)}, {VECTOR_SCHEMA}"), "vectors")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -168,9 +184,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
             ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = nodes.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("vec").alias("vec_a"))
-    right = nodes.select(F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("vec").alias("vec_b"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(test, "a binary, b binary")
+    left = nodes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("vec").alias("vec_a"))
+    right = nodes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("vec").alias("vec_b"))
+    kind = nodes.schema["id"].dataType.simpleString()
+    return pairs.join(left, "a").join(right, "b").mapInArrow(test, f"a {kind}, b {kind}")
 
 
 def _pair(x: str, y: str) -> list:
@@ -217,33 +234,55 @@ def _overlaps(left: list[tuple], right: list[tuple]) -> np.ndarray:
     return out
 
 
+def _meetings(named: DataFrame, threshold: float) -> DataFrame:
+    """Which blocks of a bucket have to be compared: (band, key, group, blocks, other, other_blocks, low), both ways round.
+
+    A group is a weight class of a bucket's largest component, or of the other nodes. Two nodes of weights x and y whose
+    overlap is at most z reach the threshold t only if z >= t / (1 + t) * (x + y); as z is at most what each shares with
+    any other document, ``cap`` = shared * (1 + t) / t - x is the greatest weight of a partner. Groups of which no two nodes
+    can be partners, and those inside the largest component, don't meet. The numbers of groups of a bucket don't grow with it.
+    """
+    stats = named.groupBy("band", "key", "group").agg(
+        F.count("*").alias("n"), F.max("cap").alias("cap"), F.min("total").alias("low"), F.max("total").alias("high")
+    )
+    own = stats.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    other = own.select("band", "key", *[F.col(c).alias(f"o_{c}") for c in ("group", "blocks", "cap", "low", "high")])
+    near = (F.col("cap") >= F.col("o_low")) & (F.col("o_cap") >= F.col("low"))
+    near &= (F.col("high") >= threshold * (1 - 1e-9) * F.col("o_low")) & (F.col("o_high") >= threshold * (1 - 1e-9) * F.col("low"))
+    inside = F.col("group") >= _MAIN
+    pairs = own.join(other, ["band", "key"]).where(near & ~(inside & (F.col("o_group") >= _MAIN)))
+    return pairs.select("band", "key", "group", "blocks", F.col("o_group").alias("other"), F.col("o_blocks").alias("other_blocks"), F.col("o_low").alias("low"))
+
+
 def _crossing(named: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Links between different components inside the buckets of ``named`` (band, key, fp, comp).
+    """Links between different components inside the buckets of ``named`` (band, key, id, total, shared, comp).
 
-    The nodes of a bucket's largest component and the others are cut into blocks of ``BLOCK`` nodes each. Every block of
-    the others meets every block, but those of the largest component don't meet each other, so a bucket of m nodes with
-    few outside its main component costs about m comparisons for each of these. One task takes two blocks and returns
-    one link for each pair of components, so neither the pairs nor a whole bucket are rows of one task.
+    One task takes two blocks of at most about ``BLOCK`` nodes and returns one link for each pair of components, so
+    neither the pairs nor a whole bucket are rows of one task. Nodes of the largest component don't meet each other.
     """
     sizes = named.groupBy("band", "key", "comp").agg(F.count("*").alias("c"))
     main = sizes.groupBy("band", "key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("n"), F.count("*").alias("comps"))
     # The two nodes of a pair were compared already.
-    main = main.where("comps > 1 and n > 2").select("band", "key", F.col("top.comp").alias("main"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("m"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).cast("int").alias("r"))
-    # Blocks of the others are numbered 0 to r - 1, those of the largest component r to r + m - 1.
-    outside = F.col("comp") != F.col("main")
-    deal = lambda blocks: F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    own = F.when(outside, deal(F.col("r"))).otherwise(F.col("r") + deal(F.col("m")))
-    last = F.when(outside, F.col("r") + F.col("m") - 1).otherwise(F.col("r") - 1)
-    vectors = nodes.select("fp", F.col("n").alias("size"), "vec")
-    dealt = named.join(main, ["band", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "comp")
+    main = main.where("comps > 1 and n > 2").select("band", "key", F.col("top.comp").alias("main"))
+    cap = F.col("shared") * ((1 + threshold) / threshold * (1 + 1e-9)) - F.col("total") + 1e-6
+    weight = F.floor(F.log(F.greatest("total", F.lit(1e-9))) / float(np.log(WEIGHT_CLASS))) + 10_000
+    group = F.shiftleft(weight.cast("long"), 32) + F.when(F.col("comp") == F.col("main"), F.lit(_MAIN)).otherwise(F.lit(0))
+    placed = spread_join(named, main, ["band", "key"], "id").select("band", "key", "id", "comp", "total", cap.alias("cap"), group.alias("group"))
+    placed = write_table(placed, "placed")
+    vectors = nodes.select("id", F.col("n").alias("size"), "vec")
+    met = spread_join(placed, _meetings(placed, threshold), ["band", "key", "group"], "id").where("cap >= low")
+    own = F.col("group") + F.pmod(F.xxhash64("id"), F.col("blocks"))
+    dealt = met.withColumn("own", own).withColumn("nth", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1))).withColumn("to", F.col("other") + F.col("nth"))
+    dealt = dealt.select("band", "key", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "own", "id", F.col("comp.fp").alias("comp"))
+    kind = nodes.schema["id"].dataType
+    arrow = to_arrow_type(kind)
 
     def test(table: pa.Table) -> pa.Table:
-        rows = table.select(["own", "i", "j", "fp", "comp", "size", "vec"]).to_pylist()
+        rows = table.select(["own", "i", "j", "id", "comp", "size", "vec"]).to_pylist()
         left = [r for r in rows if r["own"] == r["i"]]
         right = [r for r in rows if r["own"] == r["j"]]
         a_out, b_out = [], []
-        if left and right:
+        if left and right and any(r["comp"] != rows[0]["comp"] for r in rows):
             vec_l, vec_r = ([_decode(r["vec"], r["size"]) for r in side] for side in (left, right))
             name = {c: k for k, c in enumerate(dict.fromkeys(r["comp"] for r in rows))}
             comp_l, comp_r = (np.array([name[r["comp"]] for r in side]) for side in (left, right))
@@ -256,23 +295,24 @@ def _crossing(named: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
                 pair = (min(comp_l[p], comp_r[q]), max(comp_l[p], comp_r[q]))
                 if pair not in done and weighted_jaccard(vec_l[p], vec_r[q]) >= threshold - 1e-9:
                     done.add(pair)
-                    a_out.append(left[p]["fp"])
-                    b_out.append(right[q]["fp"])
-        return pa.table({"a": pa.array(a_out, pa.binary()), "b": pa.array(b_out, pa.binary())})
+                    a_out.append(left[p]["id"])
+                    b_out.append(right[q]["id"])
+        return pa.table({"a": pa.array(a_out, arrow), "b": pa.array(b_out, arrow)})
 
-    return dealt.join(vectors, "fp").groupBy("band", "key", "i", "j").applyInArrow(test, "a binary, b binary")
+    return dealt.join(vectors, "id").groupBy("band", "key", "i", "j").applyInArrow(test, f"a {kind.simpleString()}, b {kind.simpleString()}")
 
 
 def _components(nodes: DataFrame, threshold: float) -> DataFrame:
     """(id, comp) of the nodes that have a partner."""
-    members = nodes.select("fp", "central", F.posexplode("bands").alias("band", "key"))
-    centre = members.groupBy("band", "key").agg(F.max(F.struct("central", "fp")).alias("top"), F.count("*").alias("n")).where("n > 1")
-    buckets = write_table(members.join(centre, ["band", "key"]).select("band", "key", "fp", F.col("top.fp").alias("top")), "buckets")
-    pairs = write_table(buckets.where("fp <> top").select(*_pair("fp", "top")).distinct(), "pairs")
+    members = nodes.select("id", "central", "total", "shared", F.posexplode("bands").alias("band", "key"))
+    centre = members.groupBy("band", "key").agg(F.max(F.struct("central", "id")).alias("top"), F.count("*").alias("n")).where("n > 1").select("band", "key", F.col("top.id").alias("top"))
+    buckets = write_table(spread_join(members.drop("central"), centre, ["band", "key"], "id"), "buckets")
+    pairs = write_table(buckets.where("id <> top").select(*_pair("id", "top")).distinct(), "pairs")
     links = write_table(_verified(pairs, nodes, threshold), "links")
     labels = connected_components(links)
-    named = buckets.join(labels, buckets.fp == labels.id, "left").select("band", "key", "fp", F.coalesce("comp", "fp").alias("comp"))
+    named = buckets.join(labels, "id", "left").select("band", "key", "id", "total", "shared", F.coalesce("comp", "id").alias("comp"))
     crossing = write_table(_crossing(named, nodes, threshold), "links")
+    drop_table(buckets)
     return labels if crossing.isEmpty() else connected_components(links.union(crossing))
 
 
@@ -281,32 +321,36 @@ def near_duplicate_classes(
 ) -> DataFrame:
     """(doc_id, class_id) for each row of ``docs``; the class is the least doc_id of the component.
 
-    Two pairs of texts are linked if their weighted Jaccard similarity is ``threshold`` or more. A text of fewer than
-    ``width`` words has one shingle of all its words, so equal short texts are linked. A text without words is in a class
-    of its own. Rows without doc_id get a null class. Equal texts, repeated rows included, share a class; columns other
-    than doc_id and text are ignored; an empty table gives no rows.
+    Two texts are linked if their weighted Jaccard similarity is ``threshold`` or more. A text of fewer than ``width``
+    words has one shingle of all its words, so equal short texts are linked. A null or empty text, or one without words,
+    is in a class of its own; very long texts are taken whole. Rows without doc_id get a null class. Equal texts, repeated
+    rows included, share a class; columns other than doc_id and text are ignored; an empty table gives no rows.
     """
     vectors = _vectors(docs, width, threshold, bands, rows)
     live = vectors.where("fp is not null")
-    nodes = write_table(live.select("fp", "central", "bands", "n", "vec").dropDuplicates(["fp"]), "nodes")
+    rest = [F.first(c).alias(c) for c in ("central", "total", "shared", "bands", "n", "vec")]
+    named = live.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), *rest)
+    nodes = write_table(named.select(F.struct("doc_id", "fp").alias("id"), "central", "total", "shared", "bands", "n", "vec"), "nodes")
     labels = _components(nodes, threshold)
-    least = live.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    named = least.join(labels, least.fp == labels.id, "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp"))
-    classes = named.groupBy("comp").agg(F.min("least").alias("class_id"))
-    of_fp = named.join(classes, "comp").select("fp", "class_id")
-    return vectors.select("doc_id", "fp").join(of_fp, "fp", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    of_fp = nodes.select("id").join(labels, "id", "left").select(F.col("id.fp").alias("fp"), F.coalesce("comp.doc_id", "id.doc_id").alias("class_id"))
+    classes = spread_join(live.select("doc_id", "fp"), of_fp, ["fp"], "doc_id").select("doc_id", "class_id")
+    return classes.unionByName(vectors.where("fp is null").select("doc_id", F.col("doc_id").alias("class_id")))
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """One row of each near-duplicate class: that of the least doc_id. Columns are unchanged.
+    """One row of each near-duplicate class: that of the least doc_id. Columns, whatever their names, are unchanged.
 
-    Rows without doc_id stay. Rows that share a doc_id but hold different texts are different documents, each in the class
-    of its own text; of rows equal in both one is taken. Rows are told apart by 64 bits of both.
+    Rows are told apart by a 128-bit digest of doc_id and text, not by doc_id: rows that share an id but hold different
+    texts are different documents, each in the class of its own text, and of rows equal in both one is taken. Where the
+    least id of a class is that of several texts, the text of least digest stays. Rows without doc_id stay, as do null and
+    empty texts, one for each id; very long texts and empty tables are as in `near_duplicate_classes`.
     """
-    named = docs.where("doc_id is not null").withColumn("_row", F.xxhash64("doc_id", "text"))
-    classes = near_duplicate_classes(named.select(F.col("_row").alias("doc_id"), "text"), **params).distinct()
-    members = named.select("doc_id", "_row").join(classes.select(F.col("doc_id").alias("_row"), "class_id"), "_row")
-    least = members.groupBy("class_id").agg(F.min(F.struct("doc_id", "_row")).alias("least"))
-    kept = least.select("least.doc_id", "least._row").distinct()
-    single = named.join(kept, ["doc_id", "_row"], "left_semi").dropDuplicates(["doc_id", "_row"])
-    return single.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    row = free_name("row", docs)
+    digest = F.md5(F.concat(F.col("doc_id").cast("string"), F.coalesce(F.concat(F.lit("="), "text"), F.lit("-"))).cast("binary"))
+    named = docs.where("doc_id is not null").withColumn(row, digest)
+    classes = near_duplicate_classes(named.select(F.col(row).alias("doc_id"), "text"), **params).distinct()
+    members = named.select(F.col("doc_id").alias("_id"), F.col(row).alias("_row")).distinct().join(classes.select(F.col("doc_id").alias("_row"), "class_id"), "_row")
+    least = members.groupBy("class_id").agg(F.min(F.struct("_id", "_row")).alias("least"))
+    kept = write_table(least.select(F.col("least._row").alias(row)), "kept")
+    single = named.join(kept, row, "left_semi").dropDuplicates([row])
+    return single.select(*map(column, docs.columns)).unionByName(docs.where("doc_id is null"))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catsim.llm.storage import small_batches, write_table
+from catsim.llm.storage import bounded, doc_type, id_and_text, write_table
 from catsim.llm.tokens import hash_spans, split_words
 
 LENGTH = 4096
@@ -29,12 +29,14 @@ END_ID = 2
 MERGE_TASKS = 64
 #: Texts tokenized at once.
 TEXTS = 1000
+#: A text with which a tokenizer shows whether its ids are those of the words one by one.
+PROBE = "Hello, world's 42 naïve cafés\tO'Neil don't x1y2 ...\n\nÉTÉ 日本語 👍 a_b  end"
 #: White space that separates words here; what else the tokenizer takes for white space stays inside a word.
 _SPACE = np.zeros(256, bool)
 _SPACE[[10, 32]] = True
 #: Parts of words kept with their ids in a task.
 CACHE_WORDS = 300_000
-PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, left boolean"
+PIECE_SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, left boolean"
 #: Words on which normalizing is lower-casing alone, and the tokenizer's way to cut them.
 _PLAIN_LINE = re.compile(r"[ -~À-ÖØ-öø-ÿ]+")
 _PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -45,7 +47,8 @@ class WordIds:
 
     The tokenizer drops white space and never joins over it, so the ids of a text are those of its words. Words of common
     Latin letters are cut where the tokenizer cuts them, and new parts go to its model in lines, where a part ends with
-    each token that the vocabulary marks as an end; all other words take the tokenizer's own way, one by one.
+    each token that the vocabulary marks as an end; all other words take the tokenizer's own way, one by one. A tokenizer
+    of another kind, as `PROBE` shows, gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -60,6 +63,8 @@ class WordIds:
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.parts: dict[str, bytes] = {}
+        probe = [w for line in (PROBE, PROBE.lower(), " ".join(reversed(PROBE.split()))) for w in (line, line + " ")]
+        self.by_word = self._by_word([t.encode() for t in probe]) == self._whole(probe)
 
     def _whole(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -78,11 +83,13 @@ class WordIds:
 
     def of_words(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words."""
+        if not words:
+            return []
         if len(self.parts) > CACHE_WORDS:
             self.parts = {}
         joined = " ".join(words)
         if _PLAIN_LINE.fullmatch(joined) and "<|" not in joined:
-            cut = list(map(_PARTS.findall, joined.lower().split(" "))) if words else []
+            cut = list(map(_PARTS.findall, joined.lower().split(" ")))
             self._learn_parts(list(set().union(*cut).difference(self.parts)))
             known = self.parts
             return [known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c]) for c in cut]
@@ -92,7 +99,11 @@ class WordIds:
         return [next(even) if p else next(odd) for p in plain]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of UTF-8 texts; each distinct word of the texts is handled once."""
+        """Ids of UTF-8 texts."""
+        return self._by_word(texts) if self.by_word else self._whole([t.decode() for t in texts])
+
+    def _by_word(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts by their words, each distinct word handled once."""
         words = split_words(texts, _SPACE)
         h = hash_spans(words.buf, words.starts, words.ends)
         _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
@@ -122,8 +133,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, w
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): the pieces of every row of ``docs``.
 
     A document is its token ids and then the id ``END_ID``, so a null or empty text is that id alone. Each id is in one
-    piece, and the pieces of a sequence lie in it without gaps. Rows with equal doc_id are packed as separate documents;
-    columns other than doc_id and text are ignored; an empty table gives no rows.
+    piece, and the pieces of a sequence lie in it without gaps. Rows with equal or null doc_id, repeated rows included, are
+    packed as separate documents; of windows that fit equally well the oldest is taken; a very long text is cut into whole
+    sequences and a rest; columns other than doc_id and text are ignored; an empty table gives no rows.
     """
     end = np.array([END_ID], "<u4").tobytes()
 
@@ -132,10 +144,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, w
         next_id = TaskContext.get().partitionId() << 32
         open_: list[list] = []
         rows: list[tuple] = []
+        kinds: list[pa.DataType] = []
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) or [[] for _ in range(8)]
-            kinds = [pa.int64()] * 7 + [pa.bool_()]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "left"]
             batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
             rows.clear()
@@ -149,7 +161,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, w
                 at += piece[2]
             next_id += 1
 
-        for batch in batches:
+        for batch in bounded(batches):
+            kinds = [batch.column(0).type, *[pa.int64()] * 6, pa.bool_()]
             docs_ids, texts = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for lo in range(0, len(texts), TEXTS):
                 for doc_id, ids in zip(docs_ids[lo : lo + TEXTS], words.ids(texts[lo : lo + TEXTS]), strict=True):
@@ -175,11 +188,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, w
             yield flush()
         for window in open_:
             close(window, True)
-        yield flush()
+        if rows:
+            yield flush()
 
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = write_table(rows.mapInArrow(pack, PIECE_SCHEMA), "pieces")
+    pieces = write_table(id_and_text(docs).mapInArrow(pack, f"doc_id {doc_type(docs)}, {PIECE_SCHEMA}"), "pieces")
     left = pieces.where("left")
     group = F.shiftright("sequence_id", 32).cast("long") / MERGE_TASKS
     sizes = left.groupBy("sequence_id").agg(F.sum("length").alias("used")).withColumn("group", F.floor(group))

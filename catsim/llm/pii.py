@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catsim.llm.storage import small_batches
+from catsim.llm.storage import bounded, column, doc_type, id_and_text
 
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = KINDS[:4]
 #: Cues whose values people write in groups, and the others.
 NUMBERED = ("account", "acct", "iban", "passport", "ssn")
-CUES = (*NUMBERED, "password", "secret", "token", "api_key")
+CUES = (*NUMBERED, "password", "secret", "token", "api_key", "api-key", "apikey")
 #: Words between a cue and its value, at most two of them.
 LINK = re.compile(r"[ :=#\"'_-]{1,6}(?:number|num|no|nr|id|is)(?![A-Za-z0-9])\.?")
 MIN_VALUE, MIN_DIGITS, MAX_DIGITS = 8, 4, 19
@@ -138,16 +138,18 @@ def _phones(text: str, pluses: list[int]) -> Iterator[Span]:
 
 
 def _urls(text: str, schemes: list[int]) -> Iterator[Span]:
-    done = 0
+    done = end = 0
     for at in schemes:
-        start = at
+        start, host = at, at + 3
         while start > done and text[start - 1] in _SCHEME:
             start -= 1
-        end = at + 3
+        # Addresses of one run of characters share its end, so that the run is walked once.
+        end = max(end, host)
         while end < len(text) and text[end] not in _URL_END:
             end += 1
-        host = text[at + 3 : end].partition("/")[0]
-        if start < at and text[start] in ascii_letters and 0 < host.find("@") < len(host) - 1:
+        slash = text.find("/", host, end)
+        last = end if slash < 0 else slash
+        if start < at and text[start] in ascii_letters and host < text.find("@", host, last) < last - 1:
             done = end
             yield "url", start, end
 
@@ -234,12 +236,13 @@ def _joined(spans: list[Span]) -> str:
 def span_digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row of ``docs``.
 
-    A null or empty text has no spans. Rows are independent, so repeated rows give equal results; columns other than
-    doc_id and text are ignored; an empty table gives no rows.
+    A null or empty text has no spans; a very long one takes time in proportion to its length. Spans that start together
+    are in the order of `KINDS`. Rows are independent, so repeated rows give equal results; columns other than doc_id and
+    text are ignored; an empty table gives no rows.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             found = [find_spans(t) if t else [] for t in batch.column(1).to_pylist()]
             base = [[s for s in spans if s[0] in BASE] for spans in found]
             counts = [pa.array([sum(s[0] == k for s in spans) for spans in base], pa.int64()) for k in BASE]
@@ -247,10 +250,8 @@ def span_digests(docs: DataFrame) -> DataFrame:
             names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, shas, pa.array([_joined(s) for s in found], pa.string())], names)
 
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string"
-    return rows.mapInArrow(find, schema)
+    schema = f"doc_id {doc_type(docs)}, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string"
+    return id_and_text(docs).mapInArrow(find, schema)
 
 
 def redact(text: str) -> str:
@@ -264,14 +265,17 @@ def redact(text: str) -> str:
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced and ``n_chars``, where it exists, counted anew; null stays null."""
+    """``docs`` with personal data in ``text`` replaced and ``n_chars``, where it exists, counted anew.
+
+    Null stays null and an empty text empty; very long texts, spans that overlap and equal rows are as in `span_digests`
+    and `redact`; all other columns, whatever their names, and the number of rows are unchanged.
+    """
 
     @F.pandas_udf("string")
     def clean(texts):
         return texts.map(lambda t: redact(t) if t else t)
 
-    small_batches(docs.sparkSession)
     done = docs.withColumn("text", clean("text"))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(docs.columns)
+    return done.select(*map(column, docs.columns))

@@ -2,7 +2,7 @@
 
 Base figures of every text are counted first. The rules that follow are run one after the other, each only on the
 documents that no earlier rule has rejected, in the order of rejections per second of cost, which are measured for every
-rule on a bounded sample spread over the whole table by a hash of the row. The order changes cost alone: a document is
+rule on a bounded sample spread over the whole table by a hash of id and text. The order changes cost alone: a document is
 kept if no rule rejects it.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catsim.llm.storage import small_batches
+from catsim.llm.storage import bounded, bounded_sample, doc_type, id_and_text
 from catsim.llm.tokens import Words, doc_windows, hash_spans, mix, split_words
 
 WINDOW = 5
@@ -27,7 +27,7 @@ _IS_SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS, np.uint8))
 _IS_START = (np.arange(256) & 0xC0) != 0x80
 _IS_LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
 SCHEMA = (
-    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, kept boolean"
 )
 
@@ -140,19 +140,15 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
 def rule_report(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(rule, seen, rejected, seconds) on a sample of about ``sample_docs`` rows, drawn by a hash of the row.
+    """(rule, seen, rejected, seconds) on a sample of at most ``sample_docs`` rows, drawn by a hash of doc_id and text.
 
-    Every rule is run on each sampled row that passes the base rule.
+    Every rule is run on each sampled row that passes the base rule. Rows that share an id, or have none, are drawn by
+    their texts; equal rows count once.
     """
 
     def trial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             got = measure(_texts(batch, 1))
             rows = np.flatnonzero(~base_failed(got.figures))
             out: list[tuple[str, int, int, float]] = []
@@ -164,9 +160,7 @@ def rule_report(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
             columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, ["rule", "seen", "rejected", "seconds"])
 
-    total = max(docs.count(), 1)
-    share = min(1.0, sample_docs / total)
-    rows = _rows(docs).where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(17)), 11) * F.lit(2.0**-53) < share)
+    rows = bounded_sample(id_and_text(docs), ["doc_id", "text"], sample_docs, 17)
     trials = rows.mapInArrow(trial, "rule string, seen long, rejected long, seconds double")
     return trials.groupBy("rule").agg(F.sum("seen").alias("seen"), F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds"))
 
@@ -180,13 +174,13 @@ def rule_order(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[str]:
 def judge(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     """(doc_id, base figures, base_failed, kept) for each row of ``docs``, as in `SCHEMA`.
 
-    A null or empty text has no words and fails the base rule. Rows are independent of each other, so repeated rows give
+    A null or empty text has no words and fails the base rule; a very long one is measured whole. Rows are independent of each other, so repeated rows give
     equal results; columns other than doc_id and text are ignored; an empty table gives no rows.
     """
     order = rule_order(docs) if order is None else order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             got = measure(_texts(batch, 1))
             failed = base_failed(got.figures)
             kept = ~failed
@@ -195,10 +189,10 @@ def judge(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
                 if len(rows):
                     kept[rows[RULES[name](got, rows)]] = False
             figures = [pa.array(got.figures[k], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-            names = [f.split()[0] for f in SCHEMA.split(", ")]
+            names = ["doc_id", *(f.split()[0] for f in SCHEMA.split(", "))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *figures, pa.array(failed), pa.array(kept)], names)
 
-    return _rows(docs).mapInArrow(run, SCHEMA)
+    return id_and_text(docs).mapInArrow(run, f"doc_id {doc_type(docs)}, {SCHEMA}")
 
 
 ORACLE_SQL = r"""

@@ -1,38 +1,70 @@
-"""Tables that a job writes between its steps, in the folder that the cluster shares."""
+"""What the operators share: written tables, Arrow batches of bounded size, bounded samples and free column names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-DEFAULT_ARROW_ROWS = "2000"
+from catsim.sources.shared import drop_table, shared_dir, table_scope, write_table
 
+__all__ = ["bounded", "bounded_sample", "column", "doc_type", "drop_table", "free_name", "id_and_text", "shared_dir", "table_scope", "write_table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``.
+#: Rows and bytes of text that an operator handles at once; a single longer text comes alone.
+SLICE_ROWS, SLICE_BYTES = 2000, 4 << 20
 
-    Where the setting is empty, a local master gets a temporary folder; any other master is an error, because a
-    machine's own folder is not seen by the other machines.
+
+def bounded(batches: Iterator[pa.RecordBatch], text: int = 1, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices of at most ``rows`` rows and about ``size`` bytes in column number ``text``.
+
+    So the memory of a task doesn't hang on the session's Arrow settings.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='catsim-')}"
-    return f"{root.rstrip('/')}/catsim-{uuid.uuid4().hex}"
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+        first = held = 0
+        for i, n in enumerate(lengths):
+            if i > first and (i - first >= rows or held + n > size):
+                yield batch.slice(first, i - first)
+                first, held = i, 0
+            held += n
+        if len(lengths) > first:
+            yield batch.slice(first)
+
+
+def column(name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
 
+def free_name(stem: str, *taken: DataFrame) -> str:
+    """``stem``, with as many underscores before it as keep it apart from the columns of ``taken`` (case ignored)."""
+    names = {c.lower() for df in taken for c in df.columns}
+    while stem.lower() in names:
+        stem = "_" + stem
+    return stem
 
-def write_table(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` once and read it back: lineage ends here, and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def doc_type(docs: DataFrame) -> str:
+    """The type of doc_id, which results keep; ids of a type that can't be compared are not supported."""
+    return docs.schema["doc_id"].dataType.simpleString()
 
-def small_batches(spark: SparkSession, rows: str = DEFAULT_ARROW_ROWS) -> None:
-    """Lower the rows of an Arrow batch, unless the user chose a number: documents can be long."""
-    if spark.conf.get(ARROW_ROWS) == "10000":
-        spark.conf.set(ARROW_ROWS, rows)
+
+def id_and_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with doc_id as it is and text as a string."""
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"))
+
+
+def bounded_sample(rows: DataFrame, key: list[str], n: int, seed: int = 0) -> DataFrame:
+    """At most ``n`` rows, those of the least hash of the columns ``key``; rows that agree in all of them count once.
+
+    The sample doesn't hang on the partitioning, and many equal rows or equal ids can't fill it or break its bound. Each
+    task keeps at most ``n`` rows of those that a threshold lets through, about twice as many as are wanted.
+    """
+    draw = free_name("draw", rows)
+    number = F.shiftrightunsigned(F.xxhash64(*key, F.lit(seed)), 11) * F.lit(2.0**-53)
+    share = min(1.0, 2 * n / max(rows.count(), 1))
+    some = rows.withColumn(draw, number).where(F.col(draw) < share).dropDuplicates([draw])
+    return some.orderBy(draw).limit(n).drop(draw)

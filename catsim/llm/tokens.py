@@ -12,7 +12,6 @@ WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x5851F42D4C957F2D
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 _LOW = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
@@ -73,13 +72,13 @@ def hash_spans(buf: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         at = starts[live] + (ends - starts - left)[live]
 
 
-def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
+def window_hashes(codes: np.ndarray, width: int, base: int = _BASE) -> np.ndarray:
     """Rabin-Karp: the polynomial hash, modulo 2**64, of every ``width`` consecutive codes (prefix sums, so O(n))."""
     n = len(codes)
     if n < width:
         return np.empty(0, np.uint64)
-    up = np.full(n, _BASE, np.uint64)
-    down = np.full(n, _BASE_INV, np.uint64)
+    up = np.full(n, base, np.uint64)
+    down = np.full(n, pow(base, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     np.multiply.accumulate(up, out=up)
     np.multiply.accumulate(down, out=down)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catsim.llm.storage import small_batches
+from catsim.llm.storage import bounded, bounded_sample, doc_type, id_and_text
 from catsim.llm.tokens import Words, hash_spans, mix, split_words
 
 #: Labelled documents of the sample, at most; longer ones are left out of it (never out of scoring).
@@ -32,7 +32,7 @@ CHAIN = 64
 CHAINS, EPOCHS, BATCH, RATE, DECAY = 20_000, 6, 256, 0.3, 1e-5
 #: Words are runs of letters, digits and all characters beyond ASCII.
 _SEPARATORS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-SCHEMA = "doc_id long, score double, spans array<struct<start:long,end:long>>"
+SCHEMA = "score double, spans array<struct<start:long,end:long>>"
 
 
 def _words(texts: list[str]) -> tuple[Words, np.ndarray]:
@@ -210,27 +210,31 @@ def held_out_row(mod: int = 5, rest: int = 0) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, max_bytes: int = TRAIN_BYTES) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of about ``max_docs`` labelled rows, drawn by a hash of doc_id."""
-    known = labels.where(F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") == 1).cast("int").alias("toxic"))
-    total = known.count()
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 11) * F.lit(2.0**-53)
-    some = known.where(draw < min(1.0, max_docs / max(total, 1))).dropDuplicates(["doc_id"])
+    """Texts and labels of at most ``max_docs`` labelled rows, drawn by a hash of doc_id, and then of doc_id and text.
+
+    An id whose labels contradict each other teaches nothing. Many rows with one id are drawn by their texts.
+    """
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    known = known.groupBy("doc_id").agg(F.min(F.col("toxic") == 1).alias("toxic"), F.max(F.col("toxic") == 1).alias("also"))
+    some = bounded_sample(known.where("toxic = also").select("doc_id", F.col("toxic").cast("int").alias("toxic")), ["doc_id"], max_docs, 5)
     rows = docs.where(F.octet_length("text") <= max_bytes).select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    got = rows.select("text", "toxic").toArrow()
+    draw = F.xxhash64("doc_id", "text", F.lit(5))
+    got = rows.withColumn("draw", draw).dropDuplicates(["draw"]).orderBy("draw").limit(max_docs).select("text", "toxic").toArrow()
     return got["text"].to_pylist(), got["toxic"].to_numpy().astype(np.int64)
 
 
 def score_documents(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """(doc_id, score, spans) for each row of ``docs`` (doc_id, text).
 
-    A null or empty text has no spans and the score of a text without toxic tokens. Equal texts, and so repeated rows,
-    get equal results; further columns are ignored; an empty table gives no rows.
+    A null or empty text has no spans and the score of a text without toxic tokens; a very long one is a row of chains of
+    ``CHAIN`` tokens. Equal texts, and so repeated rows, get equal results; further columns are ignored; an empty table
+    gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(model)
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-        for batch in batches:
+        for batch in bounded(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             words, h = _words(texts)
             x, p = _document_features(words, h, model, table)
@@ -238,9 +242,7 @@ def score_documents(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             columns = [batch.column(0), pa.array(score, pa.float64()), pa.array(_spans(words, p), pa.list_(span))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "spans"])
 
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return id_and_text(docs).mapInArrow(run, f"doc_id {doc_type(docs)}, {SCHEMA}")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0, **params) -> DataFrame:
