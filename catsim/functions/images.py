@@ -31,14 +31,16 @@ def extension(path: str | Column) -> Column:
 def read_image_dir(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
     """(path, length, content, image) of all image files below a folder; ``image`` is the decoded struct, -1 channels if invalid.
 
-    Spark's file sources list no files of zero bytes; ``invalid_reason`` finds empty contents that come by other ways.
+    Both sources list files of the wanted extensions only, so nothing else is read or decoded. Spark's file sources list no
+    files of zero bytes; ``invalid_reason`` finds empty contents that come by other ways.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    files = found.where(extension("path").isin(*extensions)).select("path", "length", "content")
-    decoded = spark.read.format("image").option("recursiveFileLookup", True).load(path).select("image")
+    any_case = lambda x: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x)
+    files = {"recursiveFileLookup": True, "pathGlobFilter": "*.{" + ",".join(map(any_case, extensions)) + "}"}
+    found = spark.read.format("binaryFile").options(**files).load(path).select("path", "length", "content")
+    decoded = spark.read.format("image").options(**files).load(path).select("image")
     # Both sources write a file's URI in their own way (one slash or three).
     key = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    return files.withColumn("_key", key(F.col("path"))).join(decoded.withColumn("_key", key(F.col("image.origin"))), "_key", "left").drop("_key")
+    return found.withColumn("_key", key(F.col("path"))).join(decoded.withColumn("_key", key(F.col("image.origin"))), "_key", "left").drop("_key")
 
 
 def invalid_reason(length: str = "length", image: str = "image", max_bytes: int = MAX_BYTES) -> Column:
@@ -48,18 +50,20 @@ def invalid_reason(length: str = "length", image: str = "image", max_bytes: int
 
 
 def image_info(content: str = "content", image: str = "image") -> Column:
-    """Struct of format (by the leading bytes), channels, width, height and size_bytes."""
+    """Struct of format (by the leading bytes), mode, channels, width, height and size_bytes."""
     head = F.hex(F.substring(content, 1, 4))
     kind = F.when(head.startswith("FFD8FF"), "JPEG").when(head == "89504E47", "PNG").when(head == "52494646", "WEBP").when(head.startswith("424D"), "BMP").when(head == "47494638", "GIF")
     pixels = F.col(image)
-    return F.struct(kind.alias("format"), pixels["nChannels"].alias("channels"), pixels["width"].alias("width"), pixels["height"].alias("height"), F.length(content).alias("size_bytes"))
+    mode = F.when(pixels["nChannels"] == 1, "L").when(pixels["nChannels"] == 3, "RGB").when(pixels["nChannels"] == 4, "RGBA")
+    return F.struct(kind.alias("format"), mode.alias("mode"), pixels["nChannels"].alias("channels"), pixels["width"].alias("width"), pixels["height"].alias("height"), F.length(content).alias("size_bytes"))
 
 
-def _laplacian_variance(gray: np.ndarray) -> float:
-    edges = np.zeros_like(gray)
-    if min(gray.shape) > 2:
-        edges[1:-1, 1:-1] = gray[:-2, 1:-1] + gray[2:, 1:-1] + gray[1:-1, :-2] + gray[1:-1, 2:] - 4 * gray[1:-1, 1:-1]
-    return float(edges.var()) if edges.size else 0.0
+def _curvature_spread(gray: np.ndarray) -> float:
+    """Variance of the curvature (second differences down and across, summed), which counts as 0 along the border."""
+    if min(gray.shape) < 3:
+        return 0.0
+    bend = np.diff(gray, 2, axis=0)[:, 1:-1] + np.diff(gray, 2, axis=1)[1:-1]
+    return float(np.square(bend).sum() / gray.size - (bend.sum() / gray.size) ** 2)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -75,11 +79,16 @@ def sharpness(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.Seri
         gray = np.asarray(values, dtype=np.float64).reshape(int(h), int(w))
         top, left = gray.shape[0] // 4, gray.shape[1] // 4
         middle = gray[top : gray.shape[0] - top, left : gray.shape[1] - left]
-        return max(_laplacian_variance(gray), 0.7 * _laplacian_variance(middle))
+        return max(_curvature_spread(gray), 0.7 * _curvature_spread(middle))
 
     return pd.Series([one(*row) for row in zip(pixels, width, height, strict=True)], dtype="float64")
 
 
+def filter_sharp(images: DataFrame, pixels: str, width: str | Column, height: str | Column, min_score: float = MIN_SHARPNESS) -> DataFrame:
+    """Rows whose sharpness reaches ``min_score``, with ``sharpness``; rows without pixels go."""
+    return images.withColumn("sharpness", sharpness(pixels, width, height)).where(F.col("sharpness") >= min_score)
+
+
 def rgb(image: pd.DataFrame) -> Iterator[np.ndarray | None]:
     """Pixels (height, width, 3) as floats, transparent ones on white; None for an undecodable image."""
     for row in image.itertuples(index=False):
@@ -163,7 +172,7 @@ def embed_images(images: DataFrame, id_column: str, input_column: str, model_fac
 def rebuild_vectors(catalogue: DataFrame, images: DataFrame, model_factory: Callable[[], Model], batch_size: int = 16) -> DataFrame:
     """(faiss_id, coarse, fine, error): new vectors for catalogue rows under their old ids, from images (image_url, content).
 
-    A row whose image is missing has the error ``missing``.
+    A row whose image is missing has the error ``missing``. `catsim.jobs.rebuild` writes the good ones as a new store.
     """
     joined = catalogue.select("faiss_id", "image_url").join(images.select("image_url", "content"), "image_url", "left")
     made = embed_images(joined.where("content IS NOT NULL"), "faiss_id", "content", model_factory, batch_size)

@@ -11,14 +11,19 @@ CN_STOP = (
     "大小多少新旧高低长短快慢款型号色码尺寸品牌货价格包邮现批零售正保证原单装韩版欧美日风潮流百搭休闲春夏秋冬季男女通儿童老少轻奢简约复古刺绣印花纯棉"
 )
 
-# English words that keywords leave out.
-EN_STOP = (
+# General English words that keywords and consensus words leave out.
+EN_GENERAL = (
     "inch with and for the new hot best high quality premium sale free size color large small medium style model brand made "
-    "china product goods item type set pack piece unit each per cm mm meter gram kg dual sim ram rom version global middle "
-    "east black white blue grey gold silver red green pink brown yellow purple orange portable smart magnetic liquid "
-    "silicone matte flash magic tempered glass screen protector"
+    "china product goods item type set pack piece unit each per cm mm meter gram kg"
 ).split()
 
+# Further words that keywords leave out, the colours last named among them.
+EN_SPECIAL = (
+    "dual sim ram rom version global middle east black white blue grey gold silver red green pink brown yellow purple orange "
+    "portable smart magnetic liquid silicone matte flash magic tempered glass screen protector"
+).split()
+EN_STOP = [*EN_GENERAL, *EN_SPECIAL]
+
 # Brands that keywords leave out.
 EN_BRANDS = (
     "xiaomi redmi samsung apple macbook galaxy black shark huawei honor oneplus oppo vivo realme nokia motorola google pixel "
@@ -28,21 +33,27 @@ EN_BRANDS = (
 #: The name anchor keeps these colours, which keywords leave out.
 ANCHOR_STOP = [w for w in EN_STOP if w not in "red green pink brown yellow purple orange".split()]
 
-#: The consensus word leaves out the general words only, which come first: up to the units.
-CONSENSUS_STOP = EN_STOP[: EN_STOP.index("kg") + 1]
+#: The consensus word leaves out the general words only.
+CONSENSUS_STOP = EN_GENERAL
 
-_PIPE_SPLIT = r"(?U)[\s\-/,.;:()\[\]{}|]+"
-PLAIN_SPLIT = r"(?U)[\s\-/,.;:()\[\]{}]+"
-_NUMBER = r"^[\p{Nd}²³¹⁰-⁹₀-₉]+$"
+# White space of Unicode, information separators included.
+_SPACE = r"\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+_PIPE_SPLIT = rf"[{_SPACE}\-/,.;:()\[\]{{}}|]+"
+PLAIN_SPLIT = rf"[{_SPACE}\-/,.;:()\[\]{{}}]+"
+#: Digits that are no decimal numbers: superscripts, subscripts, circled ones and the like.
+_ODD_DIGITS = "".join(c for c in map(chr, range(0x20000)) if c.isdigit() and not c.isdecimal())
+_NUMBER = rf"^[\p{{Nd}}{_ODD_DIGITS}]+$"
 
 
 def tokens(text: str | Column, longer_than: int, stop: list[str] = (), split: str = _PIPE_SPLIT) -> Column:
-    """Distinct lower-case tokens of more than ``longer_than`` characters that are no stop words and no numbers; null gives none."""
+    """Distinct lower-case tokens of more than ``longer_than`` characters that are no stop words and no numbers; null gives none.
+
+    Tokens become distinct and stop words go before any other test, so that each token is tested once.
+    """
     text = F.col(text) if isinstance(text, str) else text
     left_out = F.array(*[F.lit(w) for w in stop]) if stop else F.array().cast("array<string>")
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), split)
-    keep = F.filter(parts, lambda t: (F.length(t) > longer_than) & ~F.array_contains(left_out, t) & ~t.rlike(_NUMBER))
-    return F.array_distinct(keep)
+    parts = F.array_except(F.split(F.lower(F.coalesce(text, F.lit(""))), split), left_out)
+    return F.filter(parts, lambda t: (F.length(t) > longer_than) & ~t.rlike(_NUMBER))
 
 
 def keywords_en(text: str | Column, min_len: int = 3) -> Column:

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catsim.functions import images, text
-from catsim.jobs.search import Answer, batch_search
+from catsim.jobs.rebuild import rebuild_store
+from catsim.jobs.search import Answer, ImageAnswer, batch_search, image_search
 from catsim.operators import categories, ids, ingest, names, reports, search
 from catsim.sources import catalogue as tables
-from catsim.sources.shared import shared_dir
+from catsim.sources.shared import shared_dir, write_table
 from catsim.streaming import sync
 
 #: Twenty-six characters, some of them stop characters, that stand for the letters where a Chinese name is needed.
@@ -26,16 +27,17 @@ def _all_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchor = base.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("anchor"))
     drawn = F.zip_with("embedding", "anchor", lambda x, a: x.cast("double") + 1.5 * a)
     fine = base.join(anchor, "label").select("vec_id", "label", search.unit(drawn).alias("fine"))
-    return fine.withColumn("coarse", search.unit(F.slice("fine", 1, 32)))
+    # Written once: every query reads the vectors several times.
+    return write_table(fine.withColumn("coarse", search.unit(F.slice("fine", 1, 32))), "vectors")
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _all_vectors(spark, sf_dir).withColumnRenamed("vec_id", "faiss_id")
 
 
-def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _queries(vectors: DataFrame) -> DataFrame:
     """The query set of every search: ids divisible by 20, against all vectors."""
-    return _all_vectors(spark, sf_dir).where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    return vectors.where("faiss_id % 20 = 0").withColumnRenamed("faiss_id", "query_id")
 
 
 def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,12 +64,14 @@ def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, vectors = _queries(spark, sf_dir), _vectors(spark, sf_dir)
+    vectors = _vectors(spark, sf_dir)
+    queries = _queries(vectors)
     return search.rerank(search.coarse_topk(queries, vectors), queries, vectors)
 
 
 def coarse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = search.coarse_topk(_queries(spark, sf_dir), _vectors(spark, sf_dir))
+    vectors = _vectors(spark, sf_dir)
+    got = search.coarse_topk(_queries(vectors), vectors)
     return got.withColumn("clip_score", F.round("clip_score", 4))
 
 
@@ -117,8 +121,12 @@ def known_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.known_products(feed_first_wins(spark, sf_dir), _known(spark, sf_dir)).select("image_url", "product_id")
 
 
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.resolve_hits(search_core(spark, sf_dir), _catalogue(spark, sf_dir))
+
+
 def resolved_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.resolve_hits(search_core(spark, sf_dir), _catalogue(spark, sf_dir)).select("query_id", "rank", "faiss_id", "category", "product_name")
+    return _hits(spark, sf_dir).select("query_id", "rank", "faiss_id", "category", "product_name")
 
 
 def category_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,19 +154,20 @@ def _cn(column: str) -> Column:
     return F.translate(column, "abcdefghijklmnopqrstuvwxyz", CN_LETTERS)
 
 
-def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _asked(vectors: DataFrame) -> DataFrame:
     """Queries in turn with their own category given, an unknown one given, automatic, and without any."""
     turn = F.floor(F.col("query_id") / 20) % 4
     given = F.when(turn == 0, F.concat(F.lit("cat"), "label")).when(turn == 1, "none").otherwise("")
-    return _queries(spark, sf_dir).withColumns({"category": given, "auto_category": turn == 2})
+    return _queries(vectors).withColumns({"category": given, "auto_category": turn == 2})
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names.mark_name_anchor(resolved_hits(spark, sf_dir).join(search_core(spark, sf_dir).select("query_id", "faiss_id", "fused_score"), ["query_id", "faiss_id"]))
+    return names.mark_name_anchor(_hits(spark, sf_dir))
 
 
 def _answer(spark: SparkSession, sf_dir: str) -> Answer:
-    return batch_search(_asked(spark, sf_dir), _catalogue(spark, sf_dir), _vectors(spark, sf_dir))
+    vectors = _vectors(spark, sf_dir)
+    return batch_search(_asked(vectors), _catalogue(spark, sf_dir), vectors)
 
 
 def _old_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,16 +197,29 @@ def feed_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def classify_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries with structure, and raw ones (numbered from 1000000) that lie between categories."""
     raw = _read(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select((F.col("vec_id") + 1000000).alias("query_id"), F.transform(F.slice("embedding", 1, 32), lambda x: x.cast("double")).alias("v"))
-    both = _queries(spark, sf_dir).select("query_id", "coarse").unionByName(raw.select("query_id", search.unit("v").alias("coarse")))
-    return categories.classify(both, categories.category_prototypes(_catalogue(spark, sf_dir), _vectors(spark, sf_dir)))
+    vectors = _vectors(spark, sf_dir)
+    both = _queries(vectors).select("query_id", "coarse").unionByName(raw.select("query_id", search.unit("v").alias("coarse")))
+    return categories.classify(both, categories.category_prototypes(_catalogue(spark, sf_dir), vectors))
+
+
+def _filtered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Queries, catalogue, vectors and category filters."""
+    vectors, rows = _vectors(spark, sf_dir), _catalogue(spark, sf_dir)
+    asked = _asked(vectors)
+    return asked, rows, vectors, categories.category_filters(asked, categories.classify(asked, categories.category_prototypes(rows, vectors)), rows)
 
 
 def search_category_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, rows, vectors = _asked(spark, sf_dir), _catalogue(spark, sf_dir), _vectors(spark, sf_dir)
-    filters = categories.category_filters(asked, categories.classify(asked, categories.category_prototypes(rows, vectors)), rows)
+    asked, rows, vectors, filters = _filtered(spark, sf_dir)
     return search.rerank(categories.restrict(search.coarse_topk(asked, vectors), filters, rows), asked, vectors)
 
 
+def search_before_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The categories restrict the vectors before the 200 candidates are cut."""
+    asked, rows, vectors, filters = _filtered(spark, sf_dir)
+    return search.rerank(categories.before_cut(asked, filters, vectors, rows), asked, vectors)
+
+
 def name_anchor_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked(spark, sf_dir).select("query_id", "rank", "faiss_id", "product_name", "kept")
 
@@ -208,7 +230,7 @@ def consensus_word(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query's keywords are the tokens of the part that has its number."""
-    hits = resolved_hits(spark, sf_dir).join(search_core(spark, sf_dir).select("query_id", "faiss_id", "fused_score"), ["query_id", "faiss_id"])
+    hits = _hits(spark, sf_dir)
     part = _read(spark, sf_dir, "part")
     keywords = part.select(F.col("p_partkey").alias("query_id"), text.ocr_tokens(F.concat_ws(" ", "p_name", "p_brand")).alias("keywords"))
     return names.text_boost(hits, keywords).select("query_id", "faiss_id", "rank", "fused_score", "text_boost")
@@ -283,9 +305,8 @@ def embed_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("vec_id", F.posexplode("coarse").alias("pos", "x"), "error").select("vec_id", "pos", F.round(F.col("x").cast("double"), 4).alias("x"), "error")
 
 
-def stream_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feed as JSON pages through the stream, into a table that has the known products."""
-    root = shared_dir(spark)
+def _feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages table as JSON feed pages."""
     pages = _read(spark, sf_dir, "pages")
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     kind = F.split(F.regexp_replace(F.col("url"), r"^\w+://", ""), "/")[1]
@@ -293,19 +314,205 @@ def stream_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("page_id") % 30).alias("pos"), F.col("page_id").cast("string").alias("id"), F.col("url").alias("img"), F.lit("").alias("name"), title.alias("nameEn"),
         F.struct(kind.alias("nameEn")).alias("category"),
     )
-    feed = pages.groupBy(F.floor(F.col("page_id") / 30).alias("page")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    feed.write.json(f"{root}/feed")
+    return pages.groupBy(F.floor(F.col("page_id") / 30).alias("page")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+
+def _synced(spark: SparkSession, sf_dir: str, check: sync.Check = sync.no_errors, embed: sync.Embed | None = None) -> str:
+    """Run the feed through the stream, into a table that has the known products; returns the folder of all its tables."""
+    root = shared_dir(spark)
+    _feed_pages(spark, sf_dir).write.json(f"{root}/feed")
     sync.create_table(spark, f"{root}/table", _old_catalogue(spark, sf_dir).withColumn("category", F.lit("")))
     sync.create_table(spark, f"{root}/failed", schema=sync.FAILED)
-    sync.sync_stream(spark, f"{root}/feed", f"{root}/table", f"{root}/failed", f"{root}/checkpoint").awaitTermination()
+    extra = sync.Extra(embed, f"{root}/vectors" if embed else None, f"{root}/status")
+    sync.sync_stream(spark, f"{root}/feed", f"{root}/table", f"{root}/failed", f"{root}/checkpoint", check, extra).awaitTermination()
+    return root
+
+
+def stream_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed as JSON pages through the stream, into a table that has the known products."""
+    root = _synced(spark, sf_dir)
     return sync.read_rows(spark, f"{root}/table").where("batch >= 0").select("image_url", "product_name", "product_id", "category")
 
 
+def _seventh_fails(products: DataFrame) -> DataFrame:
+    return products.withColumn("error", F.when(F.col("product_id").cast("long") % 7 == 0, "too_large"))
+
+
+def _tile_embed(spark: SparkSession, sf_dir: str) -> sync.Embed:
+    """The model on the tile that has a product's number; a product without one has no image."""
+    tiles = _tiles(spark, sf_dir).select(F.col("vec_id").cast("string").alias("product_id"), "pixels")
+    return lambda products: images.embed_images(products.join(tiles, "product_id"), "image_url", "pixels", _tile_model)
+
+
+def sync_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New products of the whole sync, with keywords and vectors; every seventh fails its check."""
+    root = _synced(spark, sf_dir, _seventh_fails, _tile_embed(spark, sf_dir))
+    vectors = sync.read_rows(spark, f"{root}/vectors", sync.VECTORS).select("faiss_id", F.size("coarse").alias("n_coarse"), F.size("fine").alias("n_fine"))
+    rows = sync.read_rows(spark, f"{root}/table").where("batch >= 0")
+    return rows.join(vectors, "faiss_id", "left").select("image_url", "product_name", "product_id", "category", "keywords_en", "n_coarse", "n_fine")
+
+
+def sync_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report of the sync by page and over all pages."""
+    root = _synced(spark, sf_dir, _seventh_fails, _tile_embed(spark, sf_dir))
+    return reports.sync_report(sync.read_rows(spark, f"{root}/status", sync.STATUS)).drop("bytes")
+
+
+def retried_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of new products in the first pass and in a second one without the check, and whether the table has them at last."""
+    root = _synced(spark, sf_dir, _seventh_fails)
+    retried = sync.add_retried(spark, f"{root}/table", f"{root}/failed")
+    first = sync.read_rows(spark, f"{root}/status", sync.STATUS).where("status <> 'skipped'").select("image_url", "status", "error")
+    held = sync.read_rows(spark, f"{root}/table").select("image_url").distinct().withColumn("held", F.lit(True))
+    return ingest.both_passes(first, retried).join(held, "image_url", "left").select("image_url", "attempt", "status", "error", F.coalesce("held", F.lit(False)).alias("held"))
+
+
+def coarse_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 200 coarse candidates that every search takes."""
+    return coarse_topk(spark, sf_dir)
+
+
+def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search over 200 coarse candidates."""
+    return search_core(spark, sf_dir)
+
+
+def search_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of the search over 200 coarse candidates with the mark of the name anchor."""
+    return _marked(spark, sf_dir).select("query_id", "rank", "faiss_id", "fused_score", "category", "product_name", "kept")
+
+
+def nearest_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _vectors(spark, sf_dir)
+    return search.coarse_topk(_queries(vectors), vectors, 3).withColumn("clip_score", F.round("clip_score", 4))
+
+
+def backfill_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Back-fill of rows for all pages, half of them without names, and of as many that the feed lacks."""
+    pages = _read(spark, sf_dir, "pages")
+    name = F.when(F.col("page_id") % 2 == 0, "").otherwise(F.concat(F.lit("old "), "page_id"))
+    gone = pages.select((F.col("page_id") + 1000000).alias("faiss_id"), F.concat(F.lit("http://gone.example/"), "page_id").alias("image_url"), F.lit("").alias("name"))
+    rows = pages.select(F.col("page_id").alias("faiss_id"), F.substring_index("url", "?", 1).alias("image_url"), name.alias("name")).unionByName(gone)
+    blank = F.lit("")
+    old = rows.select("faiss_id", "image_url", F.col("name").alias("product_name"), F.col("name").alias("product_name_cn"), blank.alias("product_id"), blank.alias("keywords_cn"), blank.alias("keywords_en"))
+    return ingest.backfill_names(old, _feed(spark, sf_dir, en_len=100).withColumn("product_name_cn", _cn("product_name")))
+
+
+def category_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.row_count(_catalogue(spark, sf_dir), "cat3")
+
+
+def deletion_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = _read(spark, sf_dir, "embeddings").where("label = 3").select(F.col("vec_id").alias("faiss_id"))
+    return reports.deletion_count(_catalogue(spark, sf_dir), gone)
+
+
+def folded_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as queries; two kinds of requests for the same text are not folded."""
+    docs = _read(spark, sf_dir, "documents")
+    return reports.fold_members(docs.select(
+        F.col("doc_id").alias("query_id"), F.coalesce("text", F.lit("")).cast("binary").alias("content"), F.col("lang").alias("category"), (F.col("source") == "src0").alias("auto_category")
+    ))
+
+
+def ocr_best_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.best_first(ocr_dedup(spark, sf_dir))
+
+
+def sharp_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.filter_sharp(_tiles(spark, sf_dir), "pixels", F.lit(8), F.lit(8)).select("vec_id", F.round("sharpness", 4).alias("sharpness"))
+
+
+def file_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "pages").select("page_id", images.extension(F.substring_index("url", "?", 1)).alias("extension"))
+
+
+def _pixels_to_bytes(column: str) -> Column:
+    """Pixels as bytes, by their hexadecimal digits."""
+    return F.unhex(F.array_join(F.transform(column, lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), ""))
+
+
+def _image(data: Column, side: int = 8, channels: int | Column = 1) -> Column:
+    channels = F.lit(channels) if isinstance(channels, int) else channels
+    return F.struct(F.lit("").alias("origin"), F.lit(side).alias("height"), F.lit(side).alias("width"), channels.alias("nChannels"), F.lit(0).alias("mode"), data.alias("data"))
+
+
+def image_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validity and information of tiles, some of which count as empty, too large or undecodable; the leading bytes tell formats."""
+    nth = F.col("vec_id") % 5
+    head = F.unhex(F.element_at(F.array(*map(F.lit, ("FFD8FFE0", "89504E47", "52494646", "424D0000", "00000000"))), (nth + 1).cast("int")))
+    size = F.when(nth == 0, 0).when(nth == 1, images.MAX_BYTES + 1).otherwise(images.MAX_BYTES)
+    channels = F.element_at(F.array(*map(F.lit, (1, 3, 4, -1, 3))), (F.floor(F.col("vec_id") / 5) % 5 + 1).cast("int"))
+    made = _tiles(spark, sf_dir).select("vec_id", head.alias("content"), size.alias("length"), _image(_pixels_to_bytes("pixels"), 8, channels).alias("image"))
+    return made.select("vec_id", images.invalid_reason().alias("reason"), images.image_info().alias("i")).select("vec_id", "reason", "i.format", "i.mode", "i.channels", "i.width", "i.height", "i.size_bytes")
+
+
+def stored_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One category of a catalogue that was written and read back, in the order of ids."""
+    path = f"{shared_dir(spark)}/catalogue"
+    tables.append_catalogue(_catalogue(spark, sf_dir).withColumn("id", F.col("faiss_id") + 1), path)
+    return tables.read_catalogue(spark, path, "cat3", ordered=True).select("id", "faiss_id", "category", "product_name", "keywords_en", "width")
+
+
+def stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector store that was written and read back, and one that isn't there, which is empty."""
+    root = shared_dir(spark)
+    tables.write_vectors(_vectors(spark, sf_dir).withColumns({c: F.col(c).cast("array<float>") for c in ("coarse", "fine")}), f"{root}/vectors")
+    both = tables.read_vectors(spark, f"{root}/vectors").unionByName(tables.read_vectors(spark, f"{root}/none"))
+    return both.select("faiss_id", F.size("coarse").alias("n_coarse"), F.round(F.col("fine")[0].cast("double"), 4).alias("x"))
+
+
+def rebuilt_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New vectors for all embeddings; every seventh has no image, and of every eleventh the model can't make one."""
+    tiles = _tiles(spark, sf_dir).withColumn("image_url", F.concat(F.lit("http://img/"), "vec_id", F.lit(".jpg")))
+    rows = tiles.select(F.col("vec_id").alias("faiss_id"), "image_url")
+    content = F.when(F.col("vec_id") % 11 == 0, F.slice("pixels", 1, 5)).otherwise(F.col("pixels"))
+    counts = rebuild_store(rows, tiles.where("vec_id % 7 <> 0").select("image_url", content.alias("content")), _tile_model, f"{shared_dir(spark)}/vectors")
+    return counts
+
+
+def _byte_model():
+    """Pixels around their middle as the fine vector, sums of four neighbours as the coarse one."""
+
+    def model(inputs):
+        import numpy as np
+
+        fine = np.stack([np.frombuffer(x, np.uint8).astype(np.float64) - 127 for x in inputs])
+        return fine.reshape(len(fine), 16, 4).sum(axis=2), fine
+
+    return model
+
+
+def _image_answer(spark: SparkSession, sf_dir: str) -> ImageAnswer:
+    """Requests by tiles: each twice, once as a blank image and once undecodable, against the vectors of all tiles."""
+    tiles = _tiles(spark, sf_dir).select("vec_id", _pixels_to_bytes("pixels").alias("content"))
+    made = images.embed_images(tiles, "vec_id", "content", _byte_model).select(F.col("vec_id").alias("faiss_id"), "coarse", "fine")
+    kinds = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    asked = tiles.where("vec_id % 20 = 0").withColumn("kind", kinds)
+    blank = F.unhex(F.lit("C8" * 64))
+    asked = asked.withColumn("content", F.when(F.col("kind") == 2, blank).otherwise(F.col("content")))
+    requests = asked.select(
+        (F.col("vec_id") + 1000000 * F.col("kind")).alias("query_id"), "content", F.length("content").alias("length"),
+        _image(F.col("content"), 8, F.when(F.col("kind") == 3, -1).otherwise(1)).alias("image"), F.lit("").alias("category"), F.lit(False).alias("auto_category"),
+    )
+    return image_search(requests, _catalogue(spark, sf_dir), write_table(made, "vectors"), _byte_model)
+
+
+def folded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _image_answer(spark, sf_dir).hits.select("query_id", "rank", "faiss_id", "fused_score", "product_name")
+
+
+def refused_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _image_answer(spark, sf_dir).refused
+
+
 QUERIES = {f.__name__: f for f in (
     search_core, coarse_topk, keywords_en, category_stats, catalogue_stats, orphans, ocr_dedup, fold_queries, feed_first_wins, feed_last_wins, new_products, known_products,
     resolved_hits, category_prototypes, sync_report, delete_rows, duplicate_ids,
     keywords_cn, feed_projection, classify_queries, search_category_filtered, name_anchor_filter, consensus_word, text_boost, batch_hits, search_summary, name_keyword_matches,
     backfill_names, backfill_counts, allocated_ids, manifest_rows, migrated_catalogue, sharpness, embed_tiles, stream_sync,
+    coarse_candidates, search_ranked, search_named, search_before_cut, nearest_three, backfill_all, category_count, deletion_count, folded_members, ocr_best_first, sharp_tiles,
+    file_extensions, image_checks, stored_catalogue, stored_vectors, rebuilt_store, sync_catalogue, sync_outcomes, retried_rows, folded_search, refused_requests,
 )}
 
 _VEC = """
@@ -405,7 +612,58 @@ FROM (SELECT o.*, name = '' AND image_url IN (SELECT image_url FROM latest) AS t
 LEFT JOIN latest l USING (image_url) LEFT JOIN ({_chinese("image_url", _CN("product_name"), "latest")}) k USING (image_url)"""
 _LATEST = _FEED.rstrip() + ", latest AS (" + _FIRST.replace("page, pos", "page DESC, pos DESC") + ")\n"
 
+#: The searches over 200 candidates and back-fill with 100 characters, as the queries above say; SQL of its own.
+_VEC_200, _CORE_200, _FILTERED_200 = (x.replace("coarse_rank <= 50", "coarse_rank <= 200") for x in (_VEC, _CORE, _FILTERED))
+_RANKED = "row_number() OVER (PARTITION BY query_id ORDER BY clip DESC, faiss_id) AS coarse_rank FROM scored"
+_BEFORE_CUT = (
+    _FILTERED_200.replace(f"every AS (SELECT *, {_RANKED} QUALIFY coarse_rank <= 200)\n, ", "", 1)
+    .replace("coarse AS (SELECT a.* FROM every a", f"coarse AS (SELECT a.*, {_RANKED} a", 1)
+    .replace("only_category = n.category)", "only_category = n.category QUALIFY coarse_rank <= 200)", 1)
+)
+_LATEST_100 = _LATEST.replace("left(trim(title), 60)", "left(trim(title), 100)")
+_BACKFILL_ALL = _BACKFILL.replace("FROM pages WHERE page_id % 3 = 0) o) o", "FROM pages UNION ALL SELECT page_id + 1000000, 'http://gone.example/' || page_id, '' FROM pages) o) o")
+_ITEMS = _FEED.replace("page_id % 5 = 0", "false")
+_FRESH = f"SELECT * FROM ({_FIRST}) WHERE image_url NOT IN {_KNOWN}"
+_FAILS = "product_id::BIGINT % 7 = 0"
+_NO_IMAGE = "product_id::BIGINT NOT IN (SELECT vec_id FROM embeddings)"
+_TILE_VEC = """
+WITH tile AS (SELECT vec_id, list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * 127.5) - 127) AS v FROM embeddings),
+sums AS (SELECT vec_id, v, list_transform(range(0, 16), lambda i: list_sum(v[4 * i + 1:4 * i + 4])) AS h FROM tile),
+vec AS (SELECT vec_id, list_transform(v, lambda x: (x / (sqrt(list_dot_product(v, v)) + 1e-8))::FLOAT::DOUBLE) AS fine,
+    list_transform(h, lambda x: (x / (sqrt(list_dot_product(h, h)) + 1e-8))::FLOAT::DOUBLE) AS coarse FROM sums),
+"""
+_TILE_CORE = _TILE_VEC + _CORE_200[_CORE_200.index("scored AS"):]
+
 ORACLE_SQL = {
+    "coarse_candidates": _VEC_200 + "SELECT query_id, faiss_id, round(clip, 4) AS clip_score, coarse_rank FROM coarse",
+    "search_ranked": _CORE_200,
+    "search_named": _marked_sql(_CORE_200) + "SELECT query_id, rank, faiss_id, fused_score, category, product_name, kept FROM marked",
+    "search_before_cut": _BEFORE_CUT,
+    "nearest_three": _VEC_200 + "SELECT query_id, faiss_id, round(clip, 4) AS clip_score, coarse_rank FROM coarse WHERE coarse_rank <= 3",
+    "backfill_all": _LATEST_100 + _BACKFILL_ALL,
+    "category_count": f"SELECT count(*) AS n FROM ({_CATALOGUE}) WHERE category = 'cat3'",
+    "deletion_count": "SELECT count(*) AS n_deleted FROM embeddings JOIN part ON vec_id = p_partkey WHERE label = 3",
+    "folded_members": "SELECT doc_id AS query_id, min(doc_id) OVER (PARTITION BY coalesce(text, ''), lang, source = 'src0') AS representative FROM documents",
+    "ocr_best_first": """SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, text)::INT AS place FROM (
+SELECT event_id % 500 AS image_id, trim(event_type) AS text, max((event_id % 100) / 100.0) AS confidence FROM events WHERE (event_id % 100) / 100.0 >= 0.5 AND trim(event_type) <> '' GROUP BY ALL)""",
+    "file_extensions": r"SELECT page_id, lower(regexp_extract(split_part(url, '?', 1), '\.([^./\\]+)$', 1)) AS extension FROM pages",
+    "image_checks": """WITH v AS (SELECT vec_id, vec_id % 5 AS nth, [1, 3, 4, -1, 3][(vec_id // 5) % 5 + 1] AS channels FROM embeddings)
+SELECT vec_id, CASE WHEN nth = 0 THEN 'empty' WHEN nth = 1 THEN 'too_large' WHEN channels < 1 THEN 'undecodable' END AS reason,
+    CASE nth WHEN 0 THEN 'JPEG' WHEN 1 THEN 'PNG' WHEN 2 THEN 'WEBP' WHEN 3 THEN 'BMP' END AS format,
+    CASE channels WHEN 1 THEN 'L' WHEN 3 THEN 'RGB' WHEN 4 THEN 'RGBA' END AS mode, channels, 8 AS width, 8 AS height, 4 AS size_bytes FROM v""",
+    "stored_catalogue": f"SELECT faiss_id + 1 AS id, faiss_id, category, product_name, '' AS keywords_en, 0::INT AS width FROM ({_NAMED}) WHERE category = 'cat3'",
+    "stored_vectors": _VEC + "SELECT vec_id AS faiss_id, 32 AS n_coarse, round(fine[1]::FLOAT::DOUBLE, 4) AS x FROM vec",
+    "rebuilt_store": """SELECT CASE WHEN vec_id % 7 = 0 THEN 'missing' WHEN vec_id % 11 = 0 THEN 'failed' ELSE 'ok' END AS status, count(*) AS n FROM embeddings GROUP BY 1""",
+    "sync_catalogue": _ITEMS + f"SELECT image_url, product_name, product_id, category, {_EN('product_name')} AS keywords_en, 16 AS n_coarse, 64 AS n_fine FROM ({_FRESH}) WHERE NOT ({_FAILS} OR {_NO_IMAGE})",
+    "sync_outcomes": _ITEMS + f""", fresh AS ({_FRESH}),
+outcome AS (SELECT p.page, CASE WHEN f.image_url IS NULL THEN 'skipped' WHEN f.{_FAILS} OR f.{_NO_IMAGE} THEN 'failed' ELSE 'ok' END AS status
+    FROM product p LEFT JOIN fresh f ON p.image_url = f.image_url AND p.page = f.page AND p.pos = f.pos)
+SELECT page, count_if(status = 'ok') AS n_ok, count_if(status = 'skipped') AS n_skipped, count_if(status = 'failed') AS n_failed FROM outcome GROUP BY ROLLUP (page)""",
+    "retried_rows": _ITEMS + f"""SELECT image_url, 1 AS attempt, CASE WHEN {_FAILS} THEN 'failed' ELSE 'ok' END AS status, CASE WHEN {_FAILS} THEN 'too_large' END AS error, true AS held FROM ({_FRESH})
+UNION ALL SELECT image_url, 2, 'ok', NULL, true FROM ({_FRESH}) WHERE {_FAILS}""",
+    "folded_search": _marked_sql(_TILE_CORE) + """SELECT query_id + 1000000 * copy AS query_id, rank, faiss_id, fused_score, product_name FROM marked, (SELECT unnest([0, 1]) AS copy) WHERE kept""",
+    "refused_requests": """SELECT vec_id + 2000000 AS query_id, 'blurred' AS reason FROM embeddings WHERE vec_id % 20 = 0
+UNION ALL SELECT vec_id + 3000000, 'undecodable' FROM embeddings WHERE vec_id % 20 = 0""",
     "keywords_cn": _chinese("p_partkey", _CN("p_name"), "part"),
     "feed_projection": _FEED + "SELECT * FROM product",
     "classify_queries": _VEC + ", " + _CLASSIFY + "SELECT * FROM classified",
@@ -466,3 +724,4 @@ FROM (SELECT category, pos, avg(coarse[pos + 1]) AS m, count(*) AS n FROM ({_CAT
     "delete_rows": "SELECT vec_id AS faiss_id, 'cat' || label AS category, p_name || ' ' || p_type || ' ' || p_brand AS product_name FROM embeddings JOIN part ON vec_id = p_partkey WHERE label <> 3",
     "duplicate_ids": "SELECT user_id AS faiss_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1",
 }
+ORACLE_SQL["sharp_tiles"] = f"SELECT vec_id, score AS sharpness FROM ({ORACLE_SQL['sharpness']}) WHERE sharp"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catsim.operators.ids import allocate_ids
-from catsim.operators.search import coarse_topk, unit
+from catsim.operators.search import COARSE_K, coarse_topk, unit
 
 MIN_MARGIN = 0.02
 
@@ -59,6 +59,13 @@ def category_filters(queries: DataFrame, predicted: DataFrame, catalogue: DataFr
     return known.select("query_id", "predicted_category", "confidence", source.alias("filter_source"), only.alias("only_category"))
 
 
+def before_cut(queries: DataFrame, filters: DataFrame, vectors: DataFrame, catalogue: DataFrame, k: int = COARSE_K) -> DataFrame:
+    """Coarse hits as `restrict` gives them, but restricted before the cut: a small category still yields its ``k`` nearest."""
+    asked = queries.select("query_id", "coarse").join(filters.select("query_id", "only_category"), "query_id")
+    rows = vectors.select("faiss_id", "coarse").join(catalogue.select("faiss_id", "category"), "faiss_id", "left")
+    return coarse_topk(asked, rows, k, within=True)
+
+
 def restrict(hits: DataFrame, filters: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Coarse hits in the one category that their query allows, if it names one; coarse ranks stay as they are."""
     rows = catalogue.select("faiss_id", F.col("category").alias("_category"))

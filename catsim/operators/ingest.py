@@ -82,11 +82,16 @@ def backfill_names(catalogue: DataFrame, products: DataFrame) -> DataFrame:
     return joined.withColumns({**{c: F.when(taken, F.col("_new")[c]).otherwise(F.col(c)) for c in TEXTS}, "status": status}).drop("_new")
 
 
+def with_keywords(products: DataFrame) -> DataFrame:
+    """Products with the keywords of both their names."""
+    return products.withColumns({"keywords_cn": text.keywords_cn("product_name_cn"), "keywords_en": text.keywords_en("product_name")})
+
+
 def outcome_counts(outcomes: DataFrame) -> DataFrame:
     """Rows of each status."""
     return outcomes.groupBy("status").agg(F.count("*").alias("n"))
 
 
 def both_passes(first: DataFrame, retried: DataFrame) -> DataFrame:
-    """Results of the first pass and of the second; columns that one lacks are null."""
-    return first.unionByName(retried, allowMissingColumns=True)
+    """Outcomes of the first pass and of the second, told apart by ``attempt``; columns that one lacks are null."""
+    return first.withColumn("attempt", F.lit(1)).unionByName(retried.withColumn("attempt", F.lit(2)), allowMissingColumns=True)

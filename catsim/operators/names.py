@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catsim.functions import text
+from catsim.operators.joins import spread_join
 
 MIN_MATCH, MIN_RESULTS = 1, 2
 BOOST, MAX_BOOST = 0.05, 0.15
@@ -77,16 +78,23 @@ def search_summary(queries: DataFrame, marked: DataFrame, filters: DataFrame) ->
     )
 
 
+def _grams(column: str) -> Column:
+    """Distinct runs of three characters; none for a shorter text."""
+    starts = F.when(F.length(column) >= GRAM, F.sequence(F.lit(1), F.length(column) - (GRAM - 1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(F.col(column), i, F.lit(GRAM))))
+
+
 def match_names(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(product_name, keywords): names that hold a keyword of recognised texts (column text), with the sorted keywords.
 
-    A keyword has three characters at least, so a name that holds it holds its first three: names and keywords meet on
-    those, and only such pairs are compared. Both sides are distinct first.
+    A keyword has three characters at least, so a name that holds it holds each three of them in a row: names and keywords
+    meet on those three of the keyword that fewest names have, and only such pairs are compared. Both sides are distinct
+    first, and a gram of very many names is dealt many ways.
     """
     keywords = texts.select(F.explode(text.ocr_tokens("text")).alias("keyword")).distinct()
     plain = names.select("product_name").where(F.col("product_name") != "").distinct().withColumn("_low", F.lower("product_name"))
-    starts = F.when(F.length("_low") >= GRAM, F.sequence(F.lit(1), F.length("_low") - (GRAM - 1)))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("_low"), i, F.lit(GRAM))))
-    pieces = plain.withColumn("_gram", F.explode(grams))
-    met = pieces.join(keywords.withColumn("_gram", F.left("keyword", F.lit(GRAM))), "_gram").where(F.contains("_low", "keyword"))
+    pieces = plain.withColumn("_gram", F.explode(_grams("_low")))
+    held = pieces.groupBy("_gram").agg(F.count("*").alias("_n"))
+    rarest = keywords.withColumn("_gram", F.explode(_grams("keyword"))).join(held, "_gram", "left").groupBy("keyword").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_rarest"))
+    met = spread_join(pieces, rarest.select("keyword", F.col("_rarest._gram").alias("_gram")), ["_gram"], "product_name").where(F.contains("_low", "keyword"))
     return met.groupBy("product_name").agg(F.array_join(F.array_sort(F.collect_set("keyword")), " ").alias("keywords"))

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from catsim.operators.joins import spread_join
+
 
 def category_stats(catalogue: DataFrame) -> DataFrame:
-    """Rows of each category."""
-    return catalogue.groupBy("category").agg(F.count("*").alias("n"))
+    """Rows of each category, largest first."""
+    return catalogue.groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category")
+
+
+def row_count(catalogue: DataFrame, category: str | None = None) -> DataFrame:
+    """Number of rows, of one category if it is given and not empty, as one row."""
+    return (catalogue.where(F.col("category") == category) if category else catalogue).agg(F.count("*").alias("n"))
 
 
 def catalogue_stats(catalogue: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -25,15 +32,47 @@ def orphans(catalogue: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def dedup_detections(detections: DataFrame, min_confidence: float = 0.5) -> DataFrame:
-    """(image_id, text, confidence): one row for each text of an image, with its best confidence."""
+    """(image_id, text, confidence): one row for each text of an image, with its best confidence. `best_first` ranks them."""
     clean = detections.withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+$", "")).where("text <> ''")
     return clean.where(F.col("confidence") >= min_confidence).groupBy("image_id", "text").agg(F.max("confidence").alias("confidence"))
 
 
+def best_first(detections: DataFrame) -> DataFrame:
+    """Detections with ``place``, their order in their image: highest confidence first, then by text."""
+    order = Window.partitionBy("image_id").orderBy(F.desc("confidence"), "text")
+    return detections.withColumn("place", F.row_number().over(order))
+
+
+REQUEST = ("category", "top_k", "auto_category")
+
+
 def fold_queries(queries: DataFrame) -> DataFrame:
-    """(digest, category, query_id, n): identical queries answered once, under the least id."""
+    """(digest, category, query_id, n): identical queries answered once, under the least id.
+
+    Queries are identical if content and those of the columns `REQUEST` that they have agree; null agrees with null.
+    """
     keyed = queries.withColumn("digest", F.md5("content"))
-    return keyed.groupBy("digest", "category").agg(F.min("query_id").alias("query_id"), F.count("*").alias("n"))
+    return keyed.groupBy("digest", *[c for c in REQUEST if c in queries.columns]).agg(F.min("query_id").alias("query_id"), F.count("*").alias("n"))
+
+
+def fold_members(queries: DataFrame) -> DataFrame:
+    """(query_id, representative): under which id each query is answered.
+
+    The least id of a group is found by an aggregate, and joined back with very common contents dealt many ways.
+    """
+    keyed = queries.withColumn("_digest", F.coalesce(F.md5("content"), F.lit("")))
+    # Nulls become a value of their own, because an equi-join drops them.
+    keys = [F.to_json(F.struct(c)).alias(f"_{c}") for c in REQUEST if c in queries.columns]
+    keyed = keyed.select("query_id", "_digest", *keys)
+    on = [c for c in keyed.columns if c != "query_id"]
+    least = keyed.groupBy(*on).agg(F.min("query_id").alias("representative"))
+    return spread_join(keyed, least, on, "query_id").select("query_id", "representative")
+
+
+def unfold(answers: DataFrame, members: DataFrame) -> DataFrame:
+    """Answers of representatives handed to every query that they stand for."""
+    named = answers.withColumnRenamed("query_id", "representative")
+    return members.join(named, "representative").drop("representative")
 
 
 def sync_report(status: DataFrame) -> DataFrame:
@@ -47,6 +86,11 @@ def delete_rows(catalogue: DataFrame, ids: DataFrame) -> DataFrame:
     return catalogue.join(ids, "faiss_id", "left_anti")
 
 
+def deletion_count(catalogue: DataFrame, ids: DataFrame) -> DataFrame:
+    """How many rows `delete_rows` takes away, as one row."""
+    return catalogue.join(ids, "faiss_id", "left_semi").agg(F.count("*").alias("n_deleted"))
+
+
 def duplicate_ids(catalogue: DataFrame) -> DataFrame:
     """(faiss_id, n) of ids that more than one row has."""
     return catalogue.groupBy("faiss_id").agg(F.count("*").alias("n")).where("n > 1")

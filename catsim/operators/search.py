@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COARSE_K, TOP_K = 200, 20
 STRETCH_MIN, MIN_FINE, MIN_RELATIVE, MIN_FUSED, MIN_TOP = 0.45, 0.50, 0.65, 0.30, 0.70
 QUERY_BLOCK, VECTOR_BLOCK = 512, 2048
-#: So many queries of 512 floats are 20 MB.
-BROADCAST_QUERIES = 10_000
+#: Limits of a broadcast: queries, and bytes of their matrix in double.
+BROADCAST_QUERIES, BROADCAST_BYTES = 10_000, 64 << 20
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -34,56 +34,133 @@ def stretch(raw: str | Column, floor: float = STRETCH_MIN) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (raw - floor) / (1 - floor))), 4)
 
 
-def _query_blocks(queries: DataFrame, size: int, n: int) -> DataFrame:
-    """Rows of about ``size`` of the ``n`` queries each."""
-    dealt = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // size)))).alias("_block"))
-    return dealt.agg(F.collect_list(F.struct(F.col("query_id").cast("long").alias("id"), F.col("coarse").alias("v"))).alias("rows")).select(
-        F.col("rows.id").alias("q_ids"), F.col("rows.v").alias("qv")
-    )
-
-
-def _vector_blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """Rows of up to ``size`` vectors of one task each; vectors stay where they were read and are not shuffled."""
-
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), size):
-                part = frame.iloc[at : at + size]
-                yield pd.DataFrame({"v_ids": [part["id"].tolist()], "vv": [part["v"].tolist()]})
-
-    named = vectors.select(F.col("faiss_id").cast("long").alias("id"), F.col("coarse").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    return named.mapInPandas(pack, f"v_ids array<long>, vv array<{named.schema['v'].dataType.simpleString()}>")
-
-
-def coarse_topk(queries: DataFrame, vectors: DataFrame, k: int = COARSE_K) -> DataFrame:
+class _Best:
+    """The best ``k`` of each query so far: scores rounded to 9 places, highest first, then the lower id."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.queries, self.limit = k, np.empty(0, np.int64), np.empty(0)
+        self.kept = tuple(np.empty(0, kind) for kind in (np.int64, np.float64, np.int64))
+        self.pending: list[tuple] = []
+        self.size = 0
+
+    def rows(self, queries: np.ndarray) -> np.ndarray:
+        """Numbers of queries; new ones are added."""
+        new = np.setdiff1d(queries, self.queries)
+        if len(new):
+            self.queries = np.append(self.queries, new)
+            self.limit = np.append(self.limit, np.full(len(new), -np.inf))
+        order = np.argsort(self.queries)
+        return order[np.searchsorted(self.queries[order], queries)]
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """Scores (queries, vectors) of some vectors; one below the limit of its query can't be among the best."""
+        q, v = np.nonzero((score >= self.limit[rows][:, None]) & (score > -np.inf))
+        self.pending.append((rows[q], score[q, v], ids[v]))
+        self.size += len(q)
+        if self.size > max(1 << 20, 2 * self.k * len(self.queries)):
+            self.settle()
+
+    def settle(self) -> None:
+        row, score, ids = (np.concatenate(x) for x in zip(self.kept, *self.pending, strict=True))
+        order = np.lexsort((ids, -score, row))
+        row = row[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        best = order[nth < self.k]
+        full = nth == self.k - 1
+        self.limit[row[full]] = score[order[full]]
+        row, self.pending, self.size = row[nth < self.k], [], 0
+        self.kept = (row, score[best], ids[best])
+
+    def batch(self) -> pa.RecordBatch:
+        self.settle()
+        row, score, ids = self.kept
+        columns = [pa.array(self.queries[row], pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, ["query_id", "faiss_id", "clip_score"])
+
+
+def _matrix(lists: pa.Array, rows: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+
+
+def _codes(categories: pa.Array, known: dict[str | None, int]) -> np.ndarray:
+    """Numbers of categories, 0 for null; the same text has the same number."""
+    return np.array([known.setdefault(c, len(known)) for c in categories.to_pylist()], np.int64)
+
+
+def coarse_topk(queries: DataFrame, vectors: DataFrame, k: int = COARSE_K, within: bool = False) -> DataFrame:
     """(query_id, faiss_id, clip_score, coarse_rank): the ``k`` vectors of highest inner product for each query, exactly.
 
-    Queries and vectors are put into blocks; a task multiplies two blocks and keeps the best ``k`` of each query, so the
-    pairs themselves are never rows, and of those each task ranks its own before the shuffle. Up to BROADCAST_QUERIES
-    queries are broadcast, and then vectors are never moved; more are left to Spark, which deals both sides in pieces.
-    Scores are rounded to 9 places and ties go to the lower id. A row without id or vector takes no part.
+    Each task multiplies blocks of vectors with blocks of queries and keeps a running best ``k`` of each query, which it
+    returns once; pairs are never rows. Up to BROADCAST_QUERIES queries of BROADCAST_BYTES in all are counted and then
+    broadcast as one matrix, and vectors are never moved; more queries become rows of blocks, which Spark deals in
+    pieces. Scores are rounded to 9 places and ties go to the lower id. A row without id or vector takes no part. With
+    ``within``, a query whose ``only_category`` is not null takes vectors of that ``category`` only, before the cut.
     """
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                q, v = np.stack(row.qv).astype(np.float64), np.stack(row.vv).astype(np.float64)
-                ids = np.asarray(row.v_ids)
-                score = np.round(q @ v.T, 9)
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-                yield pd.DataFrame(
-                    {"query_id": np.repeat(np.asarray(row.q_ids), order.shape[1]), "faiss_id": ids[order].ravel(), "clip_score": np.take_along_axis(score, order, 1).ravel()}
-                )
-
-    asked = queries.select("query_id", "coarse").where("query_id IS NOT NULL AND coarse IS NOT NULL")
-    n = asked.count()
-    q = _query_blocks(asked, QUERY_BLOCK, n)
-    pairs = _vector_blocks(vectors, VECTOR_BLOCK).crossJoin(F.broadcast(q) if n <= BROADCAST_QUERIES else q)
-    part = pairs.mapInPandas(best, "query_id long, faiss_id long, clip_score double")
+    spark = queries.sparkSession
+    kind = [F.col("only_category" if within else "query_id").cast("string").alias("c")]
+    asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col("coarse").alias("v"), *kind).where("id IS NOT NULL AND v IS NOT NULL")
+    kind = [F.col("category" if within else "faiss_id").cast("string").alias("c")]
+    held = vectors.select(F.col("faiss_id").cast("long").alias("id"), F.col("coarse").alias("v"), *kind).where("id IS NOT NULL AND v IS NOT NULL")
+    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+
+    def meet(best: _Best, q: tuple, v: tuple) -> None:
+        """All queries (ids, matrix, categories) with some vectors, block by block."""
+        rows = best.rows(q[0])
+        for at in range(0, len(v[0]), VECTOR_BLOCK):
+            ids, part, of = (x[at : at + VECTOR_BLOCK] for x in v)
+            for lo in range(0, len(rows), QUERY_BLOCK):
+                block = slice(lo, lo + QUERY_BLOCK)
+                score = np.round(q[1][block] @ part.T, 9)
+                if within:
+                    score[(q[2][block] > 0)[:, None] & (q[2][block][:, None] != of[None, :])] = -np.inf
+                best.add(rows[block], ids, score)
+
+    def sides(batch: pa.RecordBatch, first: int, known: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, lists, categories = batch.columns[first : first + 3]
+        codes = _codes(categories, known) if within else np.zeros(len(ids), np.int64)
+        return ids.to_numpy(zero_copy_only=False), _matrix(lists, len(ids)), codes
+
+    schema = "query_id long, faiss_id long, clip_score double"
+    if n <= BROADCAST_QUERIES and n * width * 8 <= BROADCAST_BYTES:
+        table = asked.toArrow().combine_chunks()
+        blob = spark.sparkContext.broadcast((table["id"].to_numpy(), _matrix(table["v"].combine_chunks(), n) if n else np.empty((0, width)), table["c"].to_pylist()))
+
+        def against_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, matrix, categories = blob.value
+            known: dict[str | None, int] = {None: 0}
+            q, best = (ids, matrix, _codes(pa.array(categories, pa.string()), known)), _Best(k)
+            for batch in batches:
+                if len(batch) and len(ids):
+                    meet(best, q, sides(batch, 0, known))
+            yield best.batch()
+
+        part = held.mapInArrow(against_all, schema)
+    else:
+        blocks = lambda df, p: df.mapInArrow(_blocks, f"{p}i array<long>, {p}v array<{df.schema['v'].dataType.simpleString()}>, {p}c array<string>")
+
+        def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[str | None, int] = {None: 0}
+            best = _Best(k)
+            for batch in batches:
+                for r in range(len(batch)):
+                    q, v = ([c.slice(r, 1).flatten() for c in batch.columns[at : at + 3]] for at in (0, 3))
+                    meet(best, *(sides(pa.RecordBatch.from_arrays(x, ["id", "v", "c"]), 0, known) for x in (q, v)))
+            yield best.batch()
+
+        part = blocks(asked, "q").crossJoin(blocks(held, "v")).mapInArrow(pieces, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("clip_score"), "faiss_id"))
     return part.withColumn("coarse_rank", rank).where(F.col("coarse_rank") <= k)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows as lists of at most ``QUERY_BLOCK`` rows each; they stay in their task."""
+    for batch in batches:
+        for at in range(0, len(batch), QUERY_BLOCK):
+            part = batch.slice(at, QUERY_BLOCK)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.concat_arrays([c])) for c in part.columns]
+            yield pa.RecordBatch.from_arrays(lists, ["i", "v", "c"])
+
+
 def rerank(hits: DataFrame, queries: DataFrame, vectors: DataFrame, top_k: int = TOP_K, min_fine: float = MIN_FINE, min_relative: float = MIN_RELATIVE, min_fused: float = MIN_FUSED, min_top: float = MIN_TOP) -> DataFrame:
     """Fine scores of coarse hits, the gate on a query's best one, three thresholds and the final rank.
 

@@ -39,10 +39,11 @@ def read_product_feed(spark: SparkSession, path: str) -> DataFrame:
     return explode_feed(spark.read.schema(FEED).json(path))
 
 
-def read_catalogue(spark: SparkSession, path: str, category: str | None = None) -> DataFrame:
-    """Catalogue rows, of one category if it is given and not empty."""
+def read_catalogue(spark: SparkSession, path: str, category: str | None = None, ordered: bool = False) -> DataFrame:
+    """Catalogue rows, of one category if it is given and not empty, and in the order of their ids if asked."""
     rows = spark.read.schema(CATALOGUE).parquet(path)
-    return rows.where(F.col("category") == category) if category else rows
+    rows = rows.where(F.col("category") == category) if category else rows
+    return rows.orderBy("id") if ordered else rows
 
 
 def append_catalogue(rows: DataFrame, path: str) -> None:

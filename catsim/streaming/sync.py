@@ -1,8 +1,9 @@
-"""Continuous catalogue sync: feed pages arrive as JSON files, new products are added with fresh ids."""
+"""Continuous catalogue sync: feed pages arrive as JSON files, new products are added with keywords, vectors and fresh ids."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +12,27 @@ from pyspark.sql.streaming import StreamingQuery
 from catsim.operators import ingest
 from catsim.operators.ids import allocate_ids, next_id
 from catsim.sources.catalogue import FEED, explode_feed
-from catsim.sources.shared import write_table
-
-ROWS = "image_url string, product_name string, product_name_cn string, product_id string, category string, faiss_id long"
-FAILED = "image_url string, product_name string, product_name_cn string, product_id string, category string, error string"
+from catsim.sources.shared import drop_table, write_table
+
+_NAMES = "image_url string, product_name string, product_name_cn string, product_id string, category string"
+ROWS = f"{_NAMES}, keywords_cn string, keywords_en string, faiss_id long"
+FAILED = f"{_NAMES}, error string"
+VECTORS = "faiss_id long, coarse array<float>, fine array<float>"
+STATUS = "page long, image_url string, status string, bytes long, error string"
+#: Products -> the same with ``error``, null where a product is good, and ``bytes`` if its image's size is known.
 Check = Callable[[DataFrame], DataFrame]
+#: Products (image_url and the rest) -> (image_url, coarse, fine, error).
+Embed = Callable[[DataFrame], DataFrame]
+#: The batch of what is known at the start, and of the second pass over dead letters.
+FIRST, RETRY = -1, -2
+
+
+class Extra(NamedTuple):
+    """What a sync may write besides the rows: vectors by a model, and the status of every item."""
+
+    embed: Embed | None = None
+    vectors: str | None = None
+    status: str | None = None
 
 
 def no_errors(products: DataFrame) -> DataFrame:
@@ -29,35 +46,78 @@ def read_rows(spark: SparkSession, path: str, schema: str = ROWS) -> DataFrame:
 
 
 def create_table(spark: SparkSession, path: str, rows: DataFrame | None = None, schema: str = ROWS) -> None:
-    """Start a synced table with the rows that are known already, as batch -1."""
-    first = spark.createDataFrame([], schema) if rows is None else rows.select(*spark.createDataFrame([], schema).columns)
-    first.write.mode("overwrite").parquet(f"{path}/batch=-1")
+    """Start a synced table with the rows that are known already, as batch -1; columns that they lack are null."""
+    none = spark.createDataFrame([], schema)
+    first = none if rows is None else none.unionByName(rows.select(*[c for c in none.columns if c in rows.columns]), allowMissingColumns=True)
+    first.write.mode("overwrite").parquet(f"{path}/batch={FIRST}")
+
+
+def _put(rows: DataFrame, schema: str, path: str, batch: int) -> None:
+    whole = rows.sparkSession.createDataFrame([], schema).unionByName(rows, allowMissingColumns=True)
+    whole.select(*rows.sparkSession.createDataFrame([], schema).columns).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def _add(judged: DataFrame, batch: int, older: DataFrame, table: str, extra: Extra) -> DataFrame:
+    """Write the good ones of ``judged`` (products with error) as one batch; returns ``judged`` with the errors of the model."""
+    if extra.embed is not None:
+        made = write_table(extra.embed(judged.where("error IS NULL")), "made")
+        told = made.select("image_url", F.col("error").alias("_why"), F.lit(True).alias("_made"))
+        why = F.coalesce("error", "_why", F.when(F.col("_made").isNull(), "no image"))
+        judged = write_table(judged.join(told, "image_url", "left").withColumn("error", why).drop("_why", "_made"), "judged")
+    good = ingest.with_keywords(judged.where("error IS NULL"))
+    numbered = allocate_ids(good.drop("error", "bytes", "page", "pos"), ["image_url"], start=next_id(older))
+    _put(numbered, ROWS, table, batch)
+    if extra.embed is not None and extra.vectors is not None:
+        _put(made.join(numbered.select("image_url", "faiss_id"), "image_url"), VECTORS, extra.vectors, batch)
+    return judged
 
 
-def add_batch(products: DataFrame, batch: int, table: str, dead_letters: str, check: Check = no_errors) -> None:
-    """Add products of one batch: the first of each URL, if the table lacks it; those that fail the check go to the dead letters.
+def add_batch(products: DataFrame, batch: int, table: str, dead_letters: str, check: Check = no_errors, extra: Extra = Extra()) -> None:
+    """Add products of one batch: the first of each URL, if the table lacks it; those that fail go to the dead letters.
 
-    A batch owns one folder of each table and looks at older batches only, so running it again gives the same result. The
+    A product fails by the check or by the model. Rows get the keywords of their names, and vectors under the same ids. A
+    batch owns one folder of each table and looks at older batches only, so running it again gives the same result. The
     URLs seen are the table itself and not stream state, which would grow without bound.
     """
     spark = products.sparkSession
     older = read_rows(spark, table).where(F.col("batch") < batch)
-    fresh = write_table(check(ingest.new_products(ingest.one_per_url(products), older)).drop("page", "pos"), "fresh")
-    numbered = allocate_ids(fresh.where("error IS NULL").drop("error"), ["image_url"], start=next_id(older))
-    numbered.write.mode("overwrite").parquet(f"{table}/batch={batch}")
-    fresh.where("error IS NOT NULL").write.mode("overwrite").parquet(f"{dead_letters}/batch={batch}")
-
-
-def sync_stream(spark: SparkSession, feed_dir: str, table: str, dead_letters: str, checkpoint: str, check: Check = no_errors) -> StreamingQuery:
+    fresh = write_table(check(ingest.new_products(ingest.one_per_url(products), older)), "fresh")
+    judged = _add(fresh, batch, older, table, extra)
+    _put(judged.where("error IS NOT NULL"), FAILED, dead_letters, batch)
+    if extra.status is not None:
+        # One item of a URL is taken; its later copies are known by then.
+        taken = judged.withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("failed"))
+        again = products.select("page", "pos", "image_url").join(judged.select("page", "pos", "image_url"), ["page", "pos", "image_url"], "left_anti")
+        _put(taken.unionByName(again.withColumn("status", F.lit("skipped")), allowMissingColumns=True), STATUS, extra.status, batch)
+    drop_table(fresh)
+
+
+def sync_stream(spark: SparkSession, feed_dir: str, table: str, dead_letters: str, checkpoint: str, check: Check = no_errors, extra: Extra = Extra()) -> StreamingQuery:
     """Take all feed files not taken yet, then stop. Both tables must exist (``create_table``)."""
     pages = spark.readStream.schema(FEED).json(feed_dir)
     products = ingest.project_products(explode_feed(pages))
-    writer = products.writeStream.foreachBatch(lambda df, batch: add_batch(df, batch, table, dead_letters, check))
+    writer = products.writeStream.foreachBatch(lambda df, batch: add_batch(df, batch, table, dead_letters, check, extra))
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def retry_failed(spark: SparkSession, table: str, dead_letters: str, check: Check = no_errors) -> DataFrame:
-    """Second pass over the dead letters whose URL the table still lacks: (image_url, ..., error), error null where it is good now."""
+def retry_failed(spark: SparkSession, table: str, dead_letters: str, check: Check = no_errors, apart: int | None = None) -> DataFrame:
+    """Second pass over the dead letters whose URL the table still lacks: (image_url, ..., error), error null where it is good now.
+
+    Rows of the batch ``apart`` don't count as known.
+    """
     failed = read_rows(spark, dead_letters, FAILED)
     latest = failed.groupBy("image_url").agg(F.max_by(F.struct("product_name", "product_name_cn", "product_id", "category"), "batch").alias("p"))
-    return check(ingest.new_products(latest.select("image_url", "p.*"), read_rows(spark, table)))
+    known = read_rows(spark, table)
+    known = known if apart is None else known.where(F.col("batch") != apart)
+    return check(ingest.new_products(latest.select("image_url", "p.*"), known))
+
+
+def add_retried(spark: SparkSession, table: str, dead_letters: str, check: Check = no_errors, extra: Extra = Extra(), attempt: int = 0) -> DataFrame:
+    """Run the second pass and add what is good now, as batch -2 - attempt; returns (image_url, status, error) of all retried products.
+
+    To be run while no stream runs, each time with the next ``attempt``; an attempt that is run again gives the same result.
+    """
+    batch = RETRY - attempt
+    retried = write_table(retry_failed(spark, table, dead_letters, check, batch), "retried")
+    judged = _add(retried, batch, read_rows(spark, table).where(F.col("batch") != batch), table, extra)
+    return judged.select("image_url", F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status"), "error")
