@@ -1,24 +1,12 @@
-"""Connected components of an edge table, and joins whose keys may be hot."""
+"""Connected components of an edge table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catsim.llm.storage import drop_table, free_name, write_table
-
-WAYS = 16
-
-
-def spread_join(many: DataFrame, one: DataFrame, on: list[str], by: str, how: str = "inner", ways: int = WAYS) -> DataFrame:
-    """Join on the columns ``on``, where one key may hold very many rows of ``many``: they are dealt ``ways`` ways by ``by``.
-
-    The rows of ``one``, few for each key, are repeated for every way.
-    """
-    way = free_name("way", many, one)
-    left = many.withColumn(way, F.pmod(F.xxhash64(by), F.lit(ways)).cast("int"))
-    return left.join(one.withColumn(way, F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))), [*on, way], how).drop(way)
-
+from catsim.llm.storage import drop_table, write_table
+from catsim.operators.joins import spread_join
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, comp) for every end of ``edges`` (a, b); ``comp`` is the least id of its component.
