@@ -68,7 +68,8 @@ def mixing_plan(sized: DataFrame, heavy: int = HEAVY, **params) -> tuple[DataFra
     plan = write_table(source_targets(sized, **params).withColumn("whole", F.floor(rate)).withColumn("part", rate - F.floor(rate)), "plan")
     # Rows of one key but different sources are drawn apart.
     keys = write_table(sized.groupBy("key", "source").agg(F.first("size").alias("size"), F.count("*").alias("n")), "keys")
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("size"), "key"))
+    # Of equal length, by the digits that no number is made of: the choice must not hang on the draw.
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("size"), F.substring("key", 14, 19), "key"))
     of_source = plan.select(F.col("source").alias("of"), "part")
     longest = keys.where("n = 1 and size > 0").withColumn("rank", rank).where(F.col("rank") <= heavy)
     joined = longest.join(of_source, F.col("source").eqNullSafe(F.col("of")))
@@ -185,7 +186,7 @@ WITH sized AS (
         CASE WHEN source_size > 0 THEN CASE WHEN final IS NULL OR ratio <= final THEN cap ELSE final * weight END / source_size ELSE 0.0::DOUBLE END AS rate
     FROM (SELECT *, (SELECT level FROM filled WHERE ratio > level ORDER BY ratio, rank LIMIT 1) AS final FROM filled)
 ), drawn AS (
-    SELECT *, CASE WHEN size > 0 THEN row_number() OVER (PARTITION BY source ORDER BY size DESC, key) END AS place,
+    SELECT *, CASE WHEN size > 0 THEN row_number() OVER (PARTITION BY source ORDER BY size DESC, key[14:32], key) END AS place,
         ('0x' || key[1:13])::BIGINT * power(2.0::DOUBLE, -52) AS number,
         ('0x' || md5(coalesce(source, ''))[1:13])::BIGINT * power(2.0::DOUBLE, -52) AS start
     FROM sized JOIN plan ON source IS NOT DISTINCT FROM of

@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,7 +26,9 @@ from catsim.llm.storage import doc_type, id_and_text, write_table
 PACK_BYTES = 4 << 20
 #: Hashes that one bucket is planned for.
 BUCKET_HASHES = 2 << 20
-MAX_BUCKETS = 1 << 20
+MAX_BUCKETS = 1 << 24
+#: Hashes that a row of an exchange should hold at least.
+ROW_HASHES = 256
 #: Bits of a check, and the bytes that they take.
 CHECK_BITS = 40
 _CHECK_BYTES = CHECK_BITS // 8
@@ -133,74 +136,112 @@ def count_buckets(packs: DataFrame) -> int:
     return min(MAX_BUCKETS, 1 << max(4, int(np.ceil(np.log2(max(1, total / 5 / BUCKET_HASHES))))))
 
 
+def _blobs(h: np.ndarray, check: np.ndarray | None, count: np.ndarray, src: int, buckets: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Sorted, distinct hashes of ``bits`` bits with their checks and counts, as one row for each bucket that has any."""
+    edges = np.arange(buckets + 1, dtype=np.uint64) << np.uint64(bits - int(np.log2(buckets)))
+    at = np.searchsorted(h, edges)
+    at[-1] = len(h)
+    used = np.flatnonzero(np.diff(at))
+    low = None if check is None else check.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_CHECK_BYTES]
+    blobs, checks, many = [], [], []
+    for b in used.tolist():
+        own = slice(at[b], at[b + 1])
+        blobs.append(_planes(h[own] - edges[b]))
+        checks.append(b"" if low is None else low[own].tobytes())
+        k = np.flatnonzero(count[own] > 1)
+        many.append(np.stack([k, count[own][k]]).astype("<i8").tobytes())
+    if len(used):
+        columns = [pa.array(used, pa.int32()), pa.array(np.full(len(used), src), pa.int64()), pa.array(np.diff(at)[used], pa.int32()), *(pa.array(x, pa.binary()) for x in (blobs, checks, many))]
+        yield pa.RecordBatch.from_arrays(columns, ["bucket", "src", "n", "hashes", "checks", "many"])
+
+
+def _read_blobs(table: pa.Table) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
+    """Hashes, checks and counts of all rows, and where each row's begin."""
+    ns = table["n"].to_numpy()
+    h = np.concatenate([np.empty(0, np.uint64), *(_from_planes(x.as_py(), n) for x, n in zip(table["hashes"], ns.tolist(), strict=True))])
+    low = np.frombuffer(b"".join(table["checks"].to_pylist()), np.uint8).reshape(-1, _CHECK_BYTES)
+    check = np.pad(low, ((0, 0), (0, 8 - _CHECK_BYTES))).view("<u8").reshape(-1) if len(low) else None
+    count, start = np.ones(len(h), np.int64), np.cumsum(np.append(0, ns))
+    for x, at in zip(table["many"], start.tolist(), strict=False):
+        k, c = np.frombuffer(x.as_py(), "<i8").reshape(2, -1)
+        count[at + k] = c
+    return h, check, count, start
+
+
+def _code_table(table: pa.Table, codes: np.ndarray, start: np.ndarray) -> pa.Table:
+    parts = pa.array([codes[a:b].tobytes() for a, b in zip(start, start[1:], strict=False)], pa.binary())
+    return pa.table({"src": table["src"], "bucket": table["bucket"], "codes": parts})
+
+
+def _add_up(blobs: DataFrame) -> DataFrame:
+    """(src, bucket, codes): for each row of ``blobs`` the counts of its hashes over all rows of its bucket."""
+
+    def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by("src").combine_chunks()
+        h, check, count, start = _read_blobs(table)
+        order, new = ranked(h, check)
+        at = np.flatnonzero(new)
+        total = np.add.reduceat(count[order], at)
+        codes = np.empty(len(h), np.uint8)
+        codes[order] = np.repeat(encode_count(total), np.diff(np.append(at, len(h))))
+        return _code_table(table, codes, start)
+
+    return blobs.groupBy("bucket").applyInArrow(add, CODE_SCHEMA)
+
+
+def _by_way_of_groups(blobs: DataFrame, n_packs: int, buckets: int, bits: int) -> DataFrame:
+    """As `_add_up`, by a second exchange: ``blobs`` have few coarse buckets, and ``buckets`` finer ones follow inside each.
+
+    About as many packs as there are finer buckets form a group inside a coarse bucket. A group is to the finer buckets
+    what a pack is to the coarse ones, and splits their answer among its packs again. So a row of either exchange holds
+    about as many hashes whatever the size of the corpus, and rows grow in proportion to it.
+    """
+    chunks = max(1, -(-n_packs // buckets))
+    grouped = blobs.withColumn("group", F.col("bucket").cast("long") * chunks + F.pmod(F.xxhash64("src"), F.lit(chunks)))
+    grouped = write_table(grouped, "grouped", "uncompressed")
+
+    def refine(table: pa.Table) -> pa.Table:
+        coarse, group = table["bucket"][0].as_py(), table["group"][0].as_py()
+        h, check, count, _ = _read_blobs(table)
+        first, _, place = distinct_counts(h, np.empty(0, np.int64), False, check)
+        rows = list(_blobs(h[first], None if check is None else check[first], np.bincount(place, count, len(first)).astype(np.int64), group, buckets, bits))
+        made = pa.Table.from_batches(rows)
+        return made.set_column(0, "bucket", pc.add(made["bucket"], pa.scalar(coarse * buckets, pa.int32())))
+
+    def hand_back(table: pa.Table, codes: pa.Table) -> pa.Table:
+        table = table.sort_by("src").combine_chunks()
+        h, check, _, start = _read_blobs(table)
+        answer = np.frombuffer(b"".join(codes.sort_by("bucket")["codes"].to_pylist()), np.uint8)
+        return _code_table(table, answer[distinct_counts(h, np.empty(0, np.int64), False, check)[2]], start)
+
+    codes = _add_up(grouped.groupBy("group").applyInArrow(refine, BLOB_SCHEMA)).withColumnRenamed("src", "group")
+    return grouped.groupBy("group").cogroup(codes.groupBy("group")).applyInArrow(hand_back, CODE_SCHEMA)
+
+
 def count_hashes(packs: DataFrame, hasher: Hasher, bits: int, per_document: bool) -> DataFrame:
     """(src, bucket, codes): for each pack the corpus-wide counts of its distinct hashes, ascending by hash and check.
 
-    ``per_document`` counts documents, else occurrences. Hashes are below ``2**bits``, at most 56 bits.
+    ``per_document`` counts documents, else occurrences. Hashes are below ``2**bits``, at most 56 bits. Where packs times
+    buckets would make rows of fewer than ``ROW_HASHES`` hashes, hashes go to their buckets in two exchanges.
     """
     if bits > 56:
         raise ValueError("at most 56 bits")
     buckets = count_buckets(packs)
-    shift = bits - int(np.log2(buckets))
+    coarse = buckets if PACK_BYTES / 5 / buckets >= ROW_HASHES else 1 << (int(np.log2(buckets)) + 1) // 2
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.arange(buckets + 1, dtype=np.uint64) << np.uint64(shift)
         for batch in batches:
             for row in batch.to_pylist():
                 h, check, doc = hasher(unpack(row["lens"], row["payload"]))
                 first, count, _ = distinct_counts(h, doc, per_document, check)
-                h = h[first]
-                low = None if check is None else check[first].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_CHECK_BYTES]
-                at = np.searchsorted(h, edges)
-                at[-1] = len(h)
-                used = np.flatnonzero(np.diff(at))
-                if not len(used):
-                    continue
-                blobs, checks, many = [], [], []
-                for b in used.tolist():
-                    blobs.append(_planes(h[at[b] : at[b + 1]] - edges[b]))
-                    checks.append(b"" if low is None else low[at[b] : at[b + 1]].tobytes())
-                    c = count[at[b] : at[b + 1]]
-                    k = np.flatnonzero(c > 1)
-                    many.append(np.stack([k, c[k]]).astype("<i8").tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(used, pa.int32()),
-                        pa.array(np.full(len(used), row["src"]), pa.int64()),
-                        pa.array(np.diff(at)[used], pa.int32()),
-                        pa.array(blobs, pa.binary()),
-                        pa.array(checks, pa.binary()),
-                        pa.array(many, pa.binary()),
-                    ],
-                    ["bucket", "src", "n", "hashes", "checks", "many"],
-                )
-
-    def add_up(table: pa.Table) -> pa.Table:
-        table = table.sort_by("src").combine_chunks()
-        ns = table["n"].to_numpy()
-        h = np.concatenate([_from_planes(x.as_py(), n) for x, n in zip(table["hashes"], ns.tolist(), strict=True)])
-        count = np.ones(len(h), np.int64)
-        start = np.cumsum(np.append(0, ns))
-        for x, s in zip(table["many"], start.tolist(), strict=False):
-            k, c = np.frombuffer(x.as_py(), "<i8").reshape(2, -1)
-            count[s + k] = c
-        low = np.frombuffer(b"".join(table["checks"].to_pylist()), np.uint8).reshape(-1, _CHECK_BYTES)
-        check = np.pad(low, ((0, 0), (0, 8 - _CHECK_BYTES))).view("<u8").reshape(-1) if len(low) else None
-        order, new = ranked(h, check)
-        at = np.flatnonzero(new)
-        total = np.add.reduceat(count[order], at)
-        codes = np.empty(len(h), np.uint8)
-        codes[order] = np.repeat(encode_count(total), np.diff(np.append(at, len(h))))
-        return pa.table(
-            {
-                "src": table["src"],
-                "bucket": table["bucket"],
-                "codes": pa.array([codes[a:b].tobytes() for a, b in zip(start, start[1:], strict=False)], pa.binary()),
-            }
-        )
+                yield from _blobs(h[first], None if check is None else check[first], count, row["src"], coarse, bits)
 
     blobs = packs.select("src", "doc_ids", "lens", "payload").mapInArrow(spread, BLOB_SCHEMA)
-    return write_table(blobs.groupBy("bucket").applyInArrow(add_up, CODE_SCHEMA), "counts")
+    if coarse < buckets:
+        codes = _by_way_of_groups(blobs, packs.count(), buckets // coarse, bits - int(np.log2(coarse)))
+    else:
+        codes = _add_up(blobs)
+    return write_table(codes, "counts")
 
 
 def with_counts(packs: DataFrame, counts: DataFrame, fn: Callable[[list, list[bytes], np.ndarray], pa.Table], schema: str) -> DataFrame:
