@@ -25,8 +25,10 @@ FILTERS, EMBEDDING = 16, 8
 TRAIN_DOCS, TRAIN_WINDOWS = 4000, 4
 STEPS, BATCH, RATE = 600, 96, 4e-3
 UNKNOWN = "und"
-#: A text in a known language is likelier in it than in all others together.
-MIN_SCORE = 0.5
+#: Between text in a known language, short ones of a word or two left out, and noise, which gets a hundredth.
+MIN_SCORE = 0.3
+#: One window in no language is made up for so many of the labelled ones.
+NOISE_SHARE = 4
 #: Windows that one look-up handles.
 BLOCK = 48
 
@@ -148,9 +150,32 @@ def training_windows(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> tuple[np.nd
 
 
 def fit(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> tuple[dict[str, np.ndarray], list[str]]:
-    """A network and its languages from ``docs`` (doc_id, text, lang); without labelled rows, no languages."""
+    """A network and its languages from ``docs`` (doc_id, text, lang); without labelled rows, no languages.
+
+    The network has one output more than languages, which stands for text in none of them.
+    """
     windows, labels, langs = training_windows(docs, max_docs)
-    return (train(windows, labels, len(langs)) if langs else {}), langs
+    if not langs:
+        return {}, langs
+    none = noise_windows(windows[:: NOISE_SHARE])
+    return train(np.concatenate([windows, none]), np.concatenate([labels, np.full(len(none), len(langs))]), len(langs) + 1), langs
+
+
+def noise_windows(windows: np.ndarray, seed: int = 1) -> np.ndarray:
+    """Windows in no language, three in turn for ``windows``: their bytes shuffled, few random bytes, random signs of a script."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for k, window in enumerate(windows):
+        if k % 3 == 0:
+            made = rng.permutation(window[window > 0])
+        elif k % 3 == 1:
+            made = rng.choice(rng.choice(np.arange(32, 127, dtype=np.uint8), rng.integers(4, 70), replace=False), WINDOW)
+        else:
+            signs = rng.integers(0, rng.integers(20, 400), WINDOW) + rng.integers(0x370, 0xD000)
+            spaced = np.where(rng.random(WINDOW) < 0.15, 32, signs)
+            made = np.frombuffer("".join(map(chr, spaced.tolist())).encode()[:WINDOW], np.uint8)
+        out.append(np.pad(made, (0, WINDOW - len(made))))
+    return np.stack(out) if out else np.empty((0, WINDOW), np.uint8)
 
 
 _NETWORKS: dict[bytes, Network] = {}
@@ -165,8 +190,11 @@ def _network(model: dict[str, np.ndarray]) -> Network:
     return _NETWORKS[key]
 
 
-def score_texts(texts: list, model: dict[str, np.ndarray], langs: list[str]) -> tuple[list[str], np.ndarray]:
-    """Language and probability of each text; ``und`` and 0 where it is null or has no letter."""
+def score_texts(texts: list, model: dict[str, np.ndarray], langs: list[str], none: bool = False) -> tuple[list[str], np.ndarray]:
+    """Language and probability of each text; ``und`` and 0 where it is null or has no letter.
+
+    The probability is that among the languages, or with ``none`` among those and text in none of them.
+    """
     known = np.array([bool(langs) and t is not None and any(map(str.isalpha, t)) for t in texts], bool)
     if not known.any():
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -175,7 +203,7 @@ def score_texts(texts: list, model: dict[str, np.ndarray], langs: list[str]) ->
     sums = np.stack([np.bincount(doc, used * c, len(texts)) for c in logits.T], axis=1)
     mean = sums / np.maximum(np.bincount(doc, used, len(texts)), 1)[:, None]
     p = np.exp(mean - mean.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
+    p = p[:, : len(langs)] / p[:, : None if none else len(langs)].sum(axis=1, keepdims=True)
     names = [langs[k] if ok else UNKNOWN for k, ok in zip(p.argmax(axis=1).tolist(), known.tolist(), strict=True)]
     return names, np.where(known, p.max(axis=1), 0.0)
 
@@ -205,6 +233,8 @@ def identify(docs: DataFrame, mod: int = 4, rest: int = 2, max_docs: int = TRAIN
 def keep_known(docs: DataFrame, languages: Collection[str] | None = None, min_score: float = MIN_SCORE, **params) -> DataFrame:
     """Rows of ``docs`` whose text gets a language, one of ``languages`` if they are given, with at least ``min_score``.
 
+    Noise and text in other scripts or languages has a class of its own, which no row is kept for.
+
     ``lang`` is filled in where it was null; all other columns, whatever their names, are unchanged. Null and empty texts,
     texts without a letter and, if no language was learned, all rows go. Equal texts, and so repeated rows, stay or go
     together; a very long text is judged by all its windows; an empty table gives no rows.
@@ -217,7 +247,7 @@ def keep_known(docs: DataFrame, languages: Collection[str] | None = None, min_sc
 
         out: list[str | None] = []
         for batch in bounded(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])]), text=0):
-            names, scores = score_texts(batch.column(0).to_pylist(), model, langs)
+            names, scores = score_texts(batch.column(0).to_pylist(), model, langs, none=True)
             sure = [n != UNKNOWN and s >= min_score and (languages is None or n in languages) for n, s in zip(names, scores.tolist(), strict=True)]
             out += [n if ok else None for n, ok in zip(names, sure, strict=True)]
         return pd.Series(out, dtype=object)
