@@ -129,6 +129,12 @@ def test_cues_and_ibans():
     assert pii.iban("DE44500105175407324931") and not pii.iban("DE44500105175407324932")
 
 
+def test_numbers_that_no_card_starts_with_stay():
+    text = "order 1232810148878564 card 4111 1111 1111 1111 and 2223000048400011"
+    assert [k for k, *_ in pii.find_spans(text)] == ["card"] * 3
+    assert pii.redact(text) == "order 1232810148878564 card <CARD> and <CARD>"
+
+
 @pytest.mark.parametrize("same_text", [True, False])
 @pytest.mark.parametrize("ids", ["null", "one", "own"])
 def test_targets_where_ids_are_shared(spark, ids, same_text):
