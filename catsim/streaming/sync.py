@@ -81,7 +81,10 @@ def add_batch(products: DataFrame, batch: int, table: str, dead_letters: str, ch
     """
     spark = products.sparkSession
     older = read_rows(spark, table).where(F.col("batch") < batch)
-    fresh = write_table(check(ingest.new_products(ingest.one_per_url(products), older)), "fresh")
+    first = write_table(ingest.one_per_url(products), "first")
+    # The known ones of this batch: Spark broadcasts a small written batch, so the table is read and not shuffled.
+    known = older.select("image_url").join(first.select("image_url"), "image_url", "left_semi")
+    fresh = write_table(check(ingest.new_products(first, known)), "fresh")
     judged = _add(fresh, batch, older, table, extra)
     _put(judged.where("error IS NOT NULL"), FAILED, dead_letters, batch)
     if extra.status is not None:
@@ -89,6 +92,7 @@ def add_batch(products: DataFrame, batch: int, table: str, dead_letters: str, ch
         taken = judged.withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("failed"))
         again = products.select("page", "pos", "image_url").join(judged.select("page", "pos", "image_url"), ["page", "pos", "image_url"], "left_anti")
         _put(taken.unionByName(again.withColumn("status", F.lit("skipped")), allowMissingColumns=True), STATUS, extra.status, batch)
+    drop_table(first)
     drop_table(fresh)
 
 
