@@ -36,10 +36,10 @@ ANCHOR_STOP = [w for w in EN_STOP if w not in "red green pink brown yellow purpl
 #: The consensus word leaves out the general words only.
 CONSENSUS_STOP = EN_GENERAL
 
-# White space of Unicode, information separators included.
-_SPACE = r"\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-_PIPE_SPLIT = rf"[{_SPACE}\-/,.;:()\[\]{{}}|]+"
-PLAIN_SPLIT = rf"[{_SPACE}\-/,.;:()\[\]{{}}]+"
+#: Characters between words: the white space of Unicode, information separators included, and marks.
+_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+PLAIN_SPLIT = _SPACE + "-/,.;:()[]{}"
+_PIPE_SPLIT = PLAIN_SPLIT + "|"
 #: Digits that are no decimal numbers: superscripts, subscripts, circled ones and the like.
 _ODD_DIGITS = "".join(c for c in map(chr, range(0x20000)) if c.isdigit() and not c.isdecimal())
 _NUMBER = rf"^[\p{{Nd}}{_ODD_DIGITS}]+$"
@@ -48,17 +48,21 @@ _NUMBER = rf"^[\p{{Nd}}{_ODD_DIGITS}]+$"
 def tokens(text: str | Column, longer_than: int, stop: list[str] = (), split: str = _PIPE_SPLIT) -> Column:
     """Distinct lower-case tokens of more than ``longer_than`` characters that are no stop words and no numbers; null gives none.
 
-    Tokens become distinct and stop words go before any other test, so that each token is tested once.
+    ``split`` has the characters between tokens. Tokens become distinct and stop words go before any other test, so that each
+    token is tested once. ``longer_than`` is 0 or more.
     """
     text = F.col(text) if isinstance(text, str) else text
     left_out = F.array(*[F.lit(w) for w in stop]) if stop else F.array().cast("array<string>")
-    parts = F.array_except(F.split(F.lower(F.coalesce(text, F.lit(""))), split), left_out)
-    return F.filter(parts, lambda t: (F.length(t) > longer_than) & ~t.rlike(_NUMBER))
+    # One separator instead of a pattern: empty tokens between two of them are too short to stay.
+    parts = F.array_except(F.split(F.translate(F.lower(F.coalesce(text, F.lit(""))), split, " " * len(split)), " "), left_out)
+    # A token that begins with one of a to z is no number; only the others are held against the pattern.
+    worded = lambda t: (t >= "a") & (t < "{")
+    return F.filter(parts, lambda t: (F.length(t) > longer_than) & (worded(t) | ~t.rlike(_NUMBER)))
 
 
 def keywords_en(text: str | Column, min_len: int = 3) -> Column:
     """English keywords, sorted and joined by spaces."""
-    return F.array_join(F.array_sort(tokens(text, min_len, [*EN_STOP, *EN_BRANDS])), " ")
+    return F.array_join(F.sort_array(tokens(text, min_len, [*EN_STOP, *EN_BRANDS])), " ")
 
 
 def keywords_cn(text: str | Column) -> Column:
