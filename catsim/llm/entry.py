@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catsim.llm import chat, langid, media, mixing, neardup, packing, pii, quality, substring, toxicity
+from catsim.llm import chat, langid, media, mixing, neardup, packing, pii, quality, sharding, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(_documents(spark, sf_dir))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digests(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_toxicity,
@@ -76,6 +80,7 @@ def queries() -> dict[str, Query]:
         op8_near_duplicates,
         op9_mixing,
         op10_pii,
+        op12_sharding,
     )
     return {f.__name__: f for f in found}
 
@@ -86,4 +91,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_format": chat.ORACLE_SQL,
         "op7_substring_dedup": substring.ORACLE_SQL,
         "op9_mixing": mixing.ORACLE_SQL,
+        "op12_sharding": sharding.ORACLE_SQL,
     }
