@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catsim.llm import chat, langid, media, mixing, neardup, packing, pii, quality, sharding, substring, toxicity
+from catsim.llm import chat, langid, media, mixing, neardup, packing, periods, pii, quality, sharding, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,10 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digests(_documents(spark, sf_dir))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digests(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_toxicity,
@@ -81,6 +85,7 @@ def queries() -> dict[str, Query]:
         op9_mixing,
         op10_pii,
         op12_sharding,
+        op13_periodic_runs,
     )
     return {f.__name__: f for f in found}
 
@@ -92,4 +97,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_substring_dedup": substring.ORACLE_SQL,
         "op9_mixing": mixing.ORACLE_SQL,
         "op12_sharding": sharding.ORACLE_SQL,
+        "op13_periodic_runs": periods.ORACLE_SQL,
     }
