@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catsim.llm import chat, langid, media, mixing, neardup, packing, periods, pii, quality, sharding, substring, toxicity
+from catsim.llm import chat, langid, media, mixing, neardup, packing, periods, pii, quality, sharding, spelling, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(_documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_report(_documents(spark, sf_dir))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digests(_documents(spark, sf_dir))
 
@@ -84,6 +88,7 @@ def queries() -> dict[str, Query]:
         op8_near_duplicates,
         op9_mixing,
         op10_pii,
+        op11_spelling_variants,
         op12_sharding,
         op13_periodic_runs,
     )
@@ -96,6 +101,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_format": chat.ORACLE_SQL,
         "op7_substring_dedup": substring.ORACLE_SQL,
         "op9_mixing": mixing.ORACLE_SQL,
+        "op11_spelling_variants": spelling.ORACLE_SQL,
         "op12_sharding": sharding.ORACLE_SQL,
         "op13_periodic_runs": periods.ORACLE_SQL,
     }
