@@ -3,10 +3,10 @@
 Sources are ordered by code point, null last, and weigh 5, 2, 1, 5, 2, 1 and so on. Together they get ``share`` times all
 words; a target stops at ``cap`` times its source's words and the excess goes to the others by weight. A document is
 emitted floor(rate) times, rate = target / words of the source, and once more by a Bernoulli draw whose probability is the
-fraction. The draw's number comes from a hash of doc_id and text; of n rows that agree in both, the share of extra copies
-is drawn together, n times the fraction rounded up or down, and given to the first of them. The ``HEAVY`` longest documents of a source, which could carry its total far from the target, take
-their numbers from a start hashed from the source's name, in steps of the fraction: each of them is still drawn with
-exactly that probability, but their copies are spread evenly over the sizes.
+fraction. The draw's number is made of a hash of doc_id and text and of the source's seed. Each source takes the one of
+``seeds`` seeds whose draws bring its words nearest to its target, as a few long documents can carry a source far off; all
+seeds are tried in the one pass that counts the words. Of n rows that agree in id and text, the share of extra copies is
+drawn together, n times the fraction rounded up or down, and given to the first of them.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from catsim.llm.storage import column, write_table
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
-HEAVY = 256
+SEEDS = 32
 
 
 def n_words(text: str = "text") -> Column:
@@ -58,27 +58,34 @@ def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     return found.select("source", "source_size", target.alias("target"))
 
 
-def mixing_plan(sized: DataFrame, heavy: int = HEAVY, **params) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What (key, source, size) of all documents says of their copies, as three written tables.
+def _extras(key: Column, n: Column, part: Column, shift: Column) -> Column:
+    """How many of n rows of a key get an extra copy: a Bernoulli draw for one, their share rounded up or down for more."""
+    number = _number(key) + shift
+    return F.floor(n * part + (number - F.floor(number))).cast("long")
 
-    (source, source_size, target, whole, part) of each source; (key, extra), whether a heavy document gets its extra copy;
-    and (key, extras), the number of extra copies of the rows of a key that several rows have.
+
+def mixing_plan(sized: DataFrame, seeds: int = SEEDS, **params) -> tuple[DataFrame, DataFrame]:
+    """What (key, source, size) of all documents says of their copies, as two written tables.
+
+    (source, source_size, target, whole, part, shift) of each source, shift being its seed's; and (key, source, extras), the
+    number of extra copies of the rows of a key that several rows have.
     """
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = write_table(source_targets(sized, **params).withColumn("whole", F.floor(rate)).withColumn("part", rate - F.floor(rate)), "plan")
+    rated = write_table(source_targets(sized, **params).withColumn("whole", F.floor(rate)).withColumn("part", rate - F.floor(rate)), "rates")
     # Rows of one key but different sources are drawn apart.
     keys = write_table(sized.groupBy("key", "source").agg(F.first("size").alias("size"), F.count("*").alias("n")), "keys")
-    # Of equal length, by the digits that no number is made of: the choice must not hang on the draw.
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("size"), F.substring("key", 14, 19), "key"))
-    of_source = plan.select(F.col("source").alias("of"), "part")
-    longest = keys.where("n = 1 and size > 0").withColumn("rank", rank).where(F.col("rank") <= heavy)
-    joined = longest.join(of_source, F.col("source").eqNullSafe(F.col("of")))
-    start = _number(F.md5(F.coalesce("source", F.lit("")).cast("binary")))
-    step = lambda k: F.floor(start + F.col("part") * k)
-    drawn = joined.select("key", "source", (step(F.col("rank")) - step(F.col("rank") - 1)).cast("int").alias("extra"))
-    extras = F.floor(F.col("n") * F.col("part") + _number(F.col("key"))).alias("extras")
+    of_source = rated.select(F.col("source").alias("of"), "part")
+    tried = keys.where("size > 0").join(of_source, F.col("source").eqNullSafe(F.col("of")))
+    taken = lambda k: F.sum(F.col("size") * _extras(F.col("key"), F.col("n"), F.col("part"), F.lit(k / seeds)))
+    sums = tried.groupBy(F.col("source").alias("of")).agg(F.array(*map(taken, range(seeds))).alias("taken"))
+    off = F.transform("taken", lambda x, k: F.struct(F.abs(x - F.col("part") * F.col("source_size")).alias("off"), k.alias("k")))
+    shift = F.coalesce(F.array_min(off)["k"] / F.lit(float(seeds)), F.lit(0.0))
+    chosen = rated.join(sums, F.col("source").eqNullSafe(F.col("of")), "left")
+    plan = write_table(chosen.select("source", "source_size", "target", "whole", "part", shift.alias("shift")), "plan")
+    of_source = plan.select(F.col("source").alias("of"), "part", "shift")
+    extras = _extras(F.col("key"), F.col("n"), F.col("part"), F.col("shift")).alias("extras")
     many = keys.where("n > 1").join(of_source, F.col("source").eqNullSafe(F.col("of"))).select("key", "source", extras)
-    return plan, write_table(drawn, "heavy"), write_table(many, "many")
+    return plan, write_table(many, "many")
 
 
 def _same(left: DataFrame, right: DataFrame) -> Column:
@@ -106,16 +113,14 @@ def _sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words().alias("size"), _key().alias("key"), F.monotonically_increasing_id().alias("row"))
 
 
-def _with_plan(rows: DataFrame, plan: DataFrame, heavy: DataFrame) -> DataFrame:
-    """Rows (key, source, ...) with ``of``, the plan of their source, and ``extra``, null where the key's number decides."""
-    of = plan.select(F.col("source").alias("of_source"), F.struct("source_size", "target", "whole", "part").alias("of"))
-    joined = rows.join(of, rows["source"].eqNullSafe(F.col("of_source"))).drop("of_source")
-    known = heavy.select(F.col("key").alias("heavy_key"), F.col("source").alias("heavy_source"), "extra")
-    return joined.join(known, (joined["key"] == F.col("heavy_key")) & joined["source"].eqNullSafe(F.col("heavy_source")), "left").drop("heavy_key", "heavy_source")
+def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows (key, source, ...) with ``of``, the plan of their source."""
+    of = plan.select(F.col("source").alias("of_source"), F.struct("source_size", "target", "whole", "part", "shift").alias("of"))
+    return rows.join(of, rows["source"].eqNullSafe(F.col("of_source"))).drop("of_source")
 
 
 def _copies() -> Column:
-    return (F.col("of.whole") + F.coalesce("extra", (_number(F.col("key")) < F.col("of.part")).cast("int"))).cast("int")
+    return (F.col("of.whole") + _extras(F.col("key"), F.lit(1), F.col("of.part"), F.col("of.shift"))).cast("int")
 
 
 def _copies_of_equals() -> Column:
@@ -136,8 +141,8 @@ def mix_report(docs: DataFrame, **params) -> DataFrame:
     document, so it may carry a small source off its target. An empty table gives no rows; further columns are ignored.
     """
     sized = write_table(_sized(docs), "sizes")
-    plan, heavy, many = mixing_plan(sized, **params)
-    rows = _with_plan(sized, plan, heavy)
+    plan, many = mixing_plan(sized, **params)
+    rows = _with_plan(sized, plan)
     single, equal = rows.withColumn("copies", _copies()), None
     if not many.isEmpty():
         single = single.join(many, _same(single, many), "left_anti")
@@ -151,7 +156,7 @@ def mix_documents(docs: DataFrame, **params) -> DataFrame:
 
     Nulls, shared ids, equal rows, very long texts and empty tables are as in `mix_report`.
     """
-    plan, heavy, many = mixing_plan(write_table(_sized(docs), "sizes"), **params)
+    plan, many = mixing_plan(write_table(_sized(docs), "sizes"), **params)
     row = F.struct(*map(column, docs.columns)).alias("doc")
     keyed = docs.select(row, F.col("source").cast("string").alias("source"), _key().alias("key"))
     single, equal = keyed, None
@@ -159,8 +164,8 @@ def mix_documents(docs: DataFrame, **params) -> DataFrame:
         single = keyed.join(many, _same(keyed, many), "left_anti")
         # Rows have no order of their own: they are numbered once, and the numbers written with them.
         stored = write_table(keyed.join(many, _same(keyed, many), "left_semi").withColumn("row", F.monotonically_increasing_id()), "equal")
-        equal = _with_plan(_settle_equals(stored, many), plan, heavy).select("doc", _copies_of_equals().alias("copies"))
-    made = _with_plan(single, plan, heavy).select("doc", _copies().alias("copies"))
+        equal = _with_plan(_settle_equals(stored, many), plan).select("doc", _copies_of_equals().alias("copies"))
+    made = _with_plan(single, plan).select("doc", _copies().alias("copies"))
     both = made if equal is None else made.unionByName(equal)
     return both.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("doc.*")
 
@@ -185,14 +190,16 @@ WITH sized AS (
     SELECT source AS of, source_size, CASE WHEN final IS NULL OR ratio <= final THEN cap ELSE final * weight END AS target,
         CASE WHEN source_size > 0 THEN CASE WHEN final IS NULL OR ratio <= final THEN cap ELSE final * weight END / source_size ELSE 0.0::DOUBLE END AS rate
     FROM (SELECT *, (SELECT level FROM filled WHERE ratio > level ORDER BY ratio, rank LIMIT 1) AS final FROM filled)
-), drawn AS (
-    SELECT *, CASE WHEN size > 0 THEN row_number() OVER (PARTITION BY source ORDER BY size DESC, key[14:32], key) END AS place,
-        ('0x' || key[1:13])::BIGINT * power(2.0::DOUBLE, -52) AS number,
-        ('0x' || md5(coalesce(source, ''))[1:13])::BIGINT * power(2.0::DOUBLE, -52) AS start
+), rated AS (
+    SELECT doc_id, size, source, source_size, target, floor(rate)::BIGINT AS whole, rate - floor(rate) AS part, ('0x' || key[1:13])::BIGINT * power(2.0::DOUBLE, -52) AS number
     FROM sized JOIN plan ON source IS NOT DISTINCT FROM of
+), tried AS (
+    SELECT *, k, floor(part + (number + k / 32.0::DOUBLE - floor(number + k / 32.0::DOUBLE)))::BIGINT AS extra FROM rated, range(32) AS seed(k)
+), off AS (
+    SELECT source, k, abs(sum(size * extra)::BIGINT - any_value(part) * any_value(source_size)) AS off FROM tried GROUP BY source, k
+), seed AS (
+    SELECT source, arg_min(k, (off, k)) AS best FROM off GROUP BY source
 )
-SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + CASE WHEN place <= 256
-    THEN (floor(start + (rate - floor(rate)) * place) - floor(start + (rate - floor(rate)) * (place - 1)))::BIGINT
-    ELSE (number < rate - floor(rate))::BIGINT END) AS taken
-FROM drawn
+SELECT doc_id, size, source_size, target, size * (whole + extra) AS taken
+FROM tried JOIN seed ON tried.source IS NOT DISTINCT FROM seed.source AND k = best
 """

@@ -153,7 +153,7 @@ def test_targets_where_ids_are_shared(spark, ids, same_text):
 def test_extra_copies_are_fair(spark):
     """Over many ids, a document's extra copy comes with the probability of the fraction, short or long."""
     rows = [(i, " ".join(["w"] * (1 + i % 5)), "en", "ab"[i % 2]) for i in range(20000)]
-    got = mixing.mix_report(_docs(spark, rows), weights=(1, 1), share=1.3, heavy=100).collect()
+    got = mixing.mix_report(_docs(spark, rows), weights=(1, 1), share=1.3).collect()
     by = defaultdict(list)
     for g in got:
         by[g.size].append(g.taken / g.size)

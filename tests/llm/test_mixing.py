@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -48,3 +49,29 @@ def test_targets_and_copies(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix_report(df).collect() == [] and mixing.mix_documents(df).collect() == []
+
+
+def _draws(rows, seeds=32):
+    """Copies of rows that differ in id or text, by the words of the docstring: for each source the seed that comes nearest."""
+    sizes, got = {}, {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want = targets(sizes)
+    for s in sizes:
+        rate = want[s] / sizes[s] if sizes[s] else 0.0
+        part, own = rate - int(rate), [(i, t, int(hashlib.md5(f"{i}\n{t}".encode()).hexdigest()[:13], 16) / 2**52) for i, t, x in rows if x == s]
+        extra = lambda u, k, part=part: int(part + (u + k / seeds) % 1.0)
+        best = min(range(seeds), key=lambda k: (abs(sum(len(t.split()) * extra(u, k) for _, t, u in own) - part * sizes[s]), k))
+        got |= {i: len(t.split()) * (int(rate) + extra(u, best)) for i, t, u in own}
+    return got, want
+
+
+def test_every_document_is_drawn_by_its_own_number(spark):
+    """Few documents or many, short or long: each is drawn by its hash and its source's seed, and nothing else."""
+    r = random.Random(6)
+    rows = [(i, " ".join([str(i)] * min(400, int(r.paretovariate(0.8)))), s) for i, s in enumerate(["few"] * 12 + ["some"] * 80 + ["many"] * 900)]
+    got = {g.doc_id: g.taken for g in mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    want, target = _draws(rows)
+    assert got == want
+    for source, near in (("some", 0.03), ("many", 0.003)):
+        assert abs(sum(got[i] for i, _, s in rows if s == source) - target[source]) <= near * target[source]
