@@ -60,11 +60,17 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 def bounded_sample(rows: DataFrame, key: list[str], n: int, seed: int = 0) -> DataFrame:
     """At most ``n`` rows, those of the least hash of the columns ``key``; rows that agree in all of them count once.
 
-    The sample doesn't hang on the partitioning, and many equal rows or equal ids can't fill it or break its bound. Each
-    task keeps at most ``n`` rows of those that a threshold lets through, about twice as many as are wanted.
+    The result is a written table. It doesn't hang on the partitioning, and however many equal rows there are, they neither
+    fill nor thin the sample: the number of different hashes is estimated first, and rows below a threshold that lets about
+    twice as many as are wanted through are kept once each. Should the estimate have been too high, the threshold rises.
     """
     draw = free_name("draw", rows)
     number = F.shiftrightunsigned(F.xxhash64(*key, F.lit(seed)), 11) * F.lit(2.0**-53)
-    share = min(1.0, 2 * n / max(rows.count(), 1))
-    some = rows.withColumn(draw, number).where(F.col(draw) < share).dropDuplicates([draw])
-    return some.orderBy(draw).limit(n).drop(draw)
+    share = min(1.0, (2 * n + 64) / max(rows.select(F.approx_count_distinct(number, 0.02)).first()[0], 1))
+    while True:
+        some = rows.withColumn(draw, number).where(F.col(draw) <= share).dropDuplicates([draw])
+        kept = write_table(some.orderBy(draw).limit(n).drop(draw), "sample")
+        if share >= 1 or kept.count() >= n:
+            return kept
+        drop_table(kept)
+        share = min(1.0, 4 * share)

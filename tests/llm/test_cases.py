@@ -182,6 +182,26 @@ def test_samples_are_bounded(spark):
     assert storage.bounded_sample(rows.limit(0), ["doc_id"], 5).count() == 0
 
 
+def test_equal_rows_do_not_thin_a_sample(spark):
+    """3000 different rows and a million equal ones."""
+    rows = spark.range(1_003_000).select(F.lit(1).alias("doc_id"), F.greatest("id", F.lit(1_000_000)).cast("string").alias("text"))
+    got = storage.bounded_sample(rows, ["doc_id", "text"], 2000)
+    assert got.count() == 2000 == got.distinct().count()
+    hashes = sorted(spark.range(1_000_000, 1_003_000).select((F.shiftrightunsigned(F.xxhash64(F.lit(1), F.col("id").cast("string"), F.lit(0)), 11) * F.lit(2.0**-53)).alias("h"), "id").collect())
+    assert {r.text for r in got.collect()} == {str(r.id) for r in hashes[:2000]}
+
+
+def test_languages_are_known_where_one_row_is_repeated(spark):
+    """Four languages of 60 texts each, and one of the texts 200,000 times."""
+    r = random.Random(8)
+    words = {"en": "the and with of that", "de": "der und ung schön für", "fr": "le et avec été pour", "es": "el y con año para"}
+    rows = [(i, " ".join(r.choice(w.split()) for _ in range(12)), x, "s") for i, (x, w) in enumerate(sorted(words.items()) * 60)]
+    docs = _docs(spark, rows)
+    many = docs.unionByName(docs.limit(1).withColumn("text", F.explode(F.array_repeat("text", 200_000))))
+    windows, labels, langs = langid.training_windows(many)
+    assert langs == sorted(words) and len(labels) == 4 * len(windows) // 4 and min(np.bincount(labels)) >= 200
+
+
 def test_the_model_does_not_hang_on_the_partitioning(spark):
     docs = _docs(spark, [(None, t, "en" if i % 2 else "de", "s") for i, t, *_ in _rows(60)])
     one, two = (langid.training_windows(docs.repartition(n)) for n in (1, 5))
