@@ -4,8 +4,8 @@ Labels are given for documents, and the field learns from labelled tokens. A bou
 the tokens their labels: a word or word beginning that many different contexts of toxic documents have, and almost none
 of the others, marks its tokens in toxic documents. The field has a hashed weight for a word and for its beginnings,
 half of the tokens showing only the short ones in training so that new endings are known, and a 2 x 2 transition matrix.
-Chains of clean text that share a beginning with marked tokens come first among the negative ones. Forward-backward gives
-each token's marginal; runs of tokens at 0.5 or more are the offending spans, and a logistic layer turns the largest
+Chains of clean text that share a beginning with marked tokens come first among the negative ones. Forward-backward over
+the whole text gives each token's marginal, block by block of tokens with what the blocks before and after say of their borders; runs of tokens at 0.5 or more are the offending spans, and a logistic layer turns the largest
 marginal, their sum and their share into the document's score.
 """
 
@@ -27,7 +27,7 @@ TRAIN_DOCS, TRAIN_BYTES = 4000, 1 << 15
 MIN_CONTEXTS, MAX_CLEAN = 6, 0.02
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6, 7)
-#: Tokens of a chain; a longer document is several chains.
+#: Tokens of a block. Training takes blocks as chains of their own; scoring carries the messages of a text over its blocks.
 CHAIN = 64
 CHAINS, EPOCHS, BATCH, RATE, DECAY = 20_000, 6, 256, 0.3, 1e-5
 #: Words are runs of letters, digits and all characters beyond ASCII.
@@ -61,13 +61,23 @@ def _chains(counts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return chain, nth % CHAIN, np.bincount(chain, minlength=int(n.sum()))
 
 
-def marginals(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward over chains (chains, CHAIN) of scores of label 1: its marginals, and expected transitions."""
+def _potentials(scores: np.ndarray) -> np.ndarray:
+    return np.stack([np.ones_like(scores), np.exp(np.clip(scores, -30, 30))], axis=2)
+
+
+def marginals(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward over chains (chains, CHAIN) of scores of label 1: its marginals, and expected transitions.
+
+    ``enter`` and ``leave`` (chains, 2) are the messages from before the first token and from behind the last one.
+    """
     n, size = scores.shape
-    psi = np.stack([np.ones_like(scores), np.exp(np.clip(scores, -30, 30))], axis=2)
+    psi = _potentials(scores)
     a = np.exp(trans)
     alpha, beta = np.empty((n, size, 2)), np.ones((n, size, 2))
-    alpha[:, 0] = psi[:, 0] / psi[:, 0].sum(axis=1, keepdims=True)
+    last = np.ones((n, 2)) if leave is None else leave
+    beta[:, -1] = last
+    alpha[:, 0] = psi[:, 0] if enter is None else psi[:, 0] * enter
+    alpha[:, 0] /= alpha[:, 0].sum(axis=1, keepdims=True)
     for t in range(1, size):
         step = (alpha[:, t - 1] @ a) * psi[:, t]
         alpha[:, t] = step / step.sum(axis=1, keepdims=True)
@@ -78,11 +88,38 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tup
         both = alpha[:, t, :, None] * a[None] * ahead[:, None, :]
         expected += (both / both.sum(axis=(1, 2), keepdims=True) * live[:, :, None]).sum(axis=0)
         step = ahead @ a.T
-        beta[:, t] = np.where(live, step / step.sum(axis=1, keepdims=True), 1.0)
+        beta[:, t] = np.where(live, step / step.sum(axis=1, keepdims=True), last)
     both = alpha * beta
     return both[:, :, 1] / both.sum(axis=2), expected
 
 
+def _transfer(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """For each block (blocks, CHAIN) of scores, what labels of its first token make of those of its last, up to a factor."""
+    psi, a = _potentials(scores), np.exp(trans)
+    out = np.zeros((len(scores), 2, 2))
+    out[:, [0, 1], [0, 1]] = psi[:, 0]
+    for t in range(1, scores.shape[1]):
+        live = np.flatnonzero(lengths > t)
+        step = (out[live] @ a) * psi[live, t, None, :]
+        out[live] = step / step.sum(axis=(1, 2), keepdims=True)
+    return out
+
+
+def messages(transfer: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What enters each block from before and from behind, of texts of so many blocks (``counts``) one after the other."""
+    a = np.exp(trans)
+    enter, leave = np.ones((len(transfer), 2)), np.ones((len(transfer), 2))
+    first = np.cumsum(counts) - counts
+    for b in range(1, int(counts.max(initial=0))):
+        forward = first[counts > b] + b
+        step = np.einsum("ni,nij->nj", enter[forward - 1], transfer[forward - 1]) @ a
+        enter[forward] = step / step.sum(axis=1, keepdims=True)
+        back = (first + counts)[counts > b] - 1 - b
+        step = np.einsum("nij,nj->ni", transfer[back + 1], leave[back + 1]) @ a.T
+        leave[back] = step / step.sum(axis=1, keepdims=True)
+    return enter, leave
+
+
 def _token_labels(features: np.ndarray, before: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Whether each token carries a marking feature in a toxic document. Copies of a text share contexts and count once."""
     ratio = max((~toxic).sum(), 1) / max(toxic.sum(), 1)
@@ -169,12 +206,19 @@ def _document_features(words: Words, h: np.ndarray, model: dict, table: np.ndarr
     chain, pos, lengths = _chains(words.counts, words.doc)
     p = np.empty(len(h))
     starts = np.searchsorted(chain, np.arange(len(lengths) + 1))
-    for lo in range(0, len(lengths), 4096):
-        hi = min(lo + 4096, len(lengths))
+    blocks = [(lo, min(lo + 4096, len(lengths))) for lo in range(0, len(lengths), 4096)]
+
+    def grid(lo: int, hi: int) -> tuple[np.ndarray, slice]:
         own = slice(starts[lo], starts[hi])
-        grid = np.zeros((hi - lo, CHAIN))
-        grid[chain[own] - lo, pos[own]] = score[own]
-        p[own] = marginals(grid, lengths[lo:hi], model["trans"])[0][chain[own] - lo, pos[own]]
+        made = np.zeros((hi - lo, CHAIN))
+        made[chain[own] - lo, pos[own]] = score[own]
+        return made, own
+
+    transfer = np.concatenate([_transfer(grid(lo, hi)[0], lengths[lo:hi], model["trans"]) for lo, hi in blocks])
+    enter, leave = messages(transfer, -(-words.counts // CHAIN), model["trans"])
+    for lo, hi in blocks:
+        scores, own = grid(lo, hi)
+        p[own] = marginals(scores, lengths[lo:hi], model["trans"], enter[lo:hi], leave[lo:hi])[0][chain[own] - lo, pos[own]]
     total = np.bincount(words.doc, p, n)
     top = np.zeros(n)
     some = np.flatnonzero(words.counts)
@@ -226,8 +270,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DO
 def score_documents(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """(doc_id, score, spans) for each row of ``docs`` (doc_id, text).
 
-    A null or empty text has no spans and the score of a text without toxic tokens; a very long one is a row of chains of
-    ``CHAIN`` tokens. Equal texts, and so repeated rows, get equal results; further columns are ignored; an empty table
+    A null or empty text has no spans and the score of a text without toxic tokens; a very long one is one
+    chain like any other, in time and memory in proportion to it. Equal texts, and so repeated rows, get equal results; further columns are ignored; an empty table
     gives no rows.
     """
 

@@ -27,6 +27,36 @@ def test_marginals_against_enumeration():
     assert np.allclose(expected, want) and np.isclose(expected.sum(), total)
 
 
+def test_marginals_carry_over_blocks():
+    """Texts of 1 to 200 tokens, against forward-backward over the whole text with logarithms, token by token."""
+    rng = np.random.default_rng(3)
+    lengths = np.array([200, 1, 64, 65, 0, 128, 131])
+    trans = np.array([[2.5, -2.0], [-2.0, 2.5]])
+    scores = [rng.normal(size=n) * 1.5 for n in lengths]
+    counts = -(-lengths // toxicity.CHAIN)
+    blocks = [s[i : i + toxicity.CHAIN] for s in scores for i in range(0, len(s), toxicity.CHAIN)]
+    grid = np.array([np.pad(b, (0, toxicity.CHAIN - len(b))) for b in blocks])
+    sizes = np.array([len(b) for b in blocks])
+    enter, leave = toxicity.messages(toxicity._transfer(grid, sizes, trans), counts, trans)
+    p = toxicity.marginals(grid, sizes, trans, enter, leave)[0]
+    got = np.split(np.concatenate([row[:n] for row, n in zip(p, sizes)]), np.cumsum(lengths)[:-1])
+    apart = 0.0
+    for s, own in zip(scores, got, strict=True):
+        n = len(s)
+        psi = np.column_stack([np.zeros(n), s])
+        f, b = np.zeros((n, 2)), np.zeros((n, 2))
+        for t in range(n):
+            f[t] = psi[t] + (np.logaddexp.reduce(f[t - 1][:, None] + trans, axis=0) if t else 0)
+        for t in range(n - 2, -1, -1):
+            b[t] = np.logaddexp.reduce(trans + (psi[t + 1] + b[t + 1])[None, :], axis=1)
+        want = np.exp((f + b)[:, 1] - np.logaddexp.reduce(f + b, axis=1)) if n else np.empty(0)
+        assert np.allclose(own, want)
+        if n == 200:
+            alone = toxicity.marginals(grid[:4], sizes[:4], trans)[0]
+            apart = np.abs(np.concatenate([row[:k] for row, k in zip(alone, sizes[:4])]) - want).max()
+    assert apart > 0.05
+
+
 def test_spans_in_code_points():
     texts = ["", "İé bad, worse ok İ bad", "ok", "bad " * 200_000]
     words, h = toxicity._words(texts)
