@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catsim.functions import images, text
+from catsim.jobs import maintain
 from catsim.jobs.rebuild import rebuild_store
 from catsim.jobs.search import Answer, ImageAnswer, batch_search, image_search
 from catsim.operators import categories, ids, ingest, names, reports, search
@@ -387,15 +388,63 @@ def nearest_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.coarse_topk(_queries(vectors), vectors, 3).withColumn("clip_score", F.round("clip_score", 4))
 
 
-def backfill_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Back-fill of rows for all pages, half of them without names, and of as many that the feed lacks."""
+def _lacking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows for all pages, half of them without names, and as many that the feed lacks."""
     pages = _read(spark, sf_dir, "pages")
     name = F.when(F.col("page_id") % 2 == 0, "").otherwise(F.concat(F.lit("old "), "page_id"))
     gone = pages.select((F.col("page_id") + 1000000).alias("faiss_id"), F.concat(F.lit("http://gone.example/"), "page_id").alias("image_url"), F.lit("").alias("name"))
     rows = pages.select(F.col("page_id").alias("faiss_id"), F.substring_index("url", "?", 1).alias("image_url"), name.alias("name")).unionByName(gone)
     blank = F.lit("")
-    old = rows.select("faiss_id", "image_url", F.col("name").alias("product_name"), F.col("name").alias("product_name_cn"), blank.alias("product_id"), blank.alias("keywords_cn"), blank.alias("keywords_en"))
-    return ingest.backfill_names(old, _feed(spark, sf_dir, en_len=100).withColumn("product_name_cn", _cn("product_name")))
+    return rows.select("faiss_id", "image_url", F.col("name").alias("product_name"), F.col("name").alias("product_name_cn"), blank.alias("product_id"), blank.alias("keywords_cn"), blank.alias("keywords_en"))
+
+
+def _named_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed as a back-fill takes it, with Chinese names."""
+    return _feed(spark, sf_dir, en_len=100).withColumn("product_name_cn", _cn("product_name"))
+
+
+def backfill_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Back-fill of `_lacking`."""
+    return ingest.backfill_names(_lacking(spark, sf_dir), _named_feed(spark, sf_dir))
+
+
+def published_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as a published catalogue of three parts, after its back-fill."""
+    path, rows = f"{shared_dir(spark)}/catalogue", _lacking(spark, sf_dir)
+    gone = F.col("faiss_id") >= 1000000
+    for some in (gone, ~gone & (F.col("product_name") == ""), ~gone & (F.col("product_name") != "")):
+        maintain.publish_catalogue(rows.where(some), path)
+    maintain.backfill_published(spark, path, _named_feed(spark, sf_dir))
+    return maintain.read_published(spark, path).select(*rows.columns)
+
+
+def published_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the rows of a published catalogue fared in its back-fill."""
+    path = f"{shared_dir(spark)}/catalogue"
+    maintain.publish_catalogue(_lacking(spark, sf_dir), path)
+    return maintain.backfill_published(spark, path, _named_feed(spark, sf_dir)).counts
+
+
+def published_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of a published catalogue of two parts after a deletion, with the version and how many rows went."""
+    path, rows = f"{shared_dir(spark)}/catalogue", _catalogue(spark, sf_dir)
+    for some in (F.col("category") > "cat5", F.col("category") <= "cat5"):
+        maintain.publish_catalogue(rows.where(some), path)
+    gone = _read(spark, sf_dir, "embeddings").where("label = 3").select(F.col("vec_id").alias("faiss_id"))
+    made = maintain.delete_published(spark, path, gone)
+    n = made.counts.select(F.col("n").alias("n_deleted"))
+    return maintain.read_published(spark, path).select("faiss_id", "category", "product_name", F.lit(made.version).alias("version")).join(F.broadcast(n))
+
+
+def published_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A published vector store after its rebuilding; every seventh row has no image, and of every eleventh the model can't make a vector."""
+    root, tiles = shared_dir(spark), _tiles(spark, sf_dir).withColumn("image_url", F.concat(F.lit("http://img/"), "vec_id", F.lit(".jpg")))
+    maintain.publish_catalogue(tiles.select(F.col("vec_id").alias("faiss_id"), "image_url"), f"{root}/catalogue")
+    maintain.rebuild_published(spark, f"{root}/catalogue", tiles.select("image_url", F.col("pixels").alias("content")), _tile_model, f"{root}/vectors")
+    content = F.when(F.col("vec_id") % 11 == 0, F.slice("pixels", 1, 5)).otherwise(F.col("pixels"))
+    maintain.rebuild_published(spark, f"{root}/catalogue", tiles.where("vec_id % 7 <> 0").select("image_url", content.alias("content")), _tile_model, f"{root}/vectors")
+    old, new = (maintain.read_published_vectors(spark, f"{root}/vectors", n).select("faiss_id", F.size("fine").alias("n_fine"), F.lit(n).alias("version")) for n in (1, 2))
+    return old.unionByName(new)
 
 
 def category_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -513,6 +562,7 @@ QUERIES = {f.__name__: f for f in (
     backfill_names, backfill_counts, allocated_ids, manifest_rows, migrated_catalogue, sharpness, embed_tiles, stream_sync,
     coarse_candidates, search_ranked, search_named, search_before_cut, nearest_three, backfill_all, category_count, deletion_count, folded_members, ocr_best_first, sharp_tiles,
     file_extensions, image_checks, stored_catalogue, stored_vectors, rebuilt_store, sync_catalogue, sync_outcomes, retried_rows, folded_search, refused_requests,
+    published_backfill, published_counts, published_deletion, published_rebuild,
 )}
 
 _VEC = """
@@ -641,6 +691,11 @@ ORACLE_SQL = {
     "search_before_cut": _BEFORE_CUT,
     "nearest_three": _VEC_200 + "SELECT query_id, faiss_id, round(clip, 4) AS clip_score, coarse_rank FROM coarse WHERE coarse_rank <= 3",
     "backfill_all": _LATEST_100 + _BACKFILL_ALL,
+    "published_backfill": f"SELECT * EXCLUDE (status) FROM ({_LATEST_100 + _BACKFILL_ALL})",
+    "published_counts": f"SELECT status, count(*) AS n FROM ({_LATEST_100 + _BACKFILL_ALL}) GROUP BY status",
+    "published_deletion": f"""SELECT faiss_id, category, product_name, 3 AS version, (SELECT count(*) FROM ({_NAMED}) WHERE category = 'cat3') AS n_deleted FROM ({_NAMED}) WHERE category <> 'cat3'""",
+    "published_rebuild": """SELECT vec_id AS faiss_id, 64 AS n_fine, 1 AS version FROM embeddings
+        UNION ALL SELECT vec_id, 64, 2 FROM embeddings WHERE vec_id % 7 <> 0 AND vec_id % 11 <> 0""",
     "category_count": f"SELECT count(*) AS n FROM ({_CATALOGUE}) WHERE category = 'cat3'",
     "deletion_count": "SELECT count(*) AS n_deleted FROM embeddings JOIN part ON vec_id = p_partkey WHERE label = 3",
     "folded_members": "SELECT doc_id AS query_id, min(doc_id) OVER (PARTITION BY coalesce(text, ''), lang, source = 'src0') AS representative FROM documents",

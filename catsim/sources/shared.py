@@ -6,10 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SCOPES: list[str] = []
+#: Folders of the open scopes, the innermost last. Each thread has its own, so jobs in several threads don't meet.
+_SCOPES: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,7 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     Where the setting is empty, a local master gets a temporary folder; any other master is an error, because a
     machine's own folder is not seen by the other machines.
     """
-    root = _SCOPES[-1] if _SCOPES else spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    scopes = _SCOPES.get()
+    root = scopes[-1] if scopes else spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
@@ -35,11 +38,11 @@ def _delete(spark: SparkSession, path: str) -> None:
 def table_scope(spark: SparkSession) -> Iterator[str]:
     """All tables that jobs write inside are deleted at the end: write or collect a job's result before that."""
     root = shared_dir(spark)
-    _SCOPES.append(root)
+    outer = _SCOPES.set((*_SCOPES.get(), root))
     try:
         yield root
     finally:
-        _SCOPES.remove(root)
+        _SCOPES.reset(outer)
         _delete(spark, root)
 
 
