@@ -250,15 +250,6 @@ def name_keyword_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.match_names(_read(spark, sf_dir, "benchmark"), part)
 
 
-def backfill_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Back-fill keeps 100 characters of an English name, a sync 60."""
-    return ingest.backfill_names(_old_catalogue(spark, sf_dir), _feed(spark, sf_dir, en_len=100).withColumn("product_name_cn", _cn("product_name")))
-
-
-def backfill_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.outcome_counts(backfill_names(spark, sf_dir))
-
-
 def allocated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = ids.next_id(_old_catalogue(spark, sf_dir))
     return ids.allocate_ids(new_products(spark, sf_dir), ["image_url"], start)
@@ -559,7 +550,7 @@ QUERIES = {f.__name__: f for f in (
     search_core, coarse_topk, keywords_en, category_stats, catalogue_stats, orphans, ocr_dedup, fold_queries, feed_first_wins, feed_last_wins, new_products, known_products,
     resolved_hits, category_prototypes, sync_report, delete_rows, duplicate_ids,
     keywords_cn, feed_projection, classify_queries, search_category_filtered, name_anchor_filter, consensus_word, text_boost, batch_hits, search_summary, name_keyword_matches,
-    backfill_names, backfill_counts, allocated_ids, manifest_rows, migrated_catalogue, sharpness, embed_tiles, stream_sync,
+    allocated_ids, manifest_rows, migrated_catalogue, sharpness, embed_tiles, stream_sync,
     coarse_candidates, search_ranked, search_named, search_before_cut, nearest_three, backfill_all, category_count, deletion_count, folded_members, ocr_best_first, sharp_tiles,
     file_extensions, image_checks, stored_catalogue, stored_vectors, rebuilt_store, sync_catalogue, sync_outcomes, retried_rows, folded_search, refused_requests,
     published_backfill, published_counts, published_deletion, published_rebuild,
@@ -738,8 +729,6 @@ SELECT query_id, coalesce(n_before, 0)::BIGINT AS n_before, coalesce(n_after, 0)
     "name_keyword_matches": f"""WITH keyword AS (SELECT DISTINCT unnest({_list("text", 2, [])}) AS k FROM benchmark),
 name AS (SELECT DISTINCT p_name || ' ' || p_type || ' ' || p_brand AS product_name FROM part)
 SELECT product_name, string_agg(k, ' ' ORDER BY k) AS keywords FROM name JOIN keyword ON contains(lower(product_name), k) GROUP BY product_name""",
-    "backfill_names": _LATEST + _BACKFILL,
-    "backfill_counts": _LATEST + f"SELECT status, count(*) AS n FROM ({_BACKFILL}) GROUP BY status",
     "allocated_ids": f"SELECT *, (SELECT max(page_id) FROM pages WHERE page_id % 3 = 0) + row_number() OVER (ORDER BY image_url) AS faiss_id FROM ({_NEW})",
     "manifest_rows": """WITH line AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY l_orderkey) AS n,
     CASE WHEN l_linenumber <> 2 THEN l_orderkey || '-' || l_linenumber ELSE '' END AS file_name FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey::VARCHAR))

@@ -33,7 +33,7 @@ def test_backfill_keeps_100_characters(spark, tmp_path):
     titles = {0: "sturdy canvas tote " * 4 + "lastword", 30: "x" * 150}
     rows = [(i, f"https://shop.example/bags/{i}", f"<html><title>{t}</title></html>") for i, t in titles.items()]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = {r.faiss_id: r for r in queries.backfill_names(spark, str(tmp_path)).collect()}
+    got = {r.faiss_id: r for r in queries.backfill_all(spark, str(tmp_path)).collect()}
     assert got[0].product_name == "v2 " + titles[0] and "lastword" in got[0].keywords_en.split()
     assert got[30].product_name == "v2 " + "x" * 97
     assert {len(r.product_name) for r in queries.feed_first_wins(spark, str(tmp_path)).collect()} == {60}
