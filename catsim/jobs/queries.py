@@ -320,6 +320,33 @@ def _synced(spark: SparkSession, sf_dir: str, check: sync.Check = sync.no_errors
     return root
 
 
+def _broken_sync(spark: SparkSession, sf_dir: str) -> str:
+    """The sync of a feed in which a second copy of each page is cut off halfway; returns the folder of all its tables."""
+    root, pages = shared_dir(spark), _feed_pages(spark, sf_dir)
+    line = F.to_json(F.struct(*pages.columns))
+    lines = pages.select(F.explode(F.array(line, F.left(line, F.call_function("div", F.length(line), F.lit(2)).cast("int")))).alias("value"))
+    lines.write.text(f"{root}/feed")
+    sync.create_table(spark, f"{root}/table", _old_catalogue(spark, sf_dir).withColumn("category", F.lit("")))
+    sync.create_table(spark, f"{root}/failed", schema=sync.FAILED)
+    extra = sync.Extra(status=f"{root}/status")
+    sync.sync_stream(spark, f"{root}/feed", f"{root}/table", f"{root}/failed", f"{root}/checkpoint", _seventh_fails, extra).awaitTermination()
+    return root
+
+
+def broken_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a sync reports by page where every page comes whole and cut off: a cut one is a failure of its page."""
+    root = _broken_sync(spark, sf_dir)
+    return reports.sync_report(sync.read_rows(spark, f"{root}/status", sync.STATUS)).drop("bytes")
+
+
+def broken_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dead letters of the same sync by reason, and how many of them a second pass takes."""
+    root = _broken_sync(spark, sf_dir)
+    retried = sync.add_retried(spark, f"{root}/table", f"{root}/failed").groupBy(F.lit("too_large").alias("reason")).agg(F.count_if(F.col("status") == "ok").alias("n_retried"))
+    letters = sync.read_rows(spark, f"{root}/failed", sync.FAILED).groupBy(F.substring_index("error", ":", 1).alias("reason")).agg(F.count("*").alias("n"))
+    return letters.join(retried, "reason", "left").select("reason", "n", F.coalesce("n_retried", F.lit(0)).alias("n_retried"))
+
+
 def stream_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed as JSON pages through the stream, into a table that has the known products."""
     root = _synced(spark, sf_dir)
@@ -553,7 +580,7 @@ QUERIES = {f.__name__: f for f in (
     allocated_ids, manifest_rows, migrated_catalogue, sharpness, embed_tiles, stream_sync,
     coarse_candidates, search_ranked, search_named, search_before_cut, nearest_three, backfill_all, category_count, deletion_count, folded_members, ocr_best_first, sharp_tiles,
     file_extensions, image_checks, stored_catalogue, stored_vectors, rebuilt_store, sync_catalogue, sync_outcomes, retried_rows, folded_search, refused_requests,
-    published_backfill, published_counts, published_deletion, published_rebuild,
+    published_backfill, published_counts, published_deletion, published_rebuild, broken_pages, broken_letters,
 )}
 
 _VEC = """
@@ -705,6 +732,13 @@ SELECT vec_id, CASE WHEN nth = 0 THEN 'empty' WHEN nth = 1 THEN 'too_large' WHEN
 outcome AS (SELECT p.page, CASE WHEN f.image_url IS NULL THEN 'skipped' WHEN f.{_FAILS} OR f.{_NO_IMAGE} THEN 'failed' ELSE 'ok' END AS status
     FROM product p LEFT JOIN fresh f ON p.image_url = f.image_url AND p.page = f.page AND p.pos = f.pos)
 SELECT page, count_if(status = 'ok') AS n_ok, count_if(status = 'skipped') AS n_skipped, count_if(status = 'failed') AS n_failed FROM outcome GROUP BY ROLLUP (page)""",
+    "broken_pages": _ITEMS + f""", fresh AS ({_FRESH}),
+outcome AS (SELECT p.page, CASE WHEN f.image_url IS NULL THEN 'skipped' WHEN f.{_FAILS} THEN 'failed' ELSE 'ok' END AS status
+    FROM product p LEFT JOIN fresh f ON p.image_url = f.image_url AND p.page = f.page AND p.pos = f.pos
+    UNION ALL SELECT DISTINCT page_id // 30, 'failed' FROM pages)
+SELECT page, count_if(status = 'ok') AS n_ok, count_if(status = 'skipped') AS n_skipped, count_if(status = 'failed') AS n_failed FROM outcome GROUP BY ROLLUP (page)""",
+    "broken_letters": _ITEMS + f"""SELECT 'too_large' AS reason, count(*) AS n, count(*) AS n_retried FROM ({_FRESH}) WHERE {_FAILS}
+        UNION ALL SELECT 'malformed page', count(DISTINCT page_id // 30), 0 FROM pages""",
     "retried_rows": _ITEMS + f"""SELECT image_url, 1 AS attempt, CASE WHEN {_FAILS} THEN 'failed' ELSE 'ok' END AS status, CASE WHEN {_FAILS} THEN 'too_large' END AS error, true AS held FROM ({_FRESH})
 UNION ALL SELECT image_url, 2, 'ok', NULL, true FROM ({_FRESH}) WHERE {_FAILS}""",
     "folded_search": _marked_sql(_TILE_CORE) + """SELECT query_id + 1000000 * copy AS query_id, rank, faiss_id, fused_score, product_name FROM marked, (SELECT unnest([0, 1]) AS copy) WHERE kept""",

@@ -23,6 +23,8 @@ CATALOGUE = _schema(
 VECTORS = _schema(faiss_id=_LONG, coarse=_FLOATS, fine=_FLOATS)
 ITEM = _schema(id=_TEXT, img=_TEXT, name=_TEXT, nameEn=_TEXT, tags=T.ArrayType(_NAME), category=_NAME)
 FEED = _schema(page=_LONG, items=T.ArrayType(ITEM))
+#: Pages as they are read: one that is no page, cut off for instance, is kept as it is in ``_corrupt_record``.
+RAW_FEED = _schema(page=_LONG, items=T.ArrayType(ITEM), _corrupt_record=_TEXT)
 MANIFEST = ("files", "image_urls", "product_names", "product_names_cn", "product_ids", "keywords_cn_list", "keywords_en_list")
 NUMBERS = ("file_size", "width", "height")
 
@@ -34,9 +36,29 @@ def explode_feed(pages: DataFrame) -> DataFrame:
     return items.select("page", F.col("pos").cast("long").alias("pos"), "item.img", "item.id", "item.name", "item.nameEn", tag.alias("tag"), F.col("item.category.nameEn").alias("category"))
 
 
+def good_pages(pages: DataFrame) -> DataFrame:
+    """Pages (page, items) of a feed read by `RAW_FEED` that are pages."""
+    return pages.where("_corrupt_record IS NULL").select("page", "items")
+
+
+def malformed_pages(pages: DataFrame) -> DataFrame:
+    """(page, bytes, error) of those that are not; page is the number that the text gives first, or null."""
+    # The other columns are named too, because Spark reads no file for this column alone.
+    broken = pages.select("page", "items", "_corrupt_record").where("_corrupt_record IS NOT NULL")
+    error = F.concat(F.lit("malformed page: "), F.left("_corrupt_record", F.lit(200)))
+    # What the parser makes of a broken page hangs on where it broke off, so the number is taken from the text.
+    number = F.regexp_extract("_corrupt_record", r'"page"\s*:\s*(\d{1,18})\b', 1)
+    return broken.select(F.nullif(number, F.lit("")).cast("long").alias("page"), F.octet_length("_corrupt_record").cast("long").alias("bytes"), error.alias("error"))
+
+
+def read_feed_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Pages of a feed, for `good_pages` and `malformed_pages`."""
+    return spark.read.schema(RAW_FEED).json(path)
+
+
 def read_product_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Feed items from JSON pages; missing fields are null."""
-    return explode_feed(spark.read.schema(FEED).json(path))
+    """Feed items from JSON pages; missing fields are null, and malformed pages have none."""
+    return explode_feed(good_pages(read_feed_pages(spark, path)))
 
 
 def read_catalogue(spark: SparkSession, path: str, category: str | None = None, ordered: bool = False) -> DataFrame:
