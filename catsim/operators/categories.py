@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catsim.operators.arrays import array_sums
 from catsim.operators.ids import allocate_ids
 from catsim.operators.search import COARSE_K, coarse_topk, unit
 
@@ -14,14 +15,12 @@ MIN_MARGIN = 0.02
 def category_prototypes(catalogue: DataFrame, vectors: DataFrame) -> DataFrame:
     """(category, n, prototype): the unit mean of each category's coarse vectors; a single vector is taken as it is.
 
-    Sums are taken by position, so partial sums and not vectors are shuffled.
+    Each task adds up its vectors, so sums and not vectors or their elements are shuffled.
     """
     joined = catalogue.select("faiss_id", "category").join(vectors.select("faiss_id", "coarse"), "faiss_id")
-    cells = joined.select("category", F.posexplode("coarse").alias("pos", "x"))
-    means = cells.groupBy("category", "pos").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
-    rows = means.groupBy("category").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("cells"))
-    mean = F.transform("cells", lambda c: c["x"])
-    return rows.select("category", "n", F.when(F.col("n") == 1, mean).otherwise(unit(mean)).alias("prototype"))
+    sums = array_sums(joined, "category", "coarse")
+    mean = F.transform("sum", lambda x: x / F.col("n"))
+    return sums.select("category", "n", F.when(F.col("n") == 1, mean).otherwise(unit(mean)).alias("prototype"))
 
 
 def classify(queries: DataFrame, prototypes: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame:
@@ -60,7 +59,10 @@ def category_filters(queries: DataFrame, predicted: DataFrame, catalogue: DataFr
 
 
 def before_cut(queries: DataFrame, filters: DataFrame, vectors: DataFrame, catalogue: DataFrame, k: int = COARSE_K) -> DataFrame:
-    """Coarse hits as `restrict` gives them, but restricted before the cut: a small category still yields its ``k`` nearest."""
+    """Coarse hits as `restrict` gives them, but restricted before the cut: a small category still yields its ``k`` nearest.
+
+    A query with a category meets the vectors of that category only.
+    """
     asked = queries.select("query_id", "coarse").join(filters.select("query_id", "only_category"), "query_id")
     rows = vectors.select("faiss_id", "coarse").join(catalogue.select("faiss_id", "category"), "faiss_id", "left")
     return coarse_topk(asked, rows, k, within=True)

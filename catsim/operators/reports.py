@@ -72,7 +72,8 @@ def fold_members(queries: DataFrame) -> DataFrame:
 def unfold(answers: DataFrame, members: DataFrame) -> DataFrame:
     """Answers of representatives handed to every query that they stand for."""
     named = answers.withColumnRenamed("query_id", "representative")
-    return members.join(named, "representative").drop("representative")
+    # A request that very many made is dealt many ways, as in `fold_members`.
+    return spread_join(members, named, ["representative"], "query_id").drop("representative")
 
 
 def sync_report(status: DataFrame) -> DataFrame:

@@ -9,11 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catsim.operators.joins import spread_join
+from catsim.sources.shared import write_table
+
 COARSE_K, TOP_K = 200, 20
 STRETCH_MIN, MIN_FINE, MIN_RELATIVE, MIN_FUSED, MIN_TOP = 0.45, 0.50, 0.65, 0.30, 0.70
 QUERY_BLOCK, VECTOR_BLOCK = 512, 2048
 #: Limits of a broadcast: queries, and bytes of their matrix in double.
 BROADCAST_QUERIES, BROADCAST_BYTES = 10_000, 64 << 20
+#: Bytes of the vectors of a cell, in double, where both sides are dealt over a grid.
+CELL_BYTES = 256 << 20
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -82,9 +87,19 @@ def _matrix(lists: pa.Array, rows: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
 
 
-def _codes(categories: pa.Array, known: dict[str | None, int]) -> np.ndarray:
-    """Numbers of categories, 0 for null; the same text has the same number."""
-    return np.array([known.setdefault(c, len(known)) for c in categories.to_pylist()], np.int64)
+def _meet(best: _Best, rows: np.ndarray, matrix: np.ndarray, ids: np.ndarray, part: np.ndarray) -> None:
+    """All queries (rows of ``best`` and their matrix) with some vectors, block by block."""
+    for at in range(0, len(ids), VECTOR_BLOCK):
+        own = slice(at, at + VECTOR_BLOCK)
+        for lo in range(0, len(rows), QUERY_BLOCK):
+            block = slice(lo, lo + QUERY_BLOCK)
+            best.add(rows[block], ids[own], np.round(matrix[block] @ part[own].T, 9))
+
+
+def _sides(df: DataFrame, id_column: str, area: Column) -> DataFrame:
+    """(area, id, v) of rows that have an id and a vector."""
+    made = df.select(area.cast("string").alias("area"), F.col(id_column).cast("long").alias("id"), F.col("coarse").alias("v"))
+    return made.where("id IS NOT NULL AND v IS NOT NULL")
 
 
 def coarse_topk(queries: DataFrame, vectors: DataFrame, k: int = COARSE_K, within: bool = False) -> DataFrame:
@@ -92,73 +107,88 @@ def coarse_topk(queries: DataFrame, vectors: DataFrame, k: int = COARSE_K, withi
 
     Each task multiplies blocks of vectors with blocks of queries and keeps a running best ``k`` of each query, which it
     returns once; pairs are never rows. Up to BROADCAST_QUERIES queries of BROADCAST_BYTES in all are counted and then
-    broadcast as one matrix, and vectors are never moved; more queries become rows of blocks, which Spark deals in
-    pieces. Scores are rounded to 9 places and ties go to the lower id. A row without id or vector takes no part. With
-    ``within``, a query whose ``only_category`` is not null takes vectors of that ``category`` only, before the cut.
+    broadcast as one matrix, and vectors are never moved; more queries and the vectors are dealt over a grid of cells (see
+    `deal_cells`). Scores are rounded to 9 places and ties go to the lower id. A row without id or vector takes no part.
+    With ``within``, a query whose ``only_category`` is not null takes vectors of that ``category`` only, before the cut: its
+    cells hold no others.
     """
-    spark = queries.sparkSession
-    kind = [F.col("only_category" if within else "query_id").cast("string").alias("c")]
-    asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col("coarse").alias("v"), *kind).where("id IS NOT NULL AND v IS NOT NULL")
-    kind = [F.col("category" if within else "faiss_id").cast("string").alias("c")]
-    held = vectors.select(F.col("faiss_id").cast("long").alias("id"), F.col("coarse").alias("v"), *kind).where("id IS NOT NULL AND v IS NOT NULL")
-    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-
-    def meet(best: _Best, q: tuple, v: tuple) -> None:
-        """All queries (ids, matrix, categories) with some vectors, block by block."""
-        rows = best.rows(q[0])
-        for at in range(0, len(v[0]), VECTOR_BLOCK):
-            ids, part, of = (x[at : at + VECTOR_BLOCK] for x in v)
-            for lo in range(0, len(rows), QUERY_BLOCK):
-                block = slice(lo, lo + QUERY_BLOCK)
-                score = np.round(q[1][block] @ part.T, 9)
-                if within:
-                    score[(q[2][block] > 0)[:, None] & (q[2][block][:, None] != of[None, :])] = -np.inf
-                best.add(rows[block], ids, score)
-
-    def sides(batch: pa.RecordBatch, first: int, known: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, lists, categories = batch.columns[first : first + 3]
-        codes = _codes(categories, known) if within else np.zeros(len(ids), np.int64)
-        return ids.to_numpy(zero_copy_only=False), _matrix(lists, len(ids)), codes
-
-    schema = "query_id long, faiss_id long, clip_score double"
-    if n <= BROADCAST_QUERIES and n * width * 8 <= BROADCAST_BYTES:
-        table = asked.toArrow().combine_chunks()
-        blob = spark.sparkContext.broadcast((table["id"].to_numpy(), _matrix(table["v"].combine_chunks(), n) if n else np.empty((0, width)), table["c"].to_pylist()))
-
-        def against_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix, categories = blob.value
-            known: dict[str | None, int] = {None: 0}
-            q, best = (ids, matrix, _codes(pa.array(categories, pa.string()), known)), _Best(k)
-            for batch in batches:
-                if len(batch) and len(ids):
-                    meet(best, q, sides(batch, 0, known))
-            yield best.batch()
-
-        part = held.mapInArrow(against_all, schema)
+    if within:
+        own = deal_cells(_sides(queries, "query_id", F.col("only_category")).where("area IS NOT NULL"), _sides(vectors, "faiss_id", F.col("category")).where("area IS NOT NULL"))
+        part = _cell_topk(own, k).unionByName(_all_topk(queries.where("only_category IS NULL"), vectors, k))
     else:
-        blocks = lambda df, p: df.mapInArrow(_blocks, f"{p}i array<long>, {p}v array<{df.schema['v'].dataType.simpleString()}>, {p}c array<string>")
-
-        def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known: dict[str | None, int] = {None: 0}
-            best = _Best(k)
-            for batch in batches:
-                for r in range(len(batch)):
-                    q, v = ([c.slice(r, 1).flatten() for c in batch.columns[at : at + 3]] for at in (0, 3))
-                    meet(best, *(sides(pa.RecordBatch.from_arrays(x, ["id", "v", "c"]), 0, known) for x in (q, v)))
-            yield best.batch()
-
-        part = blocks(asked, "q").crossJoin(blocks(held, "v")).mapInArrow(pieces, schema)
+        part = _all_topk(queries, vectors, k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("clip_score"), "faiss_id"))
     return part.withColumn("coarse_rank", rank).where(F.col("coarse_rank") <= k)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows as lists of at most ``QUERY_BLOCK`` rows each; they stay in their task."""
-    for batch in batches:
-        for at in range(0, len(batch), QUERY_BLOCK):
-            part = batch.slice(at, QUERY_BLOCK)
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.concat_arrays([c])) for c in part.columns]
-            yield pa.RecordBatch.from_arrays(lists, ["i", "v", "c"])
+_SCHEMA = "query_id long, faiss_id long, clip_score double"
+
+
+def _all_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` that each task finds of each query, among all vectors."""
+    asked, held = _sides(queries, "query_id", F.lit("")), _sides(vectors, "faiss_id", F.lit(""))
+    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    if n > BROADCAST_QUERIES or n * width * 8 > BROADCAST_BYTES:
+        return _cell_topk(deal_cells(asked, held), k)
+    table = asked.select("id", "v").toArrow().combine_chunks()
+    blob = queries.sparkSession.sparkContext.broadcast((table["id"].to_numpy(), _matrix(table["v"].combine_chunks(), n) if n else np.empty((0, width))))
+
+    def against_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (ids, matrix), best = blob.value, _Best(k)
+        for batch in batches:
+            if len(batch) and len(ids):
+                _meet(best, best.rows(ids), matrix, batch.column(0).to_numpy(), _matrix(batch.column(1), len(batch)))
+        yield best.batch()
+
+    return held.select("id", "v").mapInArrow(against_all, _SCHEMA)
+
+
+def deal_cells(asked: DataFrame, held: DataFrame, query_bytes: int = BROADCAST_BYTES, vector_bytes: int = CELL_BYTES) -> DataFrame:
+    """(area, i, j, kind, id, v): queries (kind 0) and vectors (kind 1), both (area, id, v), dealt over the cells of their area.
+
+    An area is a grid of as many rows as keep its queries of one row below ``query_bytes``, and as many columns as keep the
+    vectors of one column at about ``vector_bytes``. A query goes to all cells of its row and a vector to all cells of its
+    column, so each side is shipped once for each row or column of the other, and every pair of an area meets in one cell.
+    """
+    size = lambda df, name: df.groupBy("area").agg(F.sum(F.size("v").cast("long") * 8).alias(name))
+    ways = lambda c, most: F.greatest(F.ceil(F.col(c) / most), F.lit(1)).cast("int")
+    grid = size(asked, "q").join(size(held, "v"), "area").select("area", ways("q", query_bytes).alias("rows"), ways("v", vector_bytes).alias("cols"))
+    grid = write_table(grid, "grid")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = spread_join(asked, grid, ["area"], "id").select("area", own("rows").alias("i"), every("cols").alias("j"), F.lit(0).alias("kind"), "id", F.col("v").cast("array<double>").alias("v"))
+    v = spread_join(held, grid, ["area"], "id").select("area", every("rows").alias("i"), own("cols").alias("j"), F.lit(1).alias("kind"), "id", F.col("v").cast("array<double>").alias("v"))
+    return q.unionByName(v)
+
+
+def _cell_topk(cells: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of each query in each cell. A task holds the queries of one cell, and its vectors come by in batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, best, queries, ready = None, _Best(k), [], None
+        for batch in batches:
+            areas = batch.column(0).dictionary_encode()
+            marks = np.stack([areas.indices.to_numpy(), *(batch.column(c).to_numpy() for c in (1, 2, 3))]).astype(np.int64)
+            cuts = [0, *(np.flatnonzero((np.diff(marks, axis=1) != 0).any(axis=0)) + 1).tolist(), len(batch)] if len(batch) else []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                own = (areas.dictionary[int(marks[0, lo])].as_py(), int(marks[1, lo]), int(marks[2, lo]))
+                if own != cell:
+                    yield best.batch()
+                    cell, best, queries, ready = own, _Best(k), [], None
+                part = batch.slice(lo, hi - lo)
+                ids, matrix = part.column(4).to_numpy(), _matrix(part.column(5), hi - lo)
+                if not marks[3, lo]:
+                    queries.append((ids, matrix))
+                    continue
+                if ready is None and queries:
+                    names, rows = (np.concatenate(x) for x in zip(*queries, strict=True))
+                    ready = (best.rows(names), rows)
+                if ready is not None:
+                    _meet(best, *ready, ids, matrix)
+        yield best.batch()
+
+    dealt = cells.repartition("area", "i", "j").sortWithinPartitions("area", "i", "j", "kind")
+    return dealt.mapInArrow(run, _SCHEMA)
 
 
 def rerank(hits: DataFrame, queries: DataFrame, vectors: DataFrame, top_k: int = TOP_K, min_fine: float = MIN_FINE, min_relative: float = MIN_RELATIVE, min_fused: float = MIN_FUSED, min_top: float = MIN_TOP) -> DataFrame:
