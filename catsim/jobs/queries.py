@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catsim.functions import images, text
-from catsim.jobs import maintain
+from catsim.jobs import imports, maintain
 from catsim.jobs.rebuild import rebuild_store
 from catsim.jobs.search import Answer, ImageAnswer, batch_search, image_search
 from catsim.operators import categories, ids, ingest, names, reports, search
@@ -514,6 +515,123 @@ def image_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("vec_id", images.invalid_reason().alias("reason"), images.image_info().alias("i")).select("vec_id", "reason", "i.format", "i.mode", "i.channels", "i.width", "i.height", "i.size_bytes")
 
 
+def _png(pixels, channels: int) -> bytes:
+    """Gray values (height, width) as a PNG of 1 to 4 channels, opaque, its lines filtered by all filters in turn."""
+    import zlib
+
+    import numpy as np
+
+    own = np.asarray(pixels, np.uint8)[..., None]
+    own = np.concatenate([own] * (channels - 1 + channels % 2) + ([np.full_like(own, 255)] if channels % 2 == 0 else []), axis=2)
+    height, width, step = *own.shape[:2], channels
+    flat = np.pad(own.reshape(height, -1).astype(int), ((1, 0), (step, 0)))
+    now, left, up, corner = flat[1:, step:], flat[1:, :-step], flat[:-1, step:], flat[:-1, :-step]
+    near = np.stack([left, up, corner])
+    paeth = np.take_along_axis(near, np.abs(near - (left + up - corner)).argmin(axis=0)[None], 0)[0]
+    lines = [bytes([y % 5]) + ((now - (0, left, up, (left + up) // 2, paeth)[y % 5])[y] & 255).astype(np.uint8).tobytes() for y in range(height)]
+    chunk = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+    head = width.to_bytes(4, "big") + height.to_bytes(4, "big") + bytes([8, (0, 4, 2, 6)[channels - 1], 0, 0, 0])
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
+
+
+def _as_png(side: int):
+    """A function of pixels (side x side of them) and channels that makes PNG files."""
+
+    @F.pandas_udf("binary")
+    def made(pixels: pd.Series, channels: pd.Series) -> pd.Series:
+        return pd.Series([_png(p.reshape(side, side), c) for p, c in zip(pixels, channels, strict=True)])
+
+    return made
+
+
+#: Files beyond this are too large in the image queries, where some are filled up.
+SMALL = 4000
+
+
+def _image_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a PNG file for each tile, in one of four kinds, some damaged or too large, some of other extensions."""
+    nth = F.col("vec_id") % 5
+    name = F.concat(F.when(F.col("vec_id") % 4 == 2, "more/").otherwise(""), "vec_id", F.when(F.col("vec_id") % 10 == 9, ".txt").when(F.col("vec_id") % 4 == 1, ".PNG").otherwise(".png"))
+    made = _tiles(spark, sf_dir).select("vec_id", name.alias("name"), _as_png(8)("pixels", F.element_at(F.array(*map(F.lit, (1, 3, 1, 2, 4))), (nth + 1).cast("int"))).alias("content"))
+    half = F.call_function("div", F.length("content"), F.lit(2)).cast("int")
+    damaged = F.concat(F.substring("content", F.lit(1), half), F.substring("content", half + 2, F.length("content")))
+    filled = F.concat("content", F.unhex(F.lit("00" * SMALL)))
+    files = made.select("name", F.when(nth == 2, damaged).when(nth == 3, filled).otherwise(F.col("content")).alias("content"))
+    root = f"{shared_dir(spark)}/images"
+
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                store.create_dir(f"{at}/{name}".rpartition("/")[0])
+                with store.open_output_stream(f"{at}/{name}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["name"])
+
+    write_table(files.mapInArrow(write, "name string"), "written")
+    return root
+
+
+def _vec_id(path: str) -> Column:
+    return F.regexp_extract(path, r"/(\d+)\.[^/]*$", 1).cast("long")
+
+
+def image_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one pass over a folder of PNG files says of each."""
+    files = images.read_image_files(spark, _image_folder(spark, sf_dir), max_bytes=SMALL)
+    made = images.examine(files, ["path"], max_bytes=SMALL)
+    return made.select(_vec_id("path").alias("vec_id"), "reason", "format", "mode", "channels", "width", "height", (F.col("size_bytes") > SMALL).alias("large"), F.round("sharpness", 4).alias("sharpness"))
+
+
+#: Rows and columns of the tensors that the query returns.
+LATTICE = (0, 13, 100, 223)
+
+
+def model_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model tensors of PNG files of 7 x 7 pixels, at some places of each channel."""
+    pixels = _tiles(spark, sf_dir).select("vec_id", _as_png(7)(F.slice("pixels", 1, 49), F.when(F.col("vec_id") % 2 == 0, 1).otherwise(4)).alias("content"))
+    made = images.examine(pixels.withColumn("length", F.length("content")), ["vec_id"], side=images.SIDE)
+    axis = lambda *values: F.explode(F.array(*map(F.lit, values)))
+    placed = made.withColumn("channel", axis(0, 1, 2)).withColumn("y", axis(*LATTICE)).withColumn("x", axis(*LATTICE))
+    value = F.get("tensor", (F.col("channel") * images.SIDE + F.col("y")) * images.SIDE + F.col("x"))
+    return placed.select("vec_id", "channel", "y", "x", F.round(value.cast("double"), 4).alias("value"))
+
+
+def _tensor_model():
+    """The middle of each 28 x 28 square of the first channel as the fine vector, its first row as the coarse one."""
+
+    def model(inputs):
+        import numpy as np
+
+        fine = np.stack([t[0, 14::28, 14::28].ravel() for t in inputs]).astype(np.float64)
+        return fine[:, :8] + 1e-3, fine + 1e-3
+
+    return model
+
+
+def _imported(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """Two imports of the image folder; returns where the tables are, and (run, status, n)."""
+    root, folder = shared_dir(spark), _image_folder(spark, sf_dir)
+    runs = [imports.import_directory(spark, folder, "cat", f"{root}/catalogue", f"{root}/vectors", _tensor_model, "tile").counts.withColumn("run", F.lit(i)) for i in (1, 2)]
+    return root, runs[0].unionByName(runs[1]).select("run", "status", "n")
+
+
+def imported_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue after two imports of one folder, with the sizes of the vectors."""
+    root, _ = _imported(spark, sf_dir)
+    vectors = maintain.read_published_vectors(spark, f"{root}/vectors").select("faiss_id", F.size("coarse").alias("n_coarse"), F.size("fine").alias("n_fine"))
+    rows = maintain.read_published(spark, f"{root}/catalogue").join(vectors, "faiss_id", "left")
+    return rows.select("faiss_id", _vec_id("image_url").alias("vec_id"), "category", "product_name", "width", "height", "n_coarse", "n_fine")
+
+
+def import_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the files of a folder fared in two imports: what is there already is skipped, what failed fails again."""
+    return _imported(spark, sf_dir)[1]
+
+
 def stored_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One category of a catalogue that was written and read back, in the order of ids."""
     path = f"{shared_dir(spark)}/catalogue"
@@ -581,6 +699,7 @@ QUERIES = {f.__name__: f for f in (
     coarse_candidates, search_ranked, search_named, search_before_cut, nearest_three, backfill_all, category_count, deletion_count, folded_members, ocr_best_first, sharp_tiles,
     file_extensions, image_checks, stored_catalogue, stored_vectors, rebuilt_store, sync_catalogue, sync_outcomes, retried_rows, folded_search, refused_requests,
     published_backfill, published_counts, published_deletion, published_rebuild, broken_pages, broken_letters,
+    image_folder, model_tensors, imported_images, import_outcomes,
 )}
 
 _VEC = """
@@ -802,4 +921,19 @@ FROM (SELECT category, pos, avg(coarse[pos + 1]) AS m, count(*) AS n FROM ({_CAT
     "delete_rows": "SELECT vec_id AS faiss_id, 'cat' || label AS category, p_name || ' ' || p_type || ' ' || p_brand AS product_name FROM embeddings JOIN part ON vec_id = p_partkey WHERE label <> 3",
     "duplicate_ids": "SELECT user_id AS faiss_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1",
 }
+ORACLE_SQL["image_folder"] = f"""SELECT vec_id, CASE n WHEN 2 THEN 'undecodable' WHEN 3 THEN 'too_large' END AS reason, CASE WHEN n <> 3 THEN 'PNG' END AS format,
+    ['L', 'RGB', NULL, NULL, 'RGBA'][n + 1] AS mode, [1, 3, NULL, NULL, 4][n + 1]::INT AS channels, CASE WHEN n NOT IN (2, 3) THEN 8 END AS width, CASE WHEN n NOT IN (2, 3) THEN 8 END AS height,
+    n = 3 AS large, CASE WHEN n NOT IN (2, 3) THEN score END AS sharpness
+FROM (SELECT *, vec_id % 5 AS n FROM ({ORACLE_SQL['sharpness']})) WHERE vec_id % 10 <> 9"""
+ORACLE_SQL["model_tensors"] = """
+WITH tile AS (SELECT vec_id, list_transform(embedding[1:49], lambda x: floor((x::DOUBLE + 1) * 127.5)) AS t FROM embeddings),
+edge AS (SELECT p, c - floor(c) AS w, greatest(floor(c), 0)::INT AS lo, least(floor(c) + 1, 6)::INT AS hi FROM (SELECT p, (p::DOUBLE + 0.5) / 32 - 0.5 AS c FROM (SELECT unnest([0, 13, 100, 223]) AS p))),
+col AS (SELECT vec_id, p AS y, k, round_even((1 - w) * t[lo * 7 + k + 1] + w * t[hi * 7 + k + 1], 0) AS v FROM tile, edge, range(7) AS of(k)),
+cell AS (SELECT a.vec_id, a.y, p AS x, round_even((1 - w) * a.v + w * b.v, 0) AS v FROM edge JOIN col a ON a.k = lo JOIN col b ON b.k = hi AND b.vec_id = a.vec_id AND b.y = a.y)
+SELECT vec_id, channel, y, x, round(((v / 255 - mean) / deviation)::FLOAT::DOUBLE, 4) AS value
+FROM cell, (VALUES (0, 0.485::DOUBLE, 0.229::DOUBLE), (1, 0.456::DOUBLE, 0.224::DOUBLE), (2, 0.406::DOUBLE, 0.225::DOUBLE)) AS c(channel, mean, deviation)"""
+ORACLE_SQL["imported_images"] = """SELECT row_number() OVER (ORDER BY CASE WHEN vec_id % 4 = 2 THEN 'more/' ELSE '' END || vec_id || CASE WHEN vec_id % 4 = 1 THEN '.PNG' ELSE '.png' END) - 1 AS faiss_id,
+    vec_id, 'cat' AS category, 'tile' AS product_name, 8 AS width, 8 AS height, 8 AS n_coarse, 64 AS n_fine FROM embeddings WHERE vec_id % 5 <> 2 AND vec_id % 10 <> 9"""
+ORACLE_SQL["import_outcomes"] = """SELECT run, CASE WHEN vec_id % 5 = 2 THEN 'undecodable' WHEN run = 1 THEN 'ok' ELSE 'skipped' END AS status, count(*) AS n
+    FROM embeddings, (VALUES (1), (2)) AS r(run) WHERE vec_id % 10 <> 9 GROUP BY ALL"""
 ORACLE_SQL["sharp_tiles"] = f"SELECT vec_id, score AS sharpness FROM ({ORACLE_SQL['sharpness']}) WHERE sharp"
