@@ -32,6 +32,8 @@ def _chunks(content: bytes) -> dict[bytes, bytes]:
     found: dict[bytes, list[bytes]] = {}
     at, kind = len(_PNG), b""
     while kind != b"IEND":
+        if len(content) < at + 12:
+            raise ValueError("cut off")
         size, kind = int.from_bytes(content[at : at + 4], "big"), content[at + 4 : at + 8]
         data = content[at + 8 : at + 8 + size]
         if zlib.crc32(kind + data) != int.from_bytes(content[at + 8 + size : at + 12 + size], "big") or len(data) < size:
