@@ -96,7 +96,7 @@ def shuffle_of(spark: SparkSession, n: int, seed: int = 0) -> Shuffle:
     made = Shuffle(n, seed)
     a, b = made.sides
     steps = 4
-    while a * b > n:
+    while 0 < n < a * b:
         made = Shuffle(n, seed, steps)
         if spark.range(n, a * b).where((made.place("id") >= n) | (made.number("id") >= n)).isEmpty():
             return Shuffle(n, seed, steps + 1)
