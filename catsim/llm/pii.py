@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from string import ascii_letters, digits
@@ -43,6 +44,10 @@ _DIGITS = frozenset(digits)
 _SCHEME = frozenset(ascii_letters + digits + "+.-")
 _VALUE = frozenset(ascii_letters + digits + "_-")
 _URL_END = frozenset(" \t\n\v\f\r\"'<>()")
+#: The only letter whose lower case is longer.
+_TWO = "\u0130"
+#: Code points that the automaton reads at a time.
+BLOCK = 1 << 20
 Span = tuple[str, int, int]
 
 
@@ -66,7 +71,7 @@ def _run(text: str, at: int, chars: frozenset) -> int:
     return at
 
 
-def _emails(text: str, ats: list[int]) -> Iterator[Span]:
+def _emails(text: str, ats: array) -> Iterator[Span]:
     done = 0
     for at in ats:
         start = at
@@ -83,25 +88,13 @@ def _emails(text: str, ats: list[int]) -> Iterator[Span]:
             yield "email", start, end
 
 
-def _runs(at: list[int]) -> list[tuple[int, int]]:
-    """Digit positions as runs."""
-    runs: list[tuple[int, int]] = []
-    for p in at:
-        if runs and runs[-1][1] == p:
-            runs[-1] = (runs[-1][0], p + 1)
-        else:
-            runs.append((p, p + 1))
-    return runs
-
-
-def _ips(text: str, runs: list[tuple[int, int]]) -> Iterator[Span]:
+def _ips(text: str, starts: array, ends: array) -> Iterator[Span]:
     k = 0
-    while k + 3 < len(runs):
-        four = runs[k : k + 4]
-        if all(b[0] == a[1] + 1 and text[a[1]] == "." for a, b in zip(four, four[1:], strict=False)):
-            parts = [text[a:b].lstrip("0") for a, b in four]
+    while k + 3 < len(starts):
+        if all(starts[n + 1] == ends[n] + 1 and text[ends[n]] == "." for n in range(k, k + 3)):
+            parts = [text[starts[n] : ends[n]].lstrip("0") for n in range(k, k + 4)]
             if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
-                yield "ip", four[0][0], four[3][1]
+                yield "ip", starts[k], ends[k + 3]
             k += 4
         else:
             k += 1
@@ -115,19 +108,19 @@ def luhn(number: str) -> bool:
     return total % 10 == 0
 
 
-def _cards(text: str, runs: list[tuple[int, int]]) -> Iterator[Span]:
+def _cards(text: str, starts: array, ends: array) -> Iterator[Span]:
     k = 0
-    while k < len(runs):
-        last = k
-        while last + 1 < len(runs) and runs[last + 1][0] == runs[last][1] + 1 and text[runs[last][1]] in " -":
+    while k < len(starts):
+        last, count = k, ends[k] - starts[k]
+        while last + 1 < len(starts) and starts[last + 1] == ends[last] + 1 and text[ends[last]] in " -":
             last += 1
-        count = sum(b - a for a, b in runs[k : last + 1])
-        if 12 <= count <= 19 and luhn("".join(text[a:b] for a, b in runs[k : last + 1])):
-            yield "card", runs[k][0], runs[last][1]
+            count += ends[last] - starts[last]
+        if 12 <= count <= 19 and luhn("".join(text[starts[n] : ends[n]] for n in range(k, last + 1))):
+            yield "card", starts[k], ends[last]
         k = last + 1
 
 
-def _phones(text: str, pluses: list[int]) -> Iterator[Span]:
+def _phones(text: str, pluses: array) -> Iterator[Span]:
     for at in pluses:
         if at + 1 < len(text) and text[at + 1] in _DIGITS:
             end = _run(text, at + 2, _PHONE)
@@ -137,10 +130,11 @@ def _phones(text: str, pluses: list[int]) -> Iterator[Span]:
                 yield "phone", at, end
 
 
-def _urls(text: str, schemes: list[int]) -> Iterator[Span]:
+def _urls(text: str, schemes: array) -> Iterator[Span]:
     done = end = 0
-    for at in schemes:
-        start, host = at, at + 3
+    for last in schemes:
+        at, host = last - 2, last + 1
+        start = at
         while start > done and text[start - 1] in _SCHEME:
             start -= 1
         # Addresses of one run of characters share its end, so that the run is walked once.
@@ -183,10 +177,10 @@ def _grouped(text: str, start: int, end: int) -> int:
     return best or (numbers if size >= MIN_VALUE else end)
 
 
-def _accounts(text: str, low: str, cues: list[int]) -> Iterator[Span]:
+def _accounts(text: str, low: str, cues: array) -> Iterator[Span]:
     done = 0
-    for at in cues:
-        start = at
+    for last in cues:
+        at = start = last + 1
         for _ in range(2):
             if link := LINK.match(low, start):
                 start = link.end()
@@ -204,27 +198,41 @@ def _accounts(text: str, low: str, cues: list[int]) -> Iterator[Span]:
 
 
 def _lower(text: str) -> str:
-    """A text in lower case, of equal length: a letter that would become two stays."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    """A text in lower case, of equal length: the one letter that would become two stays."""
+    return _TWO.join(part.lower() for part in text.split(_TWO))
+
+
+def _anchors_of(low: str) -> Iterator[tuple[int, str]]:
+    """(last code point, kind) of each anchor. The automaton copies what it reads, so it gets a block at a time and keeps its state."""
+    found = anchors().iter("")
+    for at in range(0, len(low), BLOCK):
+        found.set(low[at : at + BLOCK])
+        yield from found
 
 
 def find_spans(text: str) -> list[Span]:
-    """All spans of a text as (kind, start, end) in code points, end exclusive, by start and then kind as in `KINDS`."""
-    at: dict[str, list[int]] = {"at": [], "plus": [], "digit": [], "scheme": [], "cue": []}
+    """All spans of a text as (kind, start, end) in code points, end exclusive, by start and then kind as in `KINDS`.
+
+    Besides the spans, memory is the text, its lower case, four bytes an anchor and eight bytes a run of digits.
+    """
+    at = {kind: array("I") for kind in ("at", "plus", "scheme", "cue")}
+    starts, ends = array("I"), array("I")
     low = _lower(text)
-    for last, kind in anchors().iter(low):
-        at[kind].append(last)
-    if not any(at.values()):
-        return []
-    runs = _runs(at["digit"])
+    for last, kind in _anchors_of(low):
+        if kind != "digit":
+            at[kind].append(last)
+        elif ends and ends[-1] == last:
+            ends[-1] = last + 1
+        else:
+            starts.append(last)
+            ends.append(last + 1)
     found = [
         *_emails(text, at["at"]),
-        *_ips(text, runs),
-        *_cards(text, runs),
+        *_ips(text, starts, ends),
+        *_cards(text, starts, ends),
         *_phones(text, at["plus"]),
-        *_urls(text, [p - 2 for p in at["scheme"]]),
-        *_accounts(text, low, [p + 1 for p in at["cue"]]),
+        *_urls(text, at["scheme"]),
+        *_accounts(text, low, at["cue"]),
     ]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 

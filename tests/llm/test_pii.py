@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -56,3 +58,28 @@ def test_documents(spark):
     clean = pii.redact_documents(df).collect()
     assert len(clean) == len(rows) and not any("@" in (c.text or "") for c in clean)
     assert pii.span_digests(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("block", [1, 3, 10])
+def test_anchors_over_the_border_of_a_block(block, monkeypatch):
+    text = "mail a@b.cc, http://me:pw@host.org/x, PASSWORD: ab12cd34ef \u0130 4111 1111 1111 1111 and 10.20.30.40 +1 (555) 123-4567"
+    whole = pii.find_spans(text)
+    assert {k for k, *_ in whole} == set(pii.KINDS)
+    monkeypatch.setattr(pii, "BLOCK", block)
+    assert pii.find_spans(text) == whole
+
+
+@pytest.mark.parametrize("unit", ["w38291 x9 ", "1 ", "@", "7"])
+def test_memory_is_a_few_times_the_text(unit):
+    text = unit * (2_000_000 // len(unit))
+    pii.find_spans(unit)
+    tracemalloc.start()
+    try:
+        assert pii.find_spans(text) == []
+        assert tracemalloc.get_traced_memory()[1] < 10 * len(text) + 8 * pii.BLOCK
+    finally:
+        tracemalloc.stop()
+
+
+def test_one_letter_has_a_longer_lower_case():
+    assert [c for c in map(chr, range(0x110000)) if len(c.lower()) != 1] == [pii._TWO]
