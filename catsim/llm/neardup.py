@@ -28,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from catsim.llm.graph import connected_components
 from catsim.llm.packs import _from_planes, _planes, count_hashes, decode_count, pack_documents, with_counts
-from catsim.llm.storage import column, doc_type, drop_table, free_name, write_table
+from catsim.llm.storage import bounded, column, doc_type, drop_table, free_name, write_table
 from catsim.llm.tokens import doc_windows, hash_spans, mix, split_words
 from catsim.operators.joins import spread_join
 
@@ -42,6 +42,8 @@ IDF_DAMPING = 0.25
 #: Nodes of a bucket that are compared with as many others at once, and columns of the matrices.
 BLOCK = 256
 COLUMNS = 4096
+#: Members of a bucket that meet a copy of its most central node's vector.
+HUB_PART = 1024
 _MASK = np.uint64((1 << BITS) - 1)
 #: Numbers of groups and blocks of a bucket's largest component start here.
 _MAIN = 1 << 60
@@ -175,24 +177,32 @@ def _vectors(docs: DataFrame, width: int, threshold: float, bands: int, rows: in
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose vectors reach the threshold."""
+    """Links (a, b) among ``pairs`` (id, top, ways): those whose vectors reach the threshold.
+
+    A node is the ``id`` of at most one pair a band, but may be the ``top`` of very many. Such a top meets its members in
+    ``ways`` parts, about one for ``HUB_PART`` of them, and its vector is sent once to each. Joined rows come in order of
+    their tops, so that a task decodes a top's vector once a part.
+    """
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [
-                weighted_jaccard(_decode(r["vec_a"], r["n_a"]), _decode(r["vec_b"], r["n_b"])) >= threshold - 1e-9
-                for r in batch.select(["vec_a", "n_a", "vec_b", "n_b"]).to_pylist()
-            ]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = nodes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("vec").alias("vec_a"))
-    right = nodes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("vec").alias("vec_b"))
+        held, top = None, None
+        for whole in batches:
+            for batch in bounded([whole], text=whole.schema.get_field_index("vec")):
+                keep, columns = [], [batch.column(c) for c in ("id", "n", "vec", "n_top", "vec_top")]
+                for row in zip(*columns, strict=True):
+                    member, blob = _decode(row[2].as_py(), row[1].as_py()), row[4].as_buffer()
+                    if held is None or not held.equals(blob):
+                        held, top = blob, _decode(row[4].as_py(), row[3].as_py())
+                    keep.append(weighted_jaccard(member, top) >= threshold - 1e-9)
+                links = batch.select(["id", "top"]).filter(pa.array(keep, pa.bool_()))
+                yield links.rename_columns(["a", "b"])
+
+    members = nodes.select("id", "n", "vec")
+    tops = pairs.select("top", "ways").distinct().join(nodes.select(F.col("id").alias("top"), F.col("n").alias("n_top"), F.col("vec").alias("vec_top")), "top")
+    parts = tops.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+    met = pairs.join(members, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("ways")).cast("int")).join(parts, ["top", "ways", "part"])
     kind = nodes.schema["id"].dataType.simpleString()
-    return pairs.join(left, "a").join(right, "b").mapInArrow(test, f"a {kind}, b {kind}")
-
-
-def _pair(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    return met.select("id", "n", "vec", "top", "n_top", "vec_top").mapInArrow(test, f"a {kind}, b {kind}")
 
 
 def _overlaps(left: list[tuple], right: list[tuple]) -> np.ndarray:
@@ -273,8 +283,9 @@ def _crossing(named: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
     vectors = nodes.select("id", F.col("n").alias("size"), "vec")
     met = spread_join(placed, _meetings(placed, threshold), ["band", "key", "group"], "id").where("cap >= low")
     own = F.col("group") + F.pmod(F.xxhash64("id"), F.col("blocks"))
-    dealt = met.withColumn("own", own).withColumn("nth", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1))).withColumn("to", F.col("other") + F.col("nth"))
-    dealt = dealt.select("band", "key", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "own", "id", F.col("comp.fp").alias("comp"))
+    # A node may meet very many blocks, so it takes its vector along before it is dealt to them.
+    dealt = met.join(vectors, "id").withColumn("own", own).withColumn("nth", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1))).withColumn("to", F.col("other") + F.col("nth"))
+    dealt = dealt.select("band", "key", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "own", "id", "size", "vec", F.col("comp.fp").alias("comp"))
     kind = nodes.schema["id"].dataType
     arrow = to_arrow_type(kind)
 
@@ -300,15 +311,17 @@ def _crossing(named: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
                     b_out.append(right[q]["id"])
         return pa.table({"a": pa.array(a_out, arrow), "b": pa.array(b_out, arrow)})
 
-    return dealt.join(vectors, "id").groupBy("band", "key", "i", "j").applyInArrow(test, f"a {kind.simpleString()}, b {kind.simpleString()}")
+    return dealt.groupBy("band", "key", "i", "j").applyInArrow(test, f"a {kind.simpleString()}, b {kind.simpleString()}")
 
 
 def _components(nodes: DataFrame, threshold: float) -> DataFrame:
     """(id, comp) of the nodes that have a partner."""
     members = nodes.select("id", "central", "total", "shared", F.posexplode("bands").alias("band", "key"))
-    centre = members.groupBy("band", "key").agg(F.max(F.struct("central", "id")).alias("top"), F.count("*").alias("n")).where("n > 1").select("band", "key", F.col("top.id").alias("top"))
+    centre = members.groupBy("band", "key").agg(F.max(F.struct("central", "id")).alias("top"), F.count("*").alias("n")).where("n > 1").select("band", "key", F.col("top.id").alias("top"), "n")
     buckets = write_table(spread_join(members.drop("central"), centre, ["band", "key"], "id"), "buckets")
-    pairs = write_table(buckets.where("id <> top").select(*_pair("id", "top")).distinct(), "pairs")
+    # The most central node has the same rank in every bucket, so no pair comes both ways round. Ways are powers of two.
+    ways = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.max("n") / HUB_PART, F.lit(1))))).cast("int")
+    pairs = write_table(buckets.where("id <> top").groupBy("id", "top").agg(ways.alias("ways")), "pairs")
     links = write_table(_verified(pairs, nodes, threshold), "links")
     labels = connected_components(links)
     named = buckets.join(labels, "id", "left").select("band", "key", "id", "total", "shared", F.coalesce("comp", "id").alias("comp"))

@@ -75,6 +75,18 @@ def test_against_brute_force(spark, monkeypatch):
     assert set(kept[0].asDict()) == {"doc_id", "text", "fp"}
 
 
+@pytest.mark.parametrize("part", [1, 3, 1000])
+def test_hubs_in_parts(spark, monkeypatch, part):
+    """A top of many members meets them in several parts; links are the same, and each holds for the vectors."""
+    monkeypatch.setattr(neardup, "HUB_PART", part)
+    r = random.Random(4)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(i, " ".join(f"x{r.random()}" if k == i % 120 else w for k, w in enumerate(base))) for i in range(90)]
+    rows += [(200 + i, " ".join(f"y{i}_{k}" for k in range(40))) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, neardup.near_duplicate_classes(df).collect()), key=str) == brute(rows)
+
+
 def test_crossing_links_of_a_dense_bucket(spark):
     """With one band of one row, buckets hold several components, which only the block comparison can join."""
     rows = corpus(8)
