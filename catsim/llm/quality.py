@@ -110,11 +110,13 @@ def _word_length(batch: Batch, rows: np.ndarray) -> np.ndarray:
 
 
 def _letters(batch: Batch, rows: np.ndarray) -> np.ndarray:
-    raw = np.frombuffer(batch.words.buf, np.uint8)
-    total = np.concatenate([[0], np.cumsum(_IS_LETTER[raw])])
-    at = batch.of(rows)
-    has = total[batch.words.ends[at]] > total[batch.words.starts[at]]
-    return 2 * np.bincount(batch.words.doc[at], has, len(batch.texts))[rows] < batch.figures["n_words"][rows]
+    words, raw, got = batch.words, np.frombuffer(batch.words.buf, np.uint8), np.zeros(len(rows), np.int64)
+    ends = np.cumsum(words.counts)
+    for i, r in enumerate(rows.tolist()):
+        at, begin = slice(ends[r] - words.counts[r], ends[r]), words.doc_starts[r]
+        total = np.concatenate([[0], np.cumsum(_IS_LETTER[raw[begin : begin + len(batch.texts[r])]], dtype=np.int64)])
+        got[i] = np.count_nonzero(total[words.ends[at] - begin] > total[words.starts[at] - begin])
+    return 2 * got < batch.figures["n_words"][rows]
 
 
 def _variety(batch: Batch, rows: np.ndarray) -> np.ndarray:

@@ -12,6 +12,8 @@ WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x5851F42D4C957F2D
+#: Bytes of the longest span that is hashed together with others, and of a piece of a longer one.
+LONG, _PIECE = 256, 1 << 20
 _LOW = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
@@ -50,26 +52,35 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _hash_long(buf: bytes, start: int, end: int) -> int:
+    """A 64-bit hash of one long span: its numbered eight-byte chunks, each mixed, are added up a piece at a time."""
+    total = np.zeros(1, np.uint64)
+    for at in range(start, end, _PIECE):
+        piece = buf[at : min(at + _PIECE, end)]
+        chunks = np.frombuffer(piece + bytes(-len(piece) % 8), "<u8")
+        first = (at - start) // 8
+        total += mix(chunks ^ mix(np.arange(first, first + len(chunks), dtype=np.uint64) * _M1)).sum(dtype=np.uint64)
+    return int(mix(total ^ np.array([end - start], np.uint64) * _M1)[0])
+
+
 def hash_spans(buf: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, eight bytes at a time. Spans of up to 8 bytes and equal length never collide."""
+    """A 64-bit hash of each byte span. Spans of up to 8 bytes and equal length never collide.
+
+    Spans of up to ``LONG`` bytes are hashed together, eight bytes at a time; each longer one is hashed by itself, in a
+    few passes over its bytes.
+    """
     view = np.ndarray((max(len(buf) - 7, 0),), "<u8", buf, 0, (1,))
-    left = ends - starts
-    h = left.astype(np.uint64) * _M1
-    live, at = None, starts
-    while True:
-        n = left if live is None else left[live]
-        chunk = view[at] & _LOW[np.minimum(n, 8)]
-        got = mix((h if live is None else h[live]) ^ chunk) if len(n) else h
-        if live is None:
-            h = got
-            live = np.flatnonzero(left > 8)
-        else:
-            h[live] = got
-            live = live[n > 8]
-        if not len(live):
-            return h
-        left = left - 8
-        at = starts[live] + (ends - starts - left)[live]
+    lens = ends - starts
+    h = lens.astype(np.uint64) * _M1
+    live = np.flatnonzero(lens <= LONG)
+    at, left = starts[live], lens[live]
+    while len(live):
+        h[live] = mix(h[live] ^ (view[at] & _LOW[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(lens > LONG).tolist():
+        h[i] = _hash_long(buf, int(starts[i]), int(ends[i]))
+    return h
 
 
 def window_hashes(codes: np.ndarray, width: int, base: int = _BASE) -> np.ndarray:

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from catsim.llm import quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -41,3 +43,11 @@ def test_report_and_empty(spark):
     assert set(report) == set(quality.RULES) and report["symbols"].rejected == 50 and report["letters"].rejected == 0
     assert quality.rule_order(df)[0] == "symbols"
     assert quality.judge(df.limit(0)).collect() == []
+
+
+def test_letters_of_some_rows_only():
+    texts = [b"1 2 3 x", b"a b 1", b"", "1 é 日 2".encode(), b" 12 x1", b"1 2"]
+    batch = quality.measure(texts)
+    want = {0: True, 1: False, 2: False, 3: False, 4: False, 5: True}
+    for rows in ([0, 1, 2, 3, 4, 5], [5, 0], [2], [3, 5], []):
+        assert quality.RULES["letters"](batch, np.array(rows, np.int64)).tolist() == [want[r] for r in rows]

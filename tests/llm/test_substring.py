@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import re
 from collections import Counter
 
@@ -61,6 +62,19 @@ def test_span_hashes_tell_words_apart():
     assert len(np.unique(h)) == len({w.buf[a:b] for a, b in zip(w.starts, w.ends, strict=True)})
 
 
+def test_long_spans_are_hashed_in_few_passes():
+    n = tokens.LONG
+    words = [b"a" * k for k in (n - 1, n, n + 1, n + 7, n + 8, n + 9)] + [b"a" * n + b"b", b"b" + b"a" * n, b"a" * n + bytes(1)]
+    swapped = [b"x" * n + b"12345678" + b"abcdefgh", b"x" * n + b"abcdefgh" + b"12345678"]
+    big = [b"q" * (1 << 22), b"q" * ((1 << 22) - 1) + b"r", b"r" + b"q" * ((1 << 22) - 1)]
+    w = tokens.split_words([b" ".join(words + swapped + big) + b" " + b" ".join(words + swapped + big), words[0] + b" ab"])
+    began = time.perf_counter()
+    h = tokens.hash_spans(w.buf, w.starts, w.ends)
+    assert time.perf_counter() - began < 2
+    half = len(words + swapped + big)
+    assert len(np.unique(h[:half])) == half and (h[:half] == h[half : 2 * half]).all() and h[2 * half] == h[0]
+
+
 def test_counts_survive_a_byte():
     n = np.array([1, 2, 3, 1000, 10**6])
     assert packs.encode_count(n)[:2].tolist() == [0, 8]
