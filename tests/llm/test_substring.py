@@ -1,7 +1,7 @@
 import hashlib
 import random
-import time
 import re
+import time
 from collections import Counter
 
 import numpy as np
